@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, labelled_sample
 
-BLOCK = 4096
+BLOCK = 256
 #: Bounds of the labelled sample: at most so many labelled texts, and so many of their blocks for each dictionary.
-MAX_LABELLED, MAX_BLOCKS, DICTIONARY_BYTES = 8_000, 1_500, 112_640
+MAX_LABELLED, MAX_BLOCKS, DICTIONARY_BYTES = 8_000, 8_000, 112_640
 LEVEL, THRESHOLD = 1, 0.3
 
 

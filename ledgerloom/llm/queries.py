@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, compression, licences, text_rules
+from ledgerloom.llm import chat, compression, licences, personal, text_rules
 from ledgerloom.llm.common import table
 
 
@@ -26,8 +27,13 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op5_compression_classifier, op8_license_scan, op9_chat_perspectives)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_compression_classifier, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
