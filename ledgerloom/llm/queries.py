@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, compression, licences, packing, personal, text_rules
+from ledgerloom.llm import chat, compression, embeddings, licences, packing, personal, text_rules
 from ledgerloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rules.judge(docs, text_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression.score_documents(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +41,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op5_compression_classifier, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
