@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, compression, embeddings, licences, packing, personal, text_rules
+from ledgerloom.llm import chat, compression, embeddings, licences, packing, passages, personal, text_rules
 from ledgerloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score_documents(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_recurring(table(spark, sf_dir, "documents"))
+
+
 def op7_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op6_repeated_passages, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
