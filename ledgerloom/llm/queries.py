@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, compression, embeddings, licences, minhash, packing, passages, personal, text_rules
+from ledgerloom.llm import chat, compression, embeddings, licences, minhash, mixing, packing, passages, personal, text_rules
 from ledgerloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domains(table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return text_rules.judge(docs, text_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_weighted_minhash, op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op6_repeated_passages, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
+    return {f.__name__: f for f in (op1_weighted_minhash, op2_soft_mixing, op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op6_repeated_passages, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
