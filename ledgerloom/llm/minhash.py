@@ -7,10 +7,10 @@ text; two texts agree in a sample with the probability of their weighted Jaccard
 that agree on a whole band meet in a bucket (two of similarity 0.8 meet nowhere with a probability of 2e-5).
 
 Texts with equal words are one node from the start. In a bucket, cut into blocks of bounded size, a pair whose samples
-agree often enough is a candidate (one of similarity 0.8 falls short with a probability of 1e-4). Rounds follow: of the
-candidates between different components only a spanning forest is verified by the exact weighted Jaccard similarity of
-the whole texts, and the components are joined; the rounds end when no untested candidate between components is left.
-So a group of copies costs a multiple of its size, and yet no candidate that could join two components is skipped.
+agree often enough is a candidate (one of similarity 0.8 falls short with a probability of 1e-4). Candidates make groups,
+and in a group, cut into blocks again, the exact weighted Jaccard similarity of whole texts is computed for every
+candidate pair that is not joined yet, likeliest first: a group of true copies costs about one comparison per text, and
+no candidate that could join two classes is skipped.
 
 Defined cases: a null or empty text is a class of its own; equal rows are one class, of which one row is kept; the class
 of a text is its smallest doc_id (null before all); other columns are kept by `filter_documents`.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ascii_words, written
-from ledgerloom.llm.links import components, forest, groups_of, in_units
+from ledgerloom.llm.links import components, groups_of, in_units
 from ledgerloom.llm.shingles import mixed, runs, signed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -36,8 +36,6 @@ HASHES = BANDS * ROWS
 #: Of HASHES samples so many agree in a candidate pair.
 AGREE = 28
 COUNTERS, TABLE_BITS = 2**18, 15
-#: Later rounds verify all remaining candidates of a unit if they are at most so many per member, else several forests.
-PAIRS_PER_MEMBER, FORESTS = 64, 8
 
 
 @lru_cache(1)
@@ -104,7 +102,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """1 + ln((1 + documents) / (1 + documents with the word)) for each of COUNTERS counters; each document counts a counter once."""
 
-    def count(batches):
+    def tally(batches):
         seen, total = np.zeros(COUNTERS, dtype=np.int64), 0
         for pdf in batches:
             for text in pdf["text"]:
@@ -113,7 +111,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"counter": np.r_[-1, used], "n": np.r_[total, seen[used]]})
 
-    rows = docs.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInPandas(tally, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(COUNTERS)
     used = rows["counter"].to_numpy() >= 0
     seen[rows["counter"].to_numpy()[used]] = rows["n"].to_numpy()[used]
@@ -149,54 +147,79 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return written(made.select("row", "doc_id", "key", "x.*"), "signatures")
 
 
-def candidates(units: DataFrame, first: bool) -> DataFrame:
-    """a, b: pairs of nodes that may be similar and whose components differ, some of those in every unit."""
+def spanning(agree: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the spanning forest of `near` with the greatest agreement; it grows from the node that agrees most with all, so copies hang on their original."""
+    weight = np.where(near, agree, 0)
+    sums, best, parent = weight.sum(axis=1), np.zeros(len(near), dtype=np.int64), np.full(len(near), -1)
+    left, out = sums > 0, []
+    while left.any():
+        at = int(np.where(left, best, -1).argmax())
+        if best[at] == 0:
+            at = int(np.where(left, sums, -1).argmax())
+        else:
+            out.append((int(parent[at]), at))
+        left[at] = False
+        better = left & (weight[at] > best)
+        best[better], parent[better] = weight[at][better], at
+    return out
+
+
+def agreement(signatures: list[bytes]) -> np.ndarray:
+    """In how many samples each pair agrees."""
+    sig = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(signatures), HASHES)
+    if len(sig) <= 32:
+        return (sig[:, None] == sig[None]).sum(axis=2, dtype=np.int16)
+    out = np.zeros((len(sig), len(sig)), dtype=np.int16)
+    for column in sig.T:
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def edges_frame(node: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+    i, j = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+
+def candidates(units: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of each bucket's pairs that agree in AGREE samples."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), HASHES)
-        node, root, out = pdf["node"].to_numpy(), pdf["root"].to_numpy(), []
+        signature, node, out = pdf["signature"].tolist(), pdf["node"].to_numpy(), []
         for g in groups_of(pdf, "_bucket", "_left", "_right"):
-            agree = np.zeros((len(g), len(g)), dtype=np.int16)
-            for h in range(HASHES):
-                agree += sig[g, h][:, None] == sig[g, h][None, :]
-            near = (agree >= AGREE) & (root[g][:, None] != root[g][None, :])
-            for i, tested in enumerate(pdf["tested"].iloc[g]):
-                if tested is not None and len(tested):
-                    near[i, np.isin(node[g], tested)] = near[np.isin(node[g], tested), i] = False
-            i, j = np.nonzero(np.triu(near, 1))
-            if not first and len(i) <= PAIRS_PER_MEMBER * len(g):
-                out.append((node[g[i]], node[g[j]]))
-                continue
-            for _ in range(1 if first else FORESTS):
-                if edges := forest(near):
-                    i, j = np.array(edges).T
-                    near[i, j] = near[j, i] = False
-                    out.append((np.minimum(node[g[i]], node[g[j]]), np.maximum(node[g[i]], node[g[j]])))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            agree = agreement([signature[k] for k in g])
+            near = agree >= AGREE
+            np.fill_diagonal(near, False)
+            if near.any():
+                out += [(g[i], g[j]) for i, j in spanning(agree, near)]
+        return edges_frame(node, out).drop_duplicates()
 
     return units.groupBy("_unit").applyInPandas(find, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """A written table: pairs and whether their weighted Jaccard similarity reaches the threshold."""
-
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[str, tuple] = {}
-
-        def of(text: str):
-            if text not in known:
-                if len(known) > 256:
-                    known.clear()
-                known[text] = weighted_shingles(text, idf.value)
-            return known[text]
-
-        return pd.Series([similarity(of(x), of(y)) >= THRESHOLD for x, y in zip(a, b)], dtype=bool)
+def verified(units: DataFrame, idf) -> DataFrame:
+    """a, b: pairs whose weighted Jaccard similarity reaches the threshold, enough of them to join all that any such candidate joins. Pairs that agree most come first, and what is joined already is not compared again."""
 
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return written(both.select("a", "b", F.pandas_udf(check, "boolean")("text_a", "text_b").alias("ok")), "verified")
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node").reset_index(drop=True)
+        signature, text, node, out = pdf["signature"].tolist(), pdf["text"].tolist(), pdf["node"].to_numpy(), []
+        for g in groups_of(pdf, "_bucket", "_left", "_right"):
+            agree = np.triu(agreement([signature[k] for k in g]), 1)
+            i, j = np.nonzero(agree >= AGREE)
+            order = np.argsort(-agree[i, j], kind="stable")
+            shingles, root = {}, np.arange(len(g))
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if root[x] == root[y]:
+                    continue
+                for n in (x, y):
+                    if n not in shingles:
+                        shingles[n] = weighted_shingles(text[g[n]], idf.value)
+                if similarity(shingles[x], shingles[y]) >= THRESHOLD:
+                    out.append((g[x], g[y]))
+                    root[root == root[y]] = root[x]
+        return edges_frame(node, out)
+
+    return units.groupBy("_unit").applyInPandas(check, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -210,24 +233,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
     members = in_units(nodes.select("node", F.posexplode("bands").alias("band", "value")), ["band", "value"], "node")
     units = written(members.join(nodes.select("node", "signature"), "node").drop("band", "value"), "units")
-    untested = units.withColumn("root", F.col("node")).withColumn("tested", F.array().cast("array<long>"))
-    pairs = written(candidates(untested, True), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(involved, "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("key").alias("at"))
+    pairs = written(candidates(units), "pairs")
+
+    # texts that candidates join, directly or not, are one group; inside it every candidate pair is verified
+    groups = written(components(pairs).withColumnRenamed("root", "group"), "groups")
+    wanted = nodes.join(groups, "node").select("node", "group", "signature", F.col("doc_id").alias("of"), F.col("key").alias("at"))
     found = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
-    texts = written(found.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-    units = units.join(involved, "node", "left_semi")
-
-    tested = verified(pairs, texts, idf)
-    while True:
-        roots = written(components(tested.where("ok")), "roots")
-        failed = tested.where("not ok")
-        failed = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"), "ok")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tested"))
-        state = units.join(roots, "node", "left").join(failed, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = written(candidates(state, False), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.unionByName(verified(pairs, texts, idf))
+    texts = written(found.groupBy("node").agg(F.any_value("group").alias("group"), F.any_value("signature").alias("signature"), F.any_value("text").alias("text")), "texts")
+    blocks = in_units(texts.select("node", "group"), ["group"], "node", unit=1_000).drop("group")
+    roots = written(components(verified(blocks.join(texts.select("node", "signature", "text"), "node"), idf)), "roots")
 
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct("node_id", "node")).alias("best"))
