@@ -1 +1 @@
-"""."""
+"""Operators."""

@@ -1 +1 @@
-"""."""
+"""Journals are analysed in whole batches; there is no streaming operator to offer."""
