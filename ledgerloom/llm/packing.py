@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import per_text, written
+from ledgerloom.llm.common import written
 
 LENGTH, END_ID, SHARD = 4096, 1, 8_000
-#: The cache of words that a Python worker keeps: at most so many, of at most so many bytes each.
+#: The words and parts of words that a task remembers: at most so many, of at most so many bytes each.
 CACHED_WORDS, CACHED_BYTES = 600_000, 48
 PIECES = "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -84,18 +84,9 @@ class WordEncoder:
         return b"".join([known(w) or word(w) for w in (text or "").encode("utf-8", "replace").split()])
 
 
-@lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
-def token_bytes(text: str | None, path: str) -> bytes:
-    return encoder(path)(text)
-
-
-def cut(text: str | None, path: str, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+def cut(text: str | None, encode: WordEncoder, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of the ids) of a document."""
-    raw = token_bytes(text, path) + np.array([END_ID], dtype="<u4").tobytes()
+    raw = encode(text) + np.array([END_ID], dtype="<u4").tobytes()
     return [(n, at // 4, len(part) // 4, zlib.crc32(part)) for n, at in enumerate(range(0, len(raw), 4 * length)) if (part := raw[at : at + 4 * length])]
 
 
@@ -169,7 +160,13 @@ def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarra
 def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """A written table: doc_id, piece, start, length, ids_crc32 and a number for each row."""
     path = path or default_tokenizer()
-    pieces = docs.select("doc_id", per_text(lambda t: (cut(t, path, length),), PIECES)("text").alias("x"))
+
+    def cut_all(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = WordEncoder(path)  # for this task only: what it remembers must not stay in the worker
+        for x in texts:
+            yield pd.DataFrame({"pieces": [cut(t, encode, length) for t in x]})
+
+    pieces = docs.select("doc_id", F.pandas_udf(cut_all, PIECES)("text").alias("x"))
     return written(pieces.select("doc_id", F.explode("x.pieces").alias("p")).select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")), "pieces")
 
 

@@ -9,7 +9,7 @@ import xxhash
 
 from ledgerloom.llm.common import ascii_words
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
