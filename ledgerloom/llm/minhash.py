@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ascii_words, written
 from ledgerloom.llm.links import components, groups_of, in_units
-from ledgerloom.llm.shingles import mixed, runs, signed, word_hashes
+from ledgerloom.llm.shingles import in_portions, mixed, runs, signed, word_hashes_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -50,17 +50,40 @@ def sampling_tables() -> list[tuple[np.ndarray, ...]]:
     return out
 
 
+def weighted_shingles_of(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle hashes and their weights for each of some texts."""
+    words, counts = word_hashes_of(texts)
+    value = idf[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    begin = np.cumsum(counts) - counts
+    whole = counts >= SHINGLE
+    n = max(len(words) - SHINGLE + 1, 0)
+    hashes = runs(words, SHINGLE)
+    mean = sum(value[i : i + n] for i in range(SHINGLE)) / SHINGLE
+    # runs inside a text, sorted text by text
+    order = [np.argsort(hashes[b : b + c]) + b for b, c in zip(begin[whole].tolist(), (counts[whole] - SHINGLE + 1).tolist())]
+    order = np.concatenate([np.zeros(0, dtype=np.int64), *order])
+    hashes, mean = hashes[order], mean[order]
+    bounds = np.cumsum(np.r_[0, counts[whole] - SHINGLE + 1])
+    fresh = np.ones(len(order) + 1, dtype=bool)
+    fresh[1:-1] = hashes[1:] != hashes[:-1]
+    fresh[bounds] = True
+    first = np.flatnonzero(fresh)
+    weights = mean[first[:-1]] * np.diff(first)
+    hashes, cuts = hashes[first[:-1]], np.searchsorted(first, bounds)
+    of = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    out = []
+    for b, c, enough in zip(begin.tolist(), counts.tolist(), whole.tolist()):
+        if enough:
+            i, j = next(of)
+            out.append((hashes[i:j], weights[i:j]))
+        else:  # all words of a short text
+            out.append((runs(words[b : b + c], c), np.atleast_1d(value[b : b + c].mean())) if c else (np.zeros(0, dtype=np.uint64), np.zeros(0)))
+    return out
+
+
 def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of a text and their weights."""
-    words = word_hashes(text)
-    size = min(SHINGLE, len(words))
-    if not size:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0)
-    value = idf[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    n = len(words) - size + 1
-    mean = sum(value[i : i + n] for i in range(size)) / size
-    shingles, first, count = np.unique(runs(words, size), return_index=True, return_counts=True)
-    return shingles, mean[first] * count
+    return weighted_shingles_of([text], idf)[0]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -76,14 +99,19 @@ def samples(shingles: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray
     sizes = np.array([len(x) for x in shingles])
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     key, log_w = np.concatenate(shingles), np.log(np.concatenate(weights)).astype(np.float32)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     out = np.empty((len(sizes), HASHES), dtype=np.uint32)
+    # memory that all samples share: asking for it anew costs more than the arithmetic
+    at, (step, x, log_a) = np.empty(len(key), dtype=np.uint64), np.empty((3, len(key)), dtype=np.float32)
     with np.errstate(over="ignore"):
         for h, (odd, inverse, beta, r, constant) in enumerate(sampling_tables()):
-            at = ((key * odd) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            step = np.floor(log_w * inverse[at] + beta[at])
-            log_a = constant[at] - r[at] * step
-            least = np.minimum.reduceat(log_a, starts)
-            hits = np.flatnonzero(log_a == np.repeat(least, sizes))
+            np.right_shift(np.multiply(key, odd, out=at), np.uint64(64 - TABLE_BITS), out=at)
+            row = signed(at)
+            np.multiply(log_w, np.take(inverse, row, out=x, mode="clip"), out=step)
+            np.floor(np.add(step, np.take(beta, row, out=x, mode="clip"), out=step), out=step)
+            np.multiply(np.take(r, row, out=x, mode="clip"), step, out=x)
+            np.subtract(np.take(constant, row, out=log_a, mode="clip"), x, out=log_a)
+            hits = np.flatnonzero(log_a == np.minimum.reduceat(log_a, starts)[of])
             chosen = hits[np.searchsorted(hits, starts)]
             out[:, h] = mixed(key[chosen] * np.uint64(2 * h + 3) + step[chosen].astype(np.int64).view(np.uint64)) >> np.uint64(32)
     return out
@@ -105,8 +133,11 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def tally(batches):
         seen, total = np.zeros(COUNTERS, dtype=np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                seen[np.unique(word_hashes(text) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+            for texts in in_portions(pdf["text"]):
+                words, counts = word_hashes_of(texts)
+                of = np.repeat(np.arange(len(texts)) * COUNTERS, counts)
+                keys = np.sort((words & np.uint64(COUNTERS - 1)).astype(np.int64) + of)
+                seen += np.bincount(keys[np.diff(keys, prepend=-1) != 0] & (COUNTERS - 1), minlength=COUNTERS)
             total += len(pdf)
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"counter": np.r_[-1, used], "n": np.r_[total, seen[used]]})
@@ -122,25 +153,16 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     """A written table: row, doc_id, key (hash of the text), word_key (of its words; null without words), signature, bands."""
 
     def sign(text: pd.Series) -> pd.DataFrame:
-        out, waiting, size = [[None, None, None] for _ in text], [], 0
-
-        def flush() -> None:
-            if waiting:
-                signature = samples([x[1] for x in waiting], [x[2] for x in waiting])
-                for (n, _, _), sig, bands in zip(waiting, signature, signed(band_keys(signature))):
-                    out[n][1:] = [sig.tobytes(), bands]
-                waiting.clear()
-
-        for i, t in enumerate(text):
-            s, w = weighted_shingles(t, idf.value)
-            if len(s):
-                out[i][0] = xxhash.xxh3_128_hexdigest(b" ".join(ascii_words(t)))
-                waiting.append((i, s, w))
-                size += len(s)
-            if size > 150_000:
-                flush()
-                size = 0
-        flush()
+        out = []
+        for texts in in_portions(text):
+            found = weighted_shingles_of(texts, idf.value)
+            worded = [n for n, (s, _) in enumerate(found) if len(s)]
+            rows = [[None, None, None] for _ in texts]
+            if worded:
+                signature = samples([found[n][0] for n in worded], [found[n][1] for n in worded])
+                for n, sig, bands in zip(worded, signature, signed(band_keys(signature))):
+                    rows[n] = [xxhash.xxh3_128_hexdigest(b" ".join(ascii_words(texts[n]))), sig.tobytes(), bands]
+            out += rows
         return pd.DataFrame(out, columns=["word_key", "signature", "bands"])
 
     made = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), F.pandas_udf(sign, "word_key string, signature binary, bands array<long>")("text").alias("x"))
