@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import label_votes, per_text, written
-from ledgerloom.llm.shingles import word_hashes
+from ledgerloom.llm.shingles import in_portions, word_hashes, word_hashes_of
 
 #: Production targets: shares of expected tokens by domain, as the labelled table marks them.
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
@@ -49,17 +49,31 @@ class Classifier:
     ratios: np.ndarray  # K x COUNTERS log ratios of word presence
     weights: np.ndarray  # (2K + 1) x K of the softmax regression
 
+    def features_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words and the features of each text."""
+        hashes, words = word_hashes_of(texts)
+        k, some = len(self.ratios), words > 0
+        out = np.zeros((len(texts), 2 * k + 1))
+        out[:, -1] = 1
+        if some.any():
+            x = self.ratios[:, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            begin = (np.cumsum(words) - words)[some]
+            out[some, :k] = (np.add.reduceat(x, begin, axis=1) / words[some]).T
+            out[some, k:-1] = np.maximum.reduceat(x, begin, axis=1).T
+        return words, out
+
     def features(self, text: str | None) -> np.ndarray:
-        at = buckets(text)
-        if not len(at):
-            return np.r_[np.zeros(2 * len(self.ratios)), 1.0]
-        x = self.ratios[:, at]
-        return np.r_[x.mean(axis=1), x.max(axis=1), 1.0]
+        return self.features_of([text])[1][0]
+
+    def posteriors_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words and the posterior of each text."""
+        words, x = self.features_of(texts)
+        z = (x[:, :, None] * self.weights).sum(axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return words, e / e.sum(axis=1, keepdims=True)
 
     def posterior(self, text: str | None) -> list[float]:
-        z = self.features(text) @ self.weights
-        e = np.exp(z - z.max())
-        return (e / e.sum()).tolist()
+        return self.posteriors_of([text])[1][0].tolist()
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -117,7 +131,13 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED,
 def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs as the struct column row, tokens (words of the text) and p (the posterior)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    both = per_text(lambda t: (len(buckets(t)), shared.value.posterior(t)), "tokens long, p array<double>")
+
+    def score(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.posteriors_of(portion) for portion in in_portions(texts)]
+        return pd.DataFrame({"tokens": [n for words, _ in found for n in words.tolist()], "p": [p for _, ps in found for p in ps.tolist()]})
+
+    # not deterministic as far as the optimiser knows, so a filter on what it gives doesn't compute it a second time
+    both = F.pandas_udf(score, "tokens long, p array<double>").asNondeterministic()
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), both("text").alias("_x")).select("row", "_x.*")
 
 
