@@ -1,13 +1,16 @@
 """Personal data: fixed patterns give seed entities, and contextual bootstrapping finds further identifiers.
 
-Every identifier-like token (TOKEN characters, with a digit) stands in two lexical contexts, the word before it and the
-word after it, each together with the token's shape. Seeds are tokens inside a fixed-pattern span. Spark scores the
-graph of contexts and tokens in rounds: a context gets the mean score of its distinct tokens (smoothed), a token the
-noisy-or of its contexts. Contexts of high confidence and enough support mark every unseen token that stands in them.
+A seed is a whole fixed-pattern span. A candidate is a run of adjacent identifier-like tokens (each with a digit or an @)
+that touches no span: single tokens, and the parts of longer runs that start or end their run. Either stands in two
+lexical contexts, the word before it and the word after it, each together with its shape, and also with its outline (an
+@, or about how many digits), so that '(743) 555-3824' can stand where '+1 (743) 555-3824' does. Spark scores the graph
+of contexts and values in rounds: a context gets the mean score of its distinct values (smoothed), a value the noisy-or
+of its contexts. Contexts of high confidence and enough support mark every unseen candidate that stands in them.
 
 Defined cases: a null or empty text holds nothing; equal rows are each reported; without seeds nothing is discovered;
-a discovered token never overlaps a fixed-pattern span and takes the kind most of its context's seeds have (ties: the
-kind listed first); tokens under 6 or over 64 code points are no identifiers; other columns are kept by `redact`.
+a discovered identifier never overlaps a fixed-pattern span and takes the kind most of its context's seeds have (ties:
+the kind listed first); discovered ones that overlap are one; candidates under 6 or over 64 code points are no
+identifiers; other columns are kept by `redact`.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import re
 from bisect import bisect_right
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _WORD, _EDGES = re.compile("[0-9]"), re.compile(r"\S+"), "\"'`.,;:!?()[]{}<>*#$%&|="
+_LIKE, _GAP, _NUMBER = re.compile("[0-9@]"), re.compile(r"[()]*[^\S\n\x0b-\x0d\x1c-\x1e\x85\u2028\u2029]+[()]*"), re.compile(r"[\x20\t().+0-9-]+")
 SPAN = "struct<start:int,kind:int,end:int>"
-EXTRACTED = f"counts array<long>, base array<{SPAN}>, tokens array<struct<start:int,end:int,kind:int,before:string,after:string,value:string>>"
+EXTRACTED = f"counts array<long>, base array<{SPAN}>, tokens array<struct<start:int,end:int,kind:int,contexts:array<string>,value:string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -91,24 +96,80 @@ def shape(token: str) -> str:
     return "".join(f"d{len(r)}" if r[0] in "0123456789" else "a" if r[0].isalpha() else r for r in runs)
 
 
+def outline(value: str) -> str:
+    """What a value shares with those of another shape: an @, or digits of about the number that phones or cards have; empty for all else."""
+    if "@" in value:
+        return "@"
+    n = sum("0" <= c <= "9" for c in value)
+    return ("#10" if n < 14 else "#14") if 10 <= n <= 19 and _NUMBER.fullmatch(value) else ""
+
+
+def bounded(value: str) -> str:
+    """The value itself, or something short that stands for a long one."""
+    return value if len(value) <= TOKEN[1] else value[: TOKEN[1] // 2] + xxhash.xxh3_128_hexdigest(value.encode("utf-8", "surrogatepass"))
+
+
+def contexts_of(value: str, before: str | None, after: str | None, wide: tuple[bool, bool] = (True, True)) -> list[str]:
+    """Contexts from the words beside a value (None: no context), with its shape and, on the sides that are wide, its outline."""
+    form, rough = bounded(shape(value)), outline(value)
+    out = [] if before is None else [f"{before[-32:]} _{x}" for x in (form, f"~{rough}")[: 1 + (wide[0] and bool(rough))]]
+    return out if after is None else [*out, *(f"_{x} {after[:32]}" for x in (form, f"~{rough}")[: 1 + (wide[1] and bool(rough))])]
+
+
+def candidate_runs(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Runs of adjacent identifier-like tokens outside of base spans: (number of the word, start, end) of each token without the signs around it."""
+    starts, out, last = [s for s, _, _ in base], [], None
+    for i, (begin, stop) in enumerate(words):
+        word = text[begin:stop]
+        if not _LIKE.search(word):
+            continue
+        value = word.strip(_EDGES)
+        start = begin + word.index(value)
+        end = start + len(value)
+        if not value or any(s < end and e > start for s, _, e in base[max(0, bisect_right(starts, start) - 4) : bisect_right(starts, end)]):
+            continue
+        if last and last[0] == i - 1 and _GAP.fullmatch(text, last[2], start):
+            out[-1].append((i, start, end))
+        else:
+            out.append([(i, start, end)])
+        last = (i, start, end)
+    return out
+
+
 def extract(text: str | None) -> tuple[list, list, list]:
     """The values of EXTRACTED for one text."""
     text = text or ""
     base = base_spans(text)
     counts, tokens = [sum(k == n for _, k, _ in base) for n in range(4)], []
-    if _DIGIT.search(text):
-        starts = [s for s, _, _ in base]
-        words = list(_WORD.finditer(text))
-        for i, m in enumerate(words):
-            value = m[0].strip(_EDGES)
-            if not TOKEN[0] <= len(value) <= TOKEN[1] or not _DIGIT.search(value):
+    if not _LIKE.search(text):
+        return counts, base, tokens
+    words = [m.span() for m in _WORD.finditer(text)]
+    begins = [b for b, _ in words]
+    before = lambda i: text[slice(*words[i - 1])].lower() if i else "^"
+    after = lambda i: text[slice(*words[i + 1])].lower() if i + 1 < len(words) else "$"
+    for start, kind, end in base:
+        first, last = bisect_right(begins, start) - 1, bisect_right(begins, end - 1) - 1
+        # what is glued to a span, other than signs, is the word beside it
+        left, right = text[words[first][0] : start].strip(_EDGES).lower(), text[end : words[last][1]].strip(_EDGES).lower()
+        value = text[start:end]
+        tokens.append((start, end, kind, contexts_of(value, left or before(first), right or after(last)), bounded(value)))
+    for run in candidate_runs(text, words, base):
+        n = len(run)
+        parts = {(i, i) for i in range(n)}
+        for i in range(n):  # parts that start or end the run, up to the greatest length
+            if run[i][2] - run[0][1] <= TOKEN[1]:
+                parts.add((0, i))
+            if run[-1][2] - run[i][1] <= TOKEN[1]:
+                parts.add((i, n - 1))
+        for i, j in sorted(parts):
+            start, end = run[i][1], run[j][2]
+            if text.count(")", start, end) > text.count("(", start, end) and start and text[start - 1] == "(":
+                start -= 1
+            if not TOKEN[0] <= end - start <= TOKEN[1]:
                 continue
-            start = m.start() + m[0].index(value)
-            end = start + len(value)
-            over = [k for s, k, e in base[max(0, bisect_right(starts, start) - 4) : bisect_right(starts, end)] if s < end and e > start]
-            form = shape(value)
-            before, after = (words[i - 1][0].lower() if i else "^"), (words[i + 1][0].lower() if i + 1 < len(words) else "$")
-            tokens.append((start, end, over[0] if over else -1, f"{before[-32:]} _{form}", f"_{form} {after[:32]}", value))
+            value, outer = text[start:end], (i == 0, j == n - 1)
+            beside = before(run[i][0]) if outer[0] or i == j else None, after(run[j][0]) if outer[1] or i == j else None
+            tokens.append((start, end, -1, contexts_of(value, *beside, outer), value))
     return counts, base, tokens
 
 
@@ -121,7 +182,7 @@ def confident_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """context, kind: the contexts that mark identifiers, from the tokens of extracted()."""
     token = found.select(F.explode("tokens").alias("t"))
     edges = written(
-        token.select(F.explode(F.array("t.before", "t.after")).alias("context"), "t.value", "t.kind").groupBy("context", "value").agg(F.max("kind").alias("kind")),
+        token.select(F.explode("t.contexts").alias("context"), "t.value", "t.kind").groupBy("context", "value").agg(F.max("kind").alias("kind")),
         "personal-edges",
     )
     seeds = edges.where("kind >= 0").groupBy("value").agg(F.min("kind").alias("kind"))
@@ -143,11 +204,20 @@ def confident_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discovered(found: DataFrame, contexts: DataFrame) -> DataFrame:
-    """doc_id, key, added: the spans that the contexts mark, sorted."""
+    """doc_id, key, added: the spans that the contexts mark, sorted; overlapping ones are one span of the kind of the first and longest."""
     token = found.select("doc_id", "key", F.explode("tokens").alias("t")).where("t.kind < 0")
-    each = token.select("doc_id", "key", "t.start", "t.end", F.explode(F.array("t.before", "t.after")).alias("context"))
+    each = token.select("doc_id", "key", "t.start", "t.end", F.explode("t.contexts").alias("context"))
     marked = each.join(contexts, "context").groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("kind"))
-    return marked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    spans = marked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", F.negative("end").alias("back"), "kind"))).alias("spans"))
+
+    def merge(done: Column, s: Column) -> Column:
+        last, end = F.try_element_at(done, F.lit(-1)), F.negative(s["back"])
+        new = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end.alias("end"))
+        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], end).alias("end"))
+        overlaps = (F.size(done) > 0) & (s["start"] < last["end"])
+        return F.when(overlaps, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(new)))
+
+    return spans.select("doc_id", "key", F.aggregate("spans", F.array().cast(f"array<{SPAN}>"), merge).alias("added"))
 
 
 def _joined(spans: Column) -> Column:

@@ -292,6 +292,21 @@ def test_unseen_identifiers_are_found(spark):
     assert out[300] == "my account <CARD> thanks" and out[302] is None and "<EMAIL>" in out[100]
 
 
+def test_whole_spans_give_contexts(spark):
+    """Spans of several tokens and e-mails without digits teach the words beside them; candidates may be several tokens too."""
+    cards = [" ".join(re.findall("....", f"4{n:015d}")) for n in range(200) if personal.luhn(f"4{n:015d}")][:6]
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz"]
+    seeds = [t for n in range(6) for t in (f"call me on +1 (743) 555-{3000 + n} x{n}", f"pay with {cards[n]} y{n}", f"mail me at {names[n]}@mail.example.com z{n}")]
+    unseen = ["call me on (743) 555-3824 tomorrow", "pay with 4111 1111 1111 1112 soon", "mail me at gerd@localhost then", "room (743) 555-3824 was 4111 1111 1111 1112 wide"]
+    df = spark.createDataFrame([*enumerate(seeds), *enumerate(unseen, 100)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in personal.find(df).collect()}
+    assert [rows[n] for n in range(100, 104)] == ["phone:11:25", "card:9:28", "email:11:25", ""]
+    out = {r.doc_id: r.text for r in personal.redact(df).collect()}
+    assert out[100] == "call me on <PHONE> tomorrow" and out[101] == "pay with <CARD> soon" and out[103] == unseen[3]
+    _, _, tokens = personal.extract("so call (+1 (743) 555-3824), please")
+    assert [t[3][0] for t in tokens] == ["call _+d1 (d3) d3-d4"] and tokens[0][3][2].startswith("_+d1 (d3) d3-d4 please")
+
+
 def test_chat_matches_duckdb(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "bot", None), (1, 2, "bot", None), (1, None, None, "é👍"), (2, 0, "system", "x"), (None, 70, "user", "late"), (None, 1, "amy", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
