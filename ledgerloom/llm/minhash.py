@@ -1,10 +1,12 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is SHINGLE consecutive words (all words of a shorter text); its weight is its count in the text times the
-mean inverse document frequency of its words. Document frequencies are counted over all documents, in COUNTERS hashed
-counters, so what every task needs of them has a fixed size. Consistent weighted sampling draws HASHES samples of each
-text; two texts agree in a sample with the probability of their weighted Jaccard similarity. Samples are banded: texts
-that agree on a whole band meet in a bucket (two of similarity 0.8 meet nowhere with a probability of 2e-5).
+mean inverse document frequency of its words. Document frequencies are counted over all documents, for each word (a
+64-bit hash of it). Similarities are computed with these; only the samples, which find candidates, are drawn with
+frequencies in COUNTERS hashed counters, so what every task needs for them has a fixed size. Consistent weighted
+sampling draws HASHES samples of each text; two texts agree in a sample with the probability of their weighted Jaccard
+similarity under the counters. Samples are banded: texts that agree on a whole band meet in a bucket (two of similarity
+0.8 meet nowhere with a probability of 2e-5).
 
 Texts with equal words are one node from the start. In a bucket, cut into blocks of bounded size, a pair whose samples
 agree often enough is a candidate (one of similarity 0.8 falls short with a probability of 1e-4). Candidates make groups,
@@ -18,6 +20,7 @@ of a text is its smallest doc_id (null before all); other columns are kept by `f
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +39,10 @@ HASHES = BANDS * ROWS
 #: Of HASHES samples so many agree in a candidate pair.
 AGREE = 28
 COUNTERS, TABLE_BITS = 2**18, 15
+#: The most frequent words, whose frequencies every task holds, and the words whose partial counts a task holds at once.
+COMMON, HELD = 50_000, 2_000_000
+#: Inverse document frequencies by counter, or what gives them for word hashes.
+Weights = np.ndarray | Callable[[np.ndarray], np.ndarray]
 
 
 @lru_cache(1)
@@ -50,10 +57,10 @@ def sampling_tables() -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def weighted_shingles_of(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def weighted_shingles_of(texts: list[str | None], idf: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted shingle hashes and their weights for each of some texts."""
     words, counts = word_hashes_of(texts)
-    value = idf[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    value = idf(words) if callable(idf) else idf[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
     begin = np.cumsum(counts) - counts
     whole = counts >= SHINGLE
     n = max(len(words) - SHINGLE + 1, 0)
@@ -81,7 +88,7 @@ def weighted_shingles_of(texts: list[str | None], idf: np.ndarray) -> list[tuple
     return out
 
 
-def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted_shingles(text: str | None, idf: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of a text and their weights."""
     return weighted_shingles_of([text], idf)[0]
 
@@ -149,6 +156,91 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return 1 + np.log((1 + rows["n"].to_numpy()[~used].sum()) / (1 + seen))
 
 
+def distinct_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each text as signed hashes, and the number of the text each is of."""
+    words, counts = word_hashes_of(texts)
+    words, of = signed(words), np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((words, of))
+    words, of = words[order], of[order]
+    fresh = np.ones(len(words), dtype=bool)
+    fresh[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
+    return words[fresh], of[fresh]
+
+
+def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    found, at = np.unique(np.concatenate(words), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), minlength=len(found)).astype(np.int64)
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """A written table: word (its hash), n: in how many documents it stands. Tasks count what they read before anything is shuffled."""
+
+    def tally(batches):
+        words, counts, size = [], [], 0
+        for pdf in batches:
+            for texts in in_portions(pdf["text"]):
+                found, n = np.unique(distinct_words(texts)[0], return_counts=True)
+                words, counts, size = [*words, found], [*counts, n], size + len(found)
+                if size > HELD:
+                    found, n = summed(words, counts)
+                    if len(found) > HELD // 2:
+                        yield pd.DataFrame({"word": found, "n": n})
+                        found, n = found[:0], n[:0]
+                    words, counts, size = [found], [n], len(found)
+        if size:
+            found, n = summed(words, counts)
+            yield pd.DataFrame({"word": found, "n": n})
+
+    return written(docs.select("text").mapInPandas(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+
+
+def common_words(frequencies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The COMMON most frequent words, sorted by hash, and their frequencies."""
+    top = frequencies.orderBy(F.desc("n"), "word").limit(COMMON).toPandas().sort_values("word")
+    return top["word"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
+
+
+def looked_up(words: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of words among sorted keys, 0 for those that are not there."""
+    if not len(keys):
+        return np.zeros(len(words), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    return np.where(keys[at] == words, values[at], 0)
+
+
+def with_rare_words(texts: DataFrame, frequencies: DataFrame, common) -> DataFrame:
+    """A written table: texts with the words of each that are not common (word) and their frequencies (seen)."""
+
+    def rare(batches):
+        for pdf in batches:
+            begin = 0
+            for part in in_portions(pdf["text"]):
+                words, of = distinct_words(part)
+                left = looked_up(words, *common.value) == 0
+                yield pd.DataFrame({"node": pdf["node"].to_numpy()[begin + of[left]], "word": words[left]})
+                begin += len(part)
+
+    pairs = texts.select("node", "text").mapInPandas(rare, "node long, word long").join(frequencies, "word")
+    of_node = pairs.groupBy("node").agg(F.collect_list(F.struct("word", "n")).alias("rare")).select("node", F.col("rare.word").alias("word"), F.col("rare.n").alias("seen"))
+    return written(texts.join(of_node, "node", "left"), "weighed")
+
+
+def exact_weights(common: tuple[np.ndarray, np.ndarray], word, seen, total: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Inverse document frequencies of a text's words, from the common ones and those of its own."""
+    word, seen = (np.asarray([] if x is None else x, dtype=np.int64) for x in (word, seen))
+    order = np.argsort(word)
+    word, seen = word[order], seen[order]
+
+    def weigh(words: np.ndarray) -> np.ndarray:
+        n = looked_up(signed(words), *common) + looked_up(signed(words), word, seen)
+        if not n.all():
+            raise ValueError("a word without a document frequency")
+        return 1 + np.log((1 + total) / (1 + n))
+
+    return weigh
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """A written table: row, doc_id, key (hash of the text), word_key (of its words; null without words), signature, bands."""
 
@@ -219,12 +311,13 @@ def candidates(units: DataFrame) -> DataFrame:
     return units.groupBy("_unit").applyInPandas(find, "a long, b long").distinct()
 
 
-def verified(units: DataFrame, idf) -> DataFrame:
+def verified(units: DataFrame, common, total: int) -> DataFrame:
     """a, b: pairs whose weighted Jaccard similarity reaches the threshold, enough of them to join all that any such candidate joins. Pairs that agree most come first, and what is joined already is not compared again."""
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        signature, text, node, out = pdf["signature"].tolist(), pdf["text"].tolist(), pdf["node"].to_numpy(), []
+        signature, text, word, seen = (pdf[c].tolist() for c in ("signature", "text", "word", "seen"))
+        node, out = pdf["node"].to_numpy(), []
         for g in groups_of(pdf, "_bucket", "_left", "_right"):
             agree = np.triu(agreement([signature[k] for k in g]), 1)
             i, j = np.nonzero(agree >= AGREE)
@@ -235,7 +328,7 @@ def verified(units: DataFrame, idf) -> DataFrame:
                     continue
                 for n in (x, y):
                     if n not in shingles:
-                        shingles[n] = weighted_shingles(text[g[n]], idf.value)
+                        shingles[n] = weighted_shingles(text[g[n]], exact_weights(common.value, word[g[n]], seen[g[n]], total))
                 if similarity(shingles[x], shingles[y]) >= THRESHOLD:
                     out.append((g[x], g[y]))
                     root[root == root[y]] = root[x]
@@ -262,8 +355,11 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(groups, "node").select("node", "group", "signature", F.col("doc_id").alias("of"), F.col("key").alias("at"))
     found = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
     texts = written(found.groupBy("node").agg(F.any_value("group").alias("group"), F.any_value("signature").alias("signature"), F.any_value("text").alias("text")), "texts")
+    frequencies = document_frequencies(docs)
+    common = spark.sparkContext.broadcast(common_words(frequencies))  # COMMON words at most
+    weighed = with_rare_words(texts, frequencies, common)
     blocks = in_units(texts.select("node", "group"), ["group"], "node", unit=1_000).drop("group")
-    roots = written(components(verified(blocks.join(texts.select("node", "signature", "text"), "node"), idf)), "roots")
+    roots = written(components(verified(blocks.join(weighed.select("node", "signature", "text", "word", "seen"), "node"), common, docs.count())), "roots")
 
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct("node_id", "node")).alias("best"))

@@ -52,6 +52,38 @@ def test_near_duplicates(spark, docs, texts):
     assert sum(r.kept for r in got) == len(set(comp.values()))
 
 
+def test_similarities_use_exact_frequencies(spark):
+    """More words than counters: links by a document frequency of each word, computed here."""
+    common = [f"c{n}" for n in range(100)]
+    fill = spark.range(12).selectExpr("id + 1000 as doc_id", "concat_ws(' ', '" + " ".join(common) + "', concat_ws(' ', transform(sequence(0, 300000), x -> concat('f', id, '_', x)))) as text")
+    pairs = []
+    for k in range(4):
+        rare = [f"r{k}_{n}" for n in range(40)]
+        pairs += [common + [f"{s}{k}_{n}" for n in range(7)] for s in "ab"]  # rare words differ
+        pairs += [rare + common[10 * k : 10 * k + 8], rare + common[99 : 91 - k : -1][:8]]  # common words differ
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(pairs)], "doc_id long, text string").unionByName(fill)
+    held = [set(r.text.split()) for r in docs.collect()]
+    seen = Counter(w for h in held for w in h)
+
+    def vector(w):
+        idf = [1 + np.log((1 + len(held)) / (1 + seen[x])) for x in w]
+        out = Counter()
+        for i in range(len(w) - 4):
+            out[tuple(w[i : i + 5])] += sum(idf[i : i + 5]) / 5
+        return out
+
+    def similar(a, b):
+        both = sum(min(x, b[s]) for s, x in a.items())
+        return both / (sum(a.values()) + sum(b.values()) - both)
+
+    vectors = [vector(w) for w in pairs]
+    near = {(i, j): similar(vectors[i], vectors[j]) for i in range(len(pairs)) for j in range(i + 1, len(pairs))}
+    assert sum(x >= 0.8 for x in near.values()) >= 4 and all(near[4 * k, 4 * k + 1] < 0.78 for k in range(4))
+    expected = classes_of(range(len(pairs)), [p for p, x in near.items() if x >= 0.8])
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert {n: got[n] for n in range(len(pairs))} == expected and all(got[n] == n for n in range(1000, 1012))
+
+
 def test_near_duplicate_filter(docs, texts):
     kept = minhash.filter_documents(docs)
     assert kept.columns == docs.columns
