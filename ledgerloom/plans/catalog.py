@@ -63,6 +63,22 @@ def first_level_subject(spark, d):
     return spark.sql(SAMPLES).select("name", S.first_level_subject(F.col("name")).alias("subject"))
 
 
+@register("SELECT voucher, line_no, coalesce(replace(replace(regexp_replace(subject, '^[\\s　]+|[\\s　]+$', '', 'g'), ' ', ''), chr(9), ''), '') AS subject FROM lines", LINES)
+def line_subjects(spark, d):
+    """normalize_subject over every line of the journal."""
+    return lines(spark, d).select("voucher", "line_no", S.normalize_subject(F.col("subject")).alias("subject"))
+
+
+@register(
+    "SELECT voucher, line_no, CASE WHEN contains(s, '-') THEN split_part(s, '-', 1) WHEN contains(s, '_') THEN split_part(s, '_', 1) WHEN contains(s, '——') THEN split_part(s, '——', 1) WHEN contains(s, '—') THEN split_part(s, '—', 1) ELSE s END AS subject "
+    "FROM (SELECT voucher, line_no, coalesce(replace(replace(regexp_replace(subject, '^[\\s　]+|[\\s　]+$', '', 'g'), ' ', ''), chr(9), ''), '') AS s FROM lines)",
+    LINES,
+)
+def line_first_level_subjects(spark, d):
+    """first_level_subject over every line of the journal."""
+    return lines(spark, d).select("voucher", "line_no", S.first_level_subject(F.col("subject")).alias("subject"))
+
+
 @register("SELECT DISTINCT voucher, date, number FROM lines", LINES)
 def voucher_id(spark, d):
     """The three accepted date formats give the same number."""

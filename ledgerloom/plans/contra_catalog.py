@@ -146,6 +146,18 @@ def plan_selection(spark, d):
     return solver.plan_selection(plan)
 
 
+@register()
+def solution_scores(spark, d):
+    """occam_score over every solution of every ledger."""
+    return solver.occam_scores(contra_solutions(spark, d).where("n is not null")).select("ledger_key", "n", "links", "score")
+
+
+@register()
+def plan_choices(spark, d):
+    """plan_selection over the whole plan table."""
+    return solver.plan_selection(plan_table(spark, d))
+
+
 @register()
 def contra_mvn(spark, d):
     _, clean, r = _routed(spark, d)

@@ -46,3 +46,25 @@ def test_report_keeps_every_amount(spark):
     got = out.agg(F.sum("debit"), F.sum("credit")).first()
     assert got[0] == pytest.approx(due[0]) and got[1] == pytest.approx(due[1])
     spark.catalog.clearCache()
+
+
+def test_helpers_run_over_whole_tables(spark):
+    """Every line, solution and plan goes through its function; scores and choices are computed here too."""
+    queries = catalog.queries()
+    n = catalog.lines(spark, SF).count()
+    assert queries["line_subjects"](spark, SF).count() == n == queries["line_first_level_subjects"](spark, SF).count()
+
+    def score(links):
+        keys = [[(l[f"{p}_subject"], l[f"{p}_sign"]) for l in links] for p in "dc"]
+        extra = [sum((k.count(x) - 1) * (2 if "应交税费" in x[0] else 1) for x in set(k)) for k in keys]
+        d, c = (5, 1) if len(set(keys[0])) >= len(set(keys[1])) else (1, 5)
+        return 100 - len(links) - d * extra[0] - c * extra[1]
+
+    solved = queries["contra_solutions"](spark, SF).where("n is not null").count()
+    rows = queries["solution_scores"](spark, SF).collect()
+    assert len(rows) == solved > 0 and all(r.score == pytest.approx(score(r.links)) for r in rows)
+    marked = {}
+    for r in queries["plan_table"](spark, SF).where("mark = 'x'").collect():
+        marked[r.pattern] = int(r.option.split("-")[1])
+    assert {r.pattern: r.choice for r in queries["plan_choices"](spark, SF).collect()} == marked != {}
+    spark.catalog.clearCache()
