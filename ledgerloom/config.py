@@ -38,11 +38,11 @@ INVALID, UNSOLVED = "无效分录", "需人工分析(无解)"
 
 # Account categories.
 CATEGORIES = {
-    "asset": "银行存款 库存现金 其他货币资金 原材料 半成品 产成品 库存商品 周转材料 委托加工物资 发出商品 材料采购过渡 在途物资 材料成本差异 交易性金融资产 应收票据 应收账款 预付账款 其他应收款 应收利息 应收股利 固定资产 累计折旧 固定资产清理 在建工程 工程物资 无形资产 累计摊销 长期待摊费用 待处理财产损溢 存货跌价准备 固定资产减值准备 无形资产减值准备 长期股权投资 投资性房地产 使用权资产 使用权资产累计折旧 长期应收款".split(),
-    "liability": "应付账款 应付票据 其他应付款 应付账款暂估 暂估应付账款 预收账款 合同负债 应付职工薪酬 应付工资 应付福利费 应付社会保险费 应付住房公积金 应交税费 应交增值税 应交消费税 应交所得税 应交城市维护建设税 应交教育费附加 应交地方教育费附加 未交增值税 待抵扣进项税额 待认证进项税额 应付利息 应付股利 短期借款 长期借款 长期应付款 预计负债 递延收益 租赁负债".split(),
-    "expense": "管理费用 销售费用 财务费用 研发费用 税金及附加 业务招待费 差旅费 办公费 折旧费 摊销费 维修费 水电费 通讯费 培训费 广告费 运输费 装卸费 包装费 展览费 租赁费 利息支出 手续费 汇兑损益 资产减值损失 信用减值损失".split(),
-    "cost": "主营业务成本 其他业务成本 其他业务支出 生产成本 制造费用 劳务成本 基本生产成本 辅助生产成本 废品损失 停工损失 开发支出".split(),
-    "revenue": "主营业务收入 其他业务收入 投资收益 公允价值变动损益 营业外收入 其他收益 补贴收入 租赁收入".split(),
+    "asset": ["银行存款", "库存现金", "其他货币资金", "原材料", "半成品", "产成品", "库存商品", "周转材料", "委托加工物资", "发出商品", "材料采购过渡", "在途物资", "材料成本差异", "交易性金融资产", "应收票据", "应收账款", "预付账款", "其他应收款", "应收利息", "应收股利", "固定资产", "累计折旧", "固定资产清理", "在建工程", "工程物资", "无形资产", "累计摊销", "长期待摊费用", "待处理财产损溢", "存货跌价准备", "固定资产减值准备", "无形资产减值准备", "长期股权投资", "投资性房地产", "使用权资产", "使用权资产累计折旧", "长期应收款"],
+    "liability": ["应付账款", "应付票据", "其他应付款", "应付账款暂估", "暂估应付账款", "预收账款", "合同负债", "应付职工薪酬", "应付工资", "应付福利费", "应付社会保险费", "应付住房公积金", "应交税费", "应交增值税", "应交消费税", "应交所得税", "应交城市维护建设税", "应交教育费附加", "应交地方教育费附加", "未交增值税", "待抵扣进项税额", "待认证进项税额", "应付利息", "应付股利", "短期借款", "长期借款", "长期应付款", "预计负债", "递延收益", "租赁负债"],
+    "expense": ["管理费用", "销售费用", "财务费用", "研发费用", "税金及附加", "业务招待费", "差旅费", "办公费", "折旧费", "摊销费", "维修费", "水电费", "通讯费", "培训费", "广告费", "运输费", "装卸费", "包装费", "展览费", "租赁费", "利息支出", "手续费", "汇兑损益", "资产减值损失", "信用减值损失"],
+    "cost": ["主营业务成本", "其他业务成本", "其他业务支出", "生产成本", "制造费用", "劳务成本", "基本生产成本", "辅助生产成本", "废品损失", "停工损失", "开发支出"],
+    "revenue": ["主营业务收入", "其他业务收入", "投资收益", "公允价值变动损益", "营业外收入", "其他收益", "补贴收入", "租赁收入"],
 }
 
 

@@ -53,13 +53,11 @@ def groups(subjects: Column, s: Settings = DEFAULT) -> Column:
 def classify(v: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Vouchers with primary_group, involved, involved_groups (joined), group_count, classify_type and is_cross_group.
 
-    Features repeat far more than they vary, so each is classified once and joined back (broadcast where it is small).
+    Each voucher is classified where it is: a join by feature would send the commonest one to one task.
     """
-    features = v.select("feature").distinct().withColumn("g", groups(S.split_subjects(F.col("feature")), s))
-    known = features.select("feature", "g.*").withColumns(
-        {"involved_groups": S.join_subjects(F.col("involved")), "group_count": F.size("involved"), "is_cross_group": F.size("involved") > 1}
-    )
-    return v.drop("primary_group", "involved", "classify_type", "involved_groups", "group_count", "is_cross_group").join(known, "feature")
+    of = v.drop("primary_group", "involved", "classify_type", "involved_groups", "group_count", "is_cross_group")
+    known = of.withColumn("_g", groups(S.split_subjects(F.col("feature")), s)).select("*", "_g.*").drop("_g")
+    return known.withColumns({"involved_groups": S.join_subjects(F.col("involved")), "group_count": F.size("involved"), "is_cross_group": F.size("involved") > 1})
 
 
 def group_distribution(c: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Contra accounts: which subject each line is settled against.
 
-Vouchers are routed by rule; one-to-one, one-to-many, closing and exchange vouchers are rebuilt with built-in functions.
-Only many-to-many vouchers go through the allocation search (solver.py), once per distinct ledger.
-Lines are canonical: voucher, line_no, subject, debit, credit (decimal(18,2)); other columns are ignored.
+Vouchers are routed by rule, in one pass over lines that are shuffled by voucher once; all but many-to-many vouchers are
+rebuilt with built-in functions. Only many-to-many vouchers go through the allocation search (solver.py), once per
+distinct ledger. Lines are canonical: voucher, line_no, subject, debit, credit (decimal(18,2)); the other columns that a
+caller names stay on every row that a line gives, virtual rows too.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ def is_exchange_difference(subjects: Column) -> Column:
     return F.exists(subjects, lambda s: s.contains(FX_SUBJECT)) & ~F.exists(subjects, lambda s: S.contains_any(s, FX_OPERATING)) & (monetary >= 3)
 
 
-def routes(clean: DataFrame) -> DataFrame:
-    """voucher, subjects by side, and structure: empty, closing, fx, 1v1, 1vN, Nv1 or MvN (everything else, one-sided vouchers too)."""
-    side = lambda c: F.array_sort(F.collect_set(F.when(F.abs(c) > 0.0001, F.col("subject"))))
-    v = clean.groupBy("voucher").agg(F.array_sort(F.collect_set("subject")).alias("subjects"), side("debit").alias("ds"), side("credit").alias("cs"))
+def _side(amount: str) -> Column:
+    return F.collect_set(F.when(F.abs(amount) > 0.0001, F.col("subject")))
+
+
+def _structure() -> Column:
+    """empty, closing, fx, 1v1, 1vN, Nv1 or MvN (everything else, one-sided vouchers too), from subjects, ds and cs."""
     d, c = F.size("ds"), F.size("cs")
-    structure = (
+    return (
         F.when((d + c) == 0, "empty")
         .when(F.array_contains("subjects", CLOSING_SUBJECT), "closing")
         .when(is_exchange_difference(F.col("subjects")), "fx")
@@ -48,7 +51,22 @@ def routes(clean: DataFrame) -> DataFrame:
         .when((d > 1) & (c == 1), "Nv1")
         .otherwise("MvN")
     )
-    return v.withColumn("structure", structure)
+
+
+def routes(clean: DataFrame) -> DataFrame:
+    """voucher, subjects, ds and cs (subjects by side), and structure: one row per voucher."""
+    sets = {"subjects": F.collect_set("subject"), "ds": _side("debit"), "cs": _side("credit")}
+    v = clean.groupBy("voucher").agg(*(F.array_sort(x).alias(k) for k, x in sets.items()))
+    return v.withColumn("structure", _structure())
+
+
+def routed(lines: DataFrame) -> DataFrame:
+    """Cleaned lines with raw_debit and raw_credit, and with the route of their voucher: one shuffle by voucher."""
+    w = Window.partitionBy("voucher")
+    clean = cleaned(lines.withColumns({"raw_debit": F.col("debit"), "raw_credit": F.col("credit")}))
+    sets = {"subjects": F.collect_set("subject"), "ds": _side("debit"), "cs": _side("credit")}
+    out = clean.withColumns({k: x.over(w) for k, x in sets.items()}).withColumns({k: F.array_sort(k) for k in sets})
+    return out.withColumn("structure", _structure()).drop("subjects")
 
 
 def process_stats(r: DataFrame) -> DataFrame:
@@ -59,63 +77,74 @@ def process_stats(r: DataFrame) -> DataFrame:
 COLUMNS = ["voucher", "line_no", "subject", "debit", "credit", "contra", "virtual"]
 
 
-def _rows(df: DataFrame, contra: Column, debit: Column | None = None, credit: Column | None = None) -> DataFrame:
-    amount = lambda c, given: (F.col(c) if given is None else given).cast("double").alias(c)
-    return df.select("voucher", "line_no", "subject", amount("debit", debit), amount("credit", credit), contra.alias("contra"), F.lit(False).alias("virtual"))
+def _row(subject: Column, debit: Column, credit: Column, contra: Column, virtual: bool = False) -> Column:
+    number = lambda c: c.cast("double")
+    return F.struct(subject.alias("subject"), number(debit).alias("debit"), number(credit).alias("credit"), contra.alias("contra"), F.lit(virtual).alias("virtual"))
 
 
-def settled(clean: DataFrame, r: DataFrame, structure: str) -> DataFrame:
-    """Lines of one structure with the route of their voucher."""
-    return clean.join(r.where(F.col("structure") == structure).select("voucher", "ds", "cs"), "voucher")
+def _touched(debit: str, credit: str) -> Column:
+    return (F.abs(debit) > 0.001) | (F.abs(credit) > 0.001)
 
 
-def touched() -> Column:
-    return (F.abs("debit") > 0.001) | (F.abs("credit") > 0.001)
+def _shared_out(side: str, own: str, other: str) -> Column:
+    """A line's amount on one side, shared out in proportion over the links of its subject and sign."""
+    amount = F.col(side)
+    sign = F.when(amount >= 0, "Pos").otherwise("Neg")
+    mine = F.filter("links", lambda l: (l[f"{own}_subject"] == F.col("subject")) & (l[f"{own}_sign"] == sign))
+    whole = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, l: acc + l["cents"])
+    part = lambda l: amount.cast("double") * (l["cents"] / whole)
+    zero = F.lit(0.0)
+    rows = F.transform(mine, lambda l: _row(F.col("subject"), part(l) if side == "debit" else zero, part(l) if side == "credit" else zero, l[f"{other}_subject"]))
+    return F.when((F.abs(amount) > 0.001) & (whole != 0), rows).otherwise(F.array().cast(ROWS))
 
 
-def invalid_rows(lines: DataFrame, r: DataFrame) -> DataFrame:
-    return _rows(settled(lines, r, "empty"), F.lit(INVALID))
+ROWS = "array<struct<subject:string,debit:double,credit:double,contra:string,virtual:boolean>>"
 
 
-def closing_rows(lines: DataFrame, r: DataFrame) -> DataFrame:
-    return _rows(settled(lines, r, "closing"), F.when(touched(), CLOSING_SUBJECT).otherwise(""))
+def rebuilt(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of COLUMNS, and the columns to keep, from routed() lines; those of many-to-many vouchers need the column links (null: no solution).
 
+    Vouchers without amounts, closing and exchange vouchers keep the amounts they came with. In one-to-many vouchers every
+    line of the many-side stays, and for each there is a virtual line of the single side; the single side's own lines go.
+    """
+    subject, debit, credit, ds, cs, raw = F.col("subject"), F.col("debit"), F.col("credit"), F.col("ds"), F.col("cs"), (F.col("raw_debit"), F.col("raw_credit"))
+    zero, structure, nothing = F.lit(0.0), F.col("structure"), F.array().cast(ROWS)
+    d, c = F.abs("debit") > 0.001, F.abs("credit") > 0.001
+    moved = _touched("raw_debit", "raw_credit")
+    fx = F.when(~moved, "").when(subject.contains(FX_SUBJECT), FX_CONTRA).otherwise(FX_SUBJECT)
+    rows = (
+        F.when(structure == "empty", F.array(_row(subject, *raw, F.lit(INVALID))))
+        .when(structure == "closing", F.array(_row(subject, *raw, F.when(moved, CLOSING_SUBJECT).otherwise(""))))
+        .when(structure == "fx", F.array(_row(subject, *raw, fx)))
+        # each side's subject is the other's contra; a line with both sides keeps the debit only
+        .when(structure == "1v1", F.array(_row(subject, debit, F.when(d, zero).otherwise(credit.cast("double")), F.when(d, cs[0]).when(c, ds[0]).otherwise(""))))
+        .when(structure == "1vN", F.when(F.abs("credit") > 0.0001, F.array(_row(subject, zero, credit, ds[0]), _row(ds[0], credit, zero, subject, True))).otherwise(nothing))
+        .when(structure == "Nv1", F.when(F.abs("debit") > 0.0001, F.array(_row(subject, debit, zero, cs[0]), _row(cs[0], zero, debit, subject, True))).otherwise(nothing))
+    )
+    if "links" in lines.columns:
+        solved = F.concat(_shared_out("debit", "d", "c"), _shared_out("credit", "c", "d"))
+        rows = rows.otherwise(F.when(F.col("links").isNull(), F.array(_row(subject, debit, credit, F.lit(UNSOLVED)))).otherwise(solved))
+    return lines.select("voucher", "line_no", *(F.col(f"`{k}`") for k in keep), F.explode(rows).alias("_r")).select("voucher", "line_no", "_r.*", *(F.col(f"`{k}`") for k in keep))
 
-def fx_rows(lines: DataFrame, r: DataFrame) -> DataFrame:
-    return _rows(settled(lines, r, "fx"), F.when(~touched(), "").when(F.col("subject").contains(FX_SUBJECT), FX_CONTRA).otherwise(FX_SUBJECT))
 
+def of_structure(lines: DataFrame, *structures: str) -> DataFrame:
+    """rebuilt() rows of vouchers of these structures, from routed() lines."""
+    return rebuilt(lines.where(F.col("structure").isin(*structures)))
 
-def one_to_one_rows(clean: DataFrame, r: DataFrame) -> DataFrame:
-    """Each side's subject is the other's contra; a line with both sides keeps the debit only."""
-    df = settled(clean, r, "1v1")
-    d, c = F.abs("debit") > 0.001, F.abs("credit") > 0.001
-    contra = F.when(d, F.col("cs")[0]).when(c, F.col("ds")[0]).otherwise("")
-    return _rows(df, contra, credit=F.when(d, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("credit")))
+
+def settled(clean: DataFrame, r: DataFrame, structure: str) -> DataFrame:
+    """Cleaned lines of one structure with the route of their voucher, by a join."""
+    return clean.join(r.where(F.col("structure") == structure).select("voucher", "ds", "cs", "structure"), "voucher")
 
 
 def one_to_many_rows(clean: DataFrame, r: DataFrame) -> DataFrame:
-    """Every line of the many-side, and for each a virtual line of the single side with the same amount; the single side's own lines go."""
-    out = None
-    for structure, many, single in (("1vN", "credit", "ds"), ("Nv1", "debit", "cs")):
-        df = settled(clean, r, structure).where(F.abs(many) > 0.0001)
-        amount, one = F.col(many).cast("double"), F.col(single)[0]
-        d, c = ("credit", "debit") if many == "credit" else ("debit", "credit")
-        row = lambda subject, side, contra, virtual: F.struct(
-            subject.alias("subject"),
-            F.when(F.lit(side == "debit"), amount).otherwise(0.0).alias("debit"),
-            F.when(F.lit(side == "credit"), amount).otherwise(0.0).alias("credit"),
-            contra.alias("contra"),
-            F.lit(virtual).alias("virtual"),
-        )
-        pair = F.array(row(F.col("subject"), d, one, False), row(one, c, F.col("subject"), True))
-        part = df.select("voucher", "line_no", F.explode(pair).alias("r")).select("voucher", "line_no", "r.*")
-        out = part if out is None else out.unionByName(part)
-    return out.select(COLUMNS)
-
-
-def ledgers(clean: DataFrame, r: DataFrame) -> DataFrame:
-    """voucher, subject, sign (Pos, Neg), side (D, C), cents of the many-to-many vouchers."""
-    df = settled(clean, r, "MvN")
+    both = settled(clean, r, "1vN").unionByName(settled(clean, r, "Nv1"))
+    return rebuilt(both.withColumns({"raw_debit": F.col("debit"), "raw_credit": F.col("credit")}))
+
+
+def ledgers(clean: DataFrame, r: DataFrame | None = None) -> DataFrame:
+    """voucher, subject, sign (Pos, Neg), side (D, C), cents of the many-to-many vouchers: of routed() lines, or of cleaned lines and their routes."""
+    df = clean.where("structure = 'MvN'") if r is None else settled(clean, r, "MvN")
     sides = F.array(F.struct(F.lit("D").alias("side"), F.col("debit").alias("amount")), F.struct(F.lit("C").alias("side"), F.col("credit").alias("amount")))
     each = df.select("voucher", "subject", F.explode(sides).alias("s")).select("voucher", "subject", "s.*").where(F.abs("amount") > 0.0001)
     sign = F.when(F.col("amount") >= 0, "Pos").otherwise("Neg")
@@ -134,28 +163,6 @@ def pattern_counts(vl: DataFrame) -> DataFrame:
     return vl.groupBy("pattern").agg(F.count("*").alias("n"), F.min("voucher").alias("sample")).withColumn("hash", F.md5(F.col("pattern").cast("binary")))
 
 
-def many_to_many_rows(clean: DataFrame, r: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Each line shared out over the links of the chosen solution (voucher, d_subject, d_sign, c_subject, c_sign, cents), in proportion; vouchers without a solution keep their lines."""
-    df = settled(clean, r, "MvN").drop("ds", "cs")
-    links = chosen.select("voucher", F.explode("links").alias("l")).select("voucher", "l.*")
-    out = _rows(df.join(chosen.select("voucher"), "voucher", "left_anti"), F.lit(UNSOLVED))
-    for side, own, other in (("debit", "d", "c"), ("credit", "c", "d")):
-        of = Window.partitionBy("voucher", f"{own}_subject", f"{own}_sign")
-        l = links.select("voucher", F.col(f"{own}_subject").alias("subject"), F.col(f"{own}_sign").alias("sign"), F.col(f"{other}_subject").alias("contra"), (F.col("cents") / F.sum("cents").over(of)).alias("part"), F.sum("cents").over(of).alias("whole"))
-        signed = df.where(F.abs(side) > 0.001).withColumn("sign", F.when(F.col(side) >= 0, "Pos").otherwise("Neg"))
-        split = signed.join(l.where("whole <> 0"), ["voucher", "subject", "sign"])
-        amount = F.col(side).cast("double") * F.col("part")
-        rows = _rows(split, F.col("contra"), **{side: amount, "credit" if side == "debit" else "debit": F.lit(0.0)})
-        out = out.unionByName(rows)
-    return out
-
-
-def report(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All vouchers rebuilt: voucher, line_no, subject, debit, credit, contra and whether the line is virtual."""
-    clean = cleaned(lines).persist()
-    r = routes(clean).persist()
-    parts = [invalid_rows(lines, r), closing_rows(lines, r), fx_rows(lines, r), one_to_one_rows(clean, r), one_to_many_rows(clean, r), many_to_many_rows(clean, r, chosen)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def report(lines: DataFrame, chosen: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All vouchers rebuilt, from canonical lines and chosen (voucher, links): COLUMNS and the columns to keep. Lines and solutions meet by voucher, as the lines lie already."""
+    return rebuilt(routed(lines).join(chosen.select("voucher", "links"), "voucher", "left"), keep)

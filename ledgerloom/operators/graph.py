@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.shared import drop_written, written
 
 
 def edges(lines: DataFrame) -> DataFrame:
@@ -29,20 +30,22 @@ def nodes(e: DataFrame) -> DataFrame:
 def levels(e: DataFrame) -> DataFrame:
     """primary_group, node, level: steps from the nearest node nothing leads to; nodes in cycles that none reaches follow one level after another, by name.
 
-    The edges are those of a chart of accounts (a few thousand at most, whatever the journal's size); each round joins
-    the frontier with them.
+    Each round joins the nodes reached last with the edges and writes what is reached so far to the shared folder, so
+    plans do not grow with the rounds. The edges are those of a chart of accounts, whatever the journal's size.
     """
-    e = e.select("primary_group", "src", "dst").distinct().cache()
-    every = nodes_of(e).cache()
-    reached = every.join(e.select("primary_group", F.col("dst").alias("node")).distinct(), ["primary_group", "node"], "left_anti").withColumn("level", F.lit(0))
-    depth = 0
+    e = written(e.select("primary_group", "src", "dst").distinct(), "edges")
+    every = nodes_of(e)
+    led_to = e.select("primary_group", F.col("dst").alias("node")).distinct()
+    reached = written(every.join(led_to, ["primary_group", "node"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    depth, n = 0, reached.count()
     while True:
-        frontier = reached.where(F.col("level") == depth).select("primary_group", F.col("node").alias("src"))
-        new = frontier.join(e, ["primary_group", "src"]).select("primary_group", F.col("dst").alias("node")).distinct().join(reached, ["primary_group", "node"], "left_anti")
-        new = new.withColumn("level", F.lit(depth + 1)).cache()
-        if new.isEmpty():
+        last = reached.where(F.col("level") == depth).select("primary_group", F.col("node").alias("src"))
+        new = last.join(e, ["primary_group", "src"]).select("primary_group", F.col("dst").alias("node")).distinct().join(reached, ["primary_group", "node"], "left_anti")
+        more = written(reached.unionByName(new.withColumn("level", F.lit(depth + 1))), "levels")
+        drop_written(reached)
+        reached, before, n, depth = more, n, more.count(), depth + 1
+        if n == before:
             break
-        reached, depth = reached.unionByName(new).cache(), depth + 1
     rest = every.join(reached, ["primary_group", "node"], "left_anti")
     last = reached.groupBy("primary_group").agg(F.max("level").alias("last"))
     order = F.row_number().over(Window.partitionBy("primary_group").orderBy("node"))

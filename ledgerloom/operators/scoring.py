@@ -80,15 +80,22 @@ def cross_scores(c: DataFrame, distances: DataFrame) -> DataFrame:
 def materiality(c: DataFrame, pareto: float = DEFAULT.pareto) -> DataFrame:
     """primary_group, level: the amount at which vouchers, largest first, reach the share `pareto` of their group's total.
 
-    Running sums are taken over distinct amounts of a group (equal amounts are counted before the window), in decimals.
+    In two steps: sums of ranges of amounts (a thousandth wide) show in which range the share is reached, and only the
+    distinct amounts of that range are run through, so no task gets all amounts of a group. Sums are decimals.
     """
     amounts = c.groupBy("primary_group", "abs_amount").agg(F.count("*").alias("n"))
-    amounts = amounts.withColumn("sum", (F.col("abs_amount") * F.col("n")).cast("decimal(38,2)"))
-    totals = amounts.groupBy("primary_group").agg(F.sum("sum").cast("decimal(38,2)").alias("total"), F.min("abs_amount").alias("least"))
-    w = Window.partitionBy("primary_group").orderBy(F.desc("abs_amount")).rowsBetween(Window.unboundedPreceding, 0)
-    running = amounts.withColumn("running", F.sum("sum").over(w)).join(F.broadcast(totals), "primary_group")
+    amounts = amounts.withColumns({"sum": (F.col("abs_amount") * F.col("n")).cast("decimal(38,2)"), "range": F.floor(F.ln(F.col("abs_amount").cast("double") + 1) * 1000)})
+    down = lambda order, *by: Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = amounts.groupBy("primary_group", "range").agg(F.sum("sum").cast("decimal(38,2)").alias("sum"), F.min("abs_amount").alias("least"))
+    group = Window.partitionBy("primary_group")
+    ranges = ranges.withColumns({"running": F.sum("sum").over(down("range", "primary_group")), "total": F.sum("sum").over(group), "least": F.min("least").over(group)})
     reached = F.col("running").cast("double") >= F.col("total").cast("double") * pareto
-    level = running.groupBy("primary_group").agg(F.max(F.when(reached, F.col("abs_amount"))).alias("crossing"), F.any_value("least").alias("least"), F.any_value("total").alias("total"))
+    # where rounding lets no range reach the total, the level is the least amount
+    crossing = ranges.groupBy("primary_group").agg(F.max(F.when(reached, F.struct("range", (F.col("running") - F.col("sum")).cast("decimal(38,2)").alias("before")))).alias("at"), F.any_value("total").alias("total"), F.any_value("least").alias("least"))
+    inside = amounts.join(F.broadcast(crossing.select("primary_group", F.col("at.range").alias("range"), "at.before", "total")), ["primary_group", "range"])  # one row per group
+    running = inside.withColumn("running", F.col("before") + F.sum("sum").over(down("abs_amount", "primary_group")))
+    found = running.groupBy("primary_group").agg(F.max(F.when(reached, F.col("abs_amount"))).alias("crossing"))
+    level = crossing.join(F.broadcast(found), "primary_group", "left")
     return level.select("primary_group", F.when(F.col("total") == 0, 0.0).otherwise(F.coalesce("crossing", "least").cast("double")).alias("level"))
 
 

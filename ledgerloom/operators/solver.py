@@ -2,8 +2,9 @@
 
 The larger side drives. Drivers are taken by ascending amount; each is covered either by whole buckets that sum to it or
 by whole buckets and a part of one more, in a fixed order, and what is left of the buckets goes to the next driver. A
-second search first pairs equal amounts. The work is in whole cents and bounded by a number of visited nodes, not by a
-clock, so results are the same everywhere. Spark deals the distinct ledgers over tasks; one call solves one ledger.
+second search first pairs equal amounts. The work is in whole cents and bounded by a number of visited nodes and of tried
+sets of buckets, not by a clock, so results are the same everywhere; a ledger that needs more has the status budget and
+the solutions found until then. Spark deals the distinct ledgers over tasks; one call solves one ledger.
 """
 
 from __future__ import annotations
@@ -19,20 +20,34 @@ from ledgerloom.config import SENSITIVE
 from ledgerloom.functions import scalars as S
 
 MAX_SOLUTIONS, MAX_NODES = 200, 20_000
+#: Sets of buckets that one search may try, for all its drivers together (a second or two).
+MAX_TRIED = 2_000_000
 LINKS = "array<struct<d_subject:string,d_sign:string,c_subject:string,c_sign:string,cents:long>>"
 Key = tuple[str, str]
 
 
 class Spent(Exception):
-    """The node budget is used up."""
+    """The budget is used up."""
+
+
+class Budget:
+    def __init__(self, nodes: int, tried: int = MAX_TRIED):
+        self.nodes, self.tried, self.spent = nodes, tried, False
+
+    def use(self, nodes: int = 0, tried: int = 0) -> None:
+        self.nodes -= nodes
+        self.tried -= tried
+        if self.nodes < 0 or self.tried < 0:
+            self.spent = True
+            raise Spent
 
 
 def _sensitive(key: Key) -> bool:
     return any(w in key[0] for w in SENSITIVE)
 
 
-def covers(key: Key, target: int, buckets: list[tuple[Key, int]]) -> Iterator[dict[Key, int]]:
-    """Ways to cover a driver's target, whole buckets first."""
+def covers(key: Key, target: int, buckets: list[tuple[Key, int]], budget: Budget) -> Iterator[dict[Key, int]]:
+    """Ways to cover a driver's target, whole buckets first; every set tried counts."""
     n, careful, seen = range(len(buckets)), _sensitive(key), set()
     opposite = lambda x: target * x < 0
 
@@ -42,6 +57,7 @@ def covers(key: Key, target: int, buckets: list[tuple[Key, int]]) -> Iterator[di
 
     for size in range(1, len(buckets) + 1):
         for chosen in combinations(n, size):
+            budget.use(tried=1)
             amounts = [buckets[i][1] for i in chosen]
             if sum(amounts) == target and not (careful and any(map(opposite, amounts))) and fresh(way := {buckets[i][0]: buckets[i][1] for i in chosen}):
                 yield way
@@ -51,6 +67,7 @@ def covers(key: Key, target: int, buckets: list[tuple[Key, int]]) -> Iterator[di
         others = [k for k in n if k != i]
         for size in range(len(others) + 1):
             for chosen in combinations(others, size):
+                budget.use(tried=1)
                 need = target - sum(buckets[k][1] for k in chosen)
                 if guarded:
                     fits = 0 < need < room or -room <= need < 0 if room > 0 else room < need < 0
@@ -64,20 +81,18 @@ def covers(key: Key, target: int, buckets: list[tuple[Key, int]]) -> Iterator[di
                     yield way
 
 
-def search(drivers: list[tuple[Key, int]], buckets: list[tuple[Key, int]], most: int, budget: list[int]) -> list[dict[Key, dict[Key, int]]]:
+def search(drivers: list[tuple[Key, int]], buckets: list[tuple[Key, int]], most: int, budget: Budget) -> list[dict[Key, dict[Key, int]]]:
     """Depth-first allocations of drivers (ascending) to buckets (ascending); stops at `most` results or when the budget is spent."""
     found: list[dict[Key, dict[Key, int]]] = []
 
     def step(at: int, given: dict, left: list[tuple[Key, int]]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0:
-            raise Spent
+        budget.use(nodes=1)
         if at == len(drivers):
             if sum(x for _, x in left) == 0:
                 found.append(given)
             return
         key, target = drivers[at]
-        for way in covers(key, target, left):
+        for way in covers(key, target, left, budget):
             if len(found) >= most:
                 return
             rest = [(k, x - way.get(k, 0)) for k, x in left]
@@ -96,7 +111,7 @@ def solve(debits: dict[Key, int], credits: dict[Key, int], most: int = MAX_SOLUT
     swapped = len(credits) > len(debits)
     drivers, buckets = (credits, debits) if swapped else (debits, credits)
     ascending = lambda side: sorted(side.items(), key=lambda kv: kv[1])
-    loose = [nodes]
+    loose = Budget(nodes)
     raw = search(ascending(drivers), ascending(buckets), 2 * most, loose)
 
     locked: dict[Key, dict[Key, int]] = {}
@@ -105,7 +120,7 @@ def solve(debits: dict[Key, int], credits: dict[Key, int], most: int = MAX_SOLUT
         if (equal := next((b for b, x in free.items() if x == amount), None)) is not None:
             locked[key] = {equal: amount}
             del free[equal]
-    strict = [nodes]
+    strict = Budget(nodes)
     rest = ascending({k: x for k, x in drivers.items() if k not in locked})
     if rest:
         raw += [r | locked for r in search(rest, ascending(free), 2 * most, strict)]
@@ -130,7 +145,7 @@ def solve(debits: dict[Key, int], credits: dict[Key, int], most: int = MAX_SOLUT
             out.append([(d, c, x) for (d, c), x in sorted(links.items(), key=lambda kv: list(debits).index(kv[0][0]))])
             if len(out) >= most:
                 break
-    status = "budget" if min(loose[0], strict[0]) < 0 else "solved" if out else "no_solution"
+    status = "budget" if loose.spent or strict.spent else "solved" if out else "no_solution"
     return out, status
 
 
@@ -166,10 +181,10 @@ MEMORY = 0.5
 
 
 def ranked(s: DataFrame) -> DataFrame:
-    """s with total (score weighted by the constant memory of 0.5) and rank from 1: best first, in the order found where equal."""
-    w = Window.partitionBy("ledger_key").orderBy(F.desc("score"), "n")
+    """s with total (score weighted by the constant memory of 0.5), rank from 1 (best first, in the order found where equal) and last, the ledger's greatest rank."""
+    w = Window.partitionBy("ledger_key")
     scored = occam_scores(s.where("n is not null"))
-    return scored.withColumns({"memory": F.lit(MEMORY), "total": S.round2(F.col("score") * (1 + 0.5 * MEMORY)), "rank": F.row_number().over(w)})
+    return scored.withColumns({"memory": F.lit(MEMORY), "total": S.round2(F.col("score") * (1 + 0.5 * MEMORY)), "rank": F.row_number().over(w.orderBy(F.desc("score"), "n")), "last": F.count("*").over(w)})
 
 
 def plan_table(vl: DataFrame, r: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -197,13 +212,9 @@ def plan_selection(plan: DataFrame) -> DataFrame:
 
 def choose(vl: DataFrame, r: DataFrame, selection: DataFrame | None = None) -> DataFrame:
     """voucher, links: every voucher's chosen solution, the best where nothing valid is selected for its pattern."""
+    links = r.select("ledger_key", "rank", "last", "links")
     if selection is None:
-        wanted = vl.withColumn("choice", F.lit(1))
-    else:
-        wanted = vl.join(F.broadcast(selection), "pattern", "left")
-    counts = r.groupBy("ledger_key").agg(F.max("rank").alias("last"))
-    wanted = wanted.join(counts, "ledger_key").withColumn("rank", F.when(F.col("choice").between(1, F.col("last")), F.col("choice")).otherwise(1))
-    return wanted.select("voucher", "ledger_key", "rank").join(r.select("ledger_key", "rank", "links"), ["ledger_key", "rank"]).select("voucher", "links")
-
-
-
+        return vl.select("voucher", "ledger_key").join(links.where("rank = 1"), "ledger_key").select("voucher", "links")
+    wanted = vl.select("voucher", "ledger_key", "pattern").join(selection, "pattern", "left").join(links, "ledger_key")
+    fits = F.when(F.col("choice").between(1, F.col("last")), F.col("choice")).otherwise(1)
+    return wanted.where(F.col("rank") == fits).select("voucher", "links")

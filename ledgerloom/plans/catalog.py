@@ -253,12 +253,12 @@ def feature_frequency(spark, d):
 
 @register("SELECT voucher, inner_score FROM inn", SCORED)
 def inner_score(spark, d):
-    return Z.inner_scores(classified(spark, d).persist())
+    return Z.inner_scores(classified(spark, d))
 
 
 @register("SELECT involved_groups, cross_score FROM crs", SCORED)
 def cross_score(spark, d):
-    c = classified(spark, d).persist()
+    c = classified(spark, d)
     return Z.cross_scores(c, Z.distance_matrix(c))
 
 
@@ -335,7 +335,7 @@ def score_histogram(spark, d):
     SCORED,
 )
 def materiality_preview(spark, d):
-    return Z.materiality_preview(classified(spark, d).persist())
+    return Z.materiality_preview(classified(spark, d))
 
 
 def grouped_lines(spark, d) -> DataFrame:
@@ -361,12 +361,33 @@ def graph_summary(spark, d):
     return G.summary(G.edges(grouped_lines(spark, d)))
 
 
-@register()
+# A walk of more steps than there are accounts reaches nothing new.
+LEVELS = (
+    SCORED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+nodes AS (SELECT primary_group, src AS node FROM e UNION SELECT primary_group, dst FROM e),
+walk AS (
+  SELECT primary_group, node, 0 AS level FROM nodes WHERE (primary_group, node) NOT IN (SELECT (primary_group, dst) FROM e)
+  UNION
+  SELECT e.primary_group, e.dst, level + 1 FROM walk JOIN e ON walk.primary_group = e.primary_group AND walk.node = e.src WHERE level < (SELECT max(n) FROM (SELECT count(*) AS n FROM nodes GROUP BY primary_group))),
+near AS (SELECT primary_group, node, min(level) AS level FROM walk GROUP BY ALL),
+lv AS (
+  SELECT primary_group, node, level FROM near
+  UNION ALL
+  SELECT primary_group, node, coalesce((SELECT max(level) FROM near WHERE near.primary_group = r.primary_group), 0) + row_number() OVER (PARTITION BY primary_group ORDER BY node)
+  FROM (SELECT * FROM nodes ANTI JOIN near USING (primary_group, node)) r)"""
+)
+
+
+@register("SELECT primary_group, node, CAST(level AS INTEGER) AS level FROM lv", LEVELS)
 def graph_levels(spark, d):
     return G.levels(G.edges(grouped_lines(spark, d)))
 
 
-@register()
+@register(
+    "SELECT primary_group, node, CAST(level AS INTEGER) AS level, CAST(level * 280 + 150 AS DOUBLE) AS x, (count(*) OVER (PARTITION BY primary_group, level) - 1) * 44.0::DOUBLE - (row_number() OVER (PARTITION BY primary_group, level ORDER BY node) - 1) * 88.0::DOUBLE AS y FROM lv",
+    LEVELS,
+)
 def graph_layout(spark, d):
     return G.layout(G.levels(G.edges(grouped_lines(spark, d))))
 

@@ -11,15 +11,20 @@ from ledgerloom.plans.catalog import business, classified, lines, register
 from ledgerloom.plans.oracle import CONTRA, LINES, R6
 
 
-def _routed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    raw = lines(spark, d)
-    clean = contra.cleaned(raw)
-    return raw, clean, contra.routes(clean)
+def _routes(spark, d) -> DataFrame:
+    return contra.routes(contra.cleaned(lines(spark, d)))
+
+
+def _routed(spark, d) -> DataFrame:
+    return contra.routed(lines(spark, d))
 
 
 def _ledgers(spark, d) -> DataFrame:
-    _, clean, r = _routed(spark, d)
-    return contra.voucher_ledgers(contra.ledgers(clean, r))
+    return contra.voucher_ledgers(contra.ledgers(_routed(spark, d)))
+
+
+def _chosen(vl: DataFrame) -> DataFrame:
+    return solver.choose(vl, solver.ranked(solver.solutions(vl)))
 
 
 @register("SELECT voucher, line_no, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM cl", CONTRA)
@@ -29,17 +34,17 @@ def clean_amounts(spark, d):
 
 @register("SELECT voucher, structure, array_to_string(ds, '、') AS ds, array_to_string(cs, '、') AS cs FROM route", CONTRA)
 def contra_structure(spark, d):
-    return _routed(spark, d)[2].select("voucher", "structure", S.join_subjects(F.col("ds")).alias("ds"), S.join_subjects(F.col("cs")).alias("cs"))
+    return _routes(spark, d).select("voucher", "structure", S.join_subjects(F.col("ds")).alias("ds"), S.join_subjects(F.col("cs")).alias("cs"))
 
 
 @register("SELECT count(*) FILTER (structure <> 'empty') AS processed, count(*) FILTER (structure IN ('1v1', '1vN', 'Nv1')) AS simple, count(*) FILTER (structure = 'MvN') AS complex FROM route", CONTRA)
 def contra_stats(spark, d):
-    return contra.process_stats(_routed(spark, d)[2])
+    return contra.process_stats(_routes(spark, d))
 
 
 @register("SELECT voucher FROM route WHERE structure = 'fx'", CONTRA)
 def fx_intercept(spark, d):
-    return _routed(spark, d)[2].where("structure = 'fx'").select("voucher")
+    return _routes(spark, d).where("structure = 'fx'").select("voucher")
 
 
 ROW = "SELECT voucher, line_no, subject, CAST({d} AS DOUBLE) AS debit, CAST({c} AS DOUBLE) AS credit, {x} AS contra, {v} AS virtual FROM {t} JOIN route USING (voucher) WHERE structure = '{s}'"
@@ -58,32 +63,27 @@ MANY_SQL = " UNION ALL ".join(
 
 @register(CLOSING_SQL, CONTRA)
 def contra_closing(spark, d):
-    raw, _, r = _routed(spark, d)
-    return contra.closing_rows(raw, r)
+    return contra.of_structure(_routed(spark, d), "closing")
 
 
 @register(FX_SQL, CONTRA)
 def contra_fx(spark, d):
-    raw, _, r = _routed(spark, d)
-    return contra.fx_rows(raw, r)
+    return contra.of_structure(_routed(spark, d), "fx")
 
 
 @register(ONE_SQL, CONTRA)
 def contra_1v1(spark, d):
-    _, clean, r = _routed(spark, d)
-    return contra.one_to_one_rows(clean, r)
+    return contra.of_structure(_routed(spark, d), "1v1")
 
 
 @register(MANY_SQL, CONTRA)
 def contra_1vn(spark, d):
-    _, clean, r = _routed(spark, d)
-    return contra.one_to_many_rows(clean, r)
+    return contra.of_structure(_routed(spark, d), "1vN", "Nv1")
 
 
 @register("SELECT voucher, subject, sign, side, cents FROM led", CONTRA)
 def contra_ledger(spark, d):
-    _, clean, r = _routed(spark, d)
-    return contra.ledgers(clean, r)
+    return contra.ledgers(_routed(spark, d))
 
 
 @register("SELECT pattern, count(*) AS n, min(voucher) AS sample, md5(pattern) AS hash FROM pat GROUP BY pattern", CONTRA)
@@ -93,7 +93,7 @@ def pattern_counts(spark, d):
 
 @register("SELECT voucher, md5(array_to_string(all_subjects, '、')) AS hash FROM route0", CONTRA)
 def pattern_hash(spark, d):
-    return _routed(spark, d)[2].select("voucher", S.pattern_hash(F.col("subjects")).alias("hash"))
+    return _routes(spark, d).select("voucher", S.pattern_hash(F.col("subjects")).alias("hash"))
 
 
 @register()
@@ -126,15 +126,10 @@ def occam_score(spark, d):
     return solver.occam_scores(spark.sql(FIXED).groupBy("sol").agg(F.collect_list(link).alias("links"))).select("sol", "score")
 
 
-def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
-    vl = _ledgers(spark, d).persist()
-    return vl, solver.ranked(solver.solutions(vl)).persist()
-
-
 @register()
 def plan_table(spark, d):
     """Plans need the sample voucher of each pattern only."""
-    vl = _ledgers(spark, d).persist()
+    vl = _ledgers(spark, d)
     patterns = contra.pattern_counts(vl)
     samples = vl.join(patterns.select(F.col("sample").alias("voucher")), "voucher", "left_semi")
     return solver.plan_table(vl, solver.ranked(solver.solutions(samples)), patterns)
@@ -160,15 +155,13 @@ def plan_choices(spark, d):
 
 @register()
 def contra_mvn(spark, d):
-    _, clean, r = _routed(spark, d)
-    vl, ranked = _ranked(spark, d)
-    return contra.many_to_many_rows(clean, r, solver.choose(vl, ranked))
+    of = _routed(spark, d).where("structure = 'MvN'").join(_chosen(_ledgers(spark, d)), "voucher", "left")
+    return contra.rebuilt(of)
 
 
 @register()
 def contra_report(spark, d):
-    vl, ranked = _ranked(spark, d)
-    return contra.report(lines(spark, d), solver.choose(vl, ranked))
+    return contra.report(lines(spark, d), _chosen(_ledgers(spark, d)))
 
 
 @register("SELECT date, number, subject, CAST(sum(debit) AS DOUBLE) AS debit, 0.0::DOUBLE AS credit FROM lines GROUP BY 1, 2, 3 HAVING sum(debit) <> 0 UNION ALL SELECT date, number, subject, 0.0::DOUBLE, CAST(sum(credit) AS DOUBLE) FROM lines GROUP BY 1, 2, 3 HAVING sum(credit) <> 0", LINES)
@@ -217,7 +210,7 @@ def ml_centroids(spark, d):
 
 @register()
 def ml_predict(spark, d):
-    return ml.predict(classified(spark, d).persist())
+    return ml.predict(classified(spark, d))
 
 
 @register()

@@ -1,7 +1,7 @@
 """Small worked cases that the derived journal doesn't reach."""
 
 import random
-from decimal import Decimal
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +58,13 @@ def test_solver_budget():
     assert solver.solve(d, c, nodes=50)[1] == "budget"
 
 
+def test_solver_is_bounded_for_many_accounts():
+    began = time.time()
+    d = {(f"d{i}", POS): 1_000_003 * (i + 1) + i * i for i in range(30)}
+    c = {(f"c{i}", POS): 999_983 * (i + 2) + i for i in range(30)}
+    assert solver.solve(d, c)[1] == "budget" and time.time() - began < 60
+
+
 @pytest.mark.parametrize(
     "feature, primary, involved, kind",
     [
