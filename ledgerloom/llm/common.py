@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.shared import drop_written, written
+
+__all__ = ["ascii_words", "drop_written", "held_out", "label_votes", "labelled_sample", "per_text", "table", "written"]
+
 #: ASCII white space that separates words: space and the codes 9 to 13.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -17,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of its own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8; bytes.split() knows exactly this white space."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -33,6 +33,25 @@ def in_units(members: DataFrame, bucket: list[str], member: str, block: int = BL
     return rows.withColumn("_unit", F.pmod(F.xxhash64("_bucket", "_left", "_right"), F.lit(max(1, int(total) // unit))))
 
 
+#: A key with more than this share of the rows is heavy; there are at most as many of them as the share goes into 1.
+HEAVY = 1 / 1_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """big joined to small, whose keys are unique, without sending a heavy key's rows to one task.
+
+    counts: a written table of keys and n, how many rows of big have them. Rows with heavy keys meet the (at most
+    1 / HEAVY) rows of small that have them by a broadcast, all others by a shuffle.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(F.col("n") > max(1, total * HEAVY)).select(*on).collect()
+    if not heavy:
+        return big.join(small, on, how)
+    keys = F.broadcast(big.sparkSession.createDataFrame(heavy, counts.select(*on).schema))
+    few = F.broadcast(small.join(keys, on, "left_semi"))
+    return big.join(keys, on, "left_semi").join(few, on, how).unionByName(big.join(keys, on, "left_anti").join(small, on, how))
+
+
 def groups_of(pdf, *names: str):
     """Index arrays of the rows with equal values in `names`."""
     keys = [pdf[n].to_numpy() for n in names]

@@ -3,52 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import xxhash
 
-from ledgerloom.llm.common import WORD_SPACE
+from ledgerloom.llm.common import ascii_words
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that are hashed at once, so that what stands in between fits a processor's cache.
-AT_ONCE = 8_192
 
 
-@lru_cache(1)
-def byte_values() -> np.ndarray:
-    """A random odd number for each byte; 0 for those that separate words."""
-    values = np.random.default_rng(5_381).integers(2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[list(WORD_SPACE.encode())] = 0
-    return values
-
-
-@lru_cache(1)
-def powers(size: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.r_[np.uint64(1), np.full(size - 1, BASE)])
+def word_hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, in order, and the number of words of each text."""
+    words = [ascii_words(t) for t in texts]
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum())), counts
 
 
-def word_hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of some texts, in order, and the number of words of each text. A hash is the sum of the word's bytes' values times powers of BASE, spread by `mixed`."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b" ".join(parts), dtype=np.uint8)
-    values, spread = byte_values(), powers(4_096)
-    begins = values[raw] != 0
-    begins[1:] &= ~begins[:-1].copy()
-    first = np.flatnonzero(begins)
-    ends = np.cumsum([len(x) + 1 for x in parts])
-    counts = np.diff(np.r_[0, np.searchsorted(first, ends)])
-    out = np.empty(len(first), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(first), AT_ONCE):
-            start = first[k : k + AT_ONCE]
-            end = int(first[k + AT_ONCE]) if k + AT_ONCE < len(first) else len(raw)
-            gaps = np.diff(start, append=end)
-            place = np.arange(int(start[0]), end) - np.repeat(start, gaps)
-            longest = int(gaps.max())
-            factor = (spread if longest <= len(spread) else np.cumprod(np.r_[np.uint64(1), np.full(longest - 1, BASE)]))[place]
-            out[k : k + AT_ONCE] = np.add.reduceat(values[raw[int(start[0]) : end]] * factor, start - start[0])
-        return mixed(out), counts
+def wide_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def word_hashes(text: str | None) -> np.ndarray:

@@ -376,3 +376,19 @@ def test_pipeline(spark):
     assert second.count() == minhash.near_duplicates(first).where("kept").count()
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.count() > 0
+
+
+def test_repeated_passages_of_common_anchors(docs, texts):
+    """With anchors of more than one segment cut into windows the result is the same."""
+    rows = lambda most: Counter(map(tuple, passages.remove_recurring(docs, most=most).collect()))
+    assert rows(1) == rows(2_000)
+
+
+def test_words_that_differ_have_different_hashes(spark):
+    """Two long words of two letters, arranged so that any polynomial modulo a power of two takes them for one."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = [f"r{n}" for n in range(40)]
+    df = spark.createDataFrame([(1, " ".join([a, *rest[:36]])), (2, " ".join([b, *rest[:33], "x", "y", "z"]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in passages.remove_recurring(df).collect()} == {1: (37, 0), 2: (37, 0)}
