@@ -1,14 +1,18 @@
 """Near-duplicate vectors by iterative quantisation.
 
-Rotations learned on a bounded sample turn a vector into balanced bits (each rotation alternates between the signs of
-the rotated sample and the rotation that brings the sample closest to them). The bits are cut into keys, one Hamming
-table per key: two vectors meet where they agree on a whole key. What meets is compared with the original vectors in
-double precision. Key width grows with the logarithm of the number of vectors, and the number of tables with the width,
-so that a pair at the threshold meets nowhere with a probability of MISS at most (if its bits differ independently).
-
-Only vectors with equal labels are compared. Defined cases: vectors that are null, empty, zero, or hold null or
-non-finite components link with nothing, as do those with a null label and those of another length than most; repeated
-rows are vectors of their own; the component of a vector is the smallest vec_id it reaches. Other columns are ignored.
+Equal vectors with equal labels are one node from the start. Rotations learned on a bounded sample turn a vector into
+balanced bits (each rotation alternates between the signs of the rotated sample and the rotation that brings the sample
+closest to them). The bits are cut into keys, one Hamming table per key: two vectors meet where they agree on a whole
+key, and are candidates if all their bits differ in no more places than two vectors at the threshold do (MARGIN standard
+deviations are allowed). Only codes go through the tables. Candidates make groups, and the members of a group, cut into
+blocks of bounded size, are compared with their original vectors in double precision. Key width grows with the logarithm
+of the number of vectors, and the number of tables with the width, so that a pair at the threshold meets nowhere with a
+probability of MISS at most (if its bits differ independently).
+
+Only vectors with equal labels and equal lengths are compared; each of the LENGTHS commonest lengths has rotations of its
+own, the others have random ones. Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing, as do those with a null label; repeated rows are vectors of their own; the component of a
+vector is the smallest vec_id it reaches. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +24,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
-from ledgerloom.llm.links import components, forest, groups_of, in_units
+from ledgerloom.llm.common import drop_written, written
+from ledgerloom.llm.links import components, forest, groups_of, in_units, join_counted
 
-THRESHOLD, MISS = 0.98, 0.001
-#: At most so many vectors (picked by hash) learn the rotations; every vector is indexed.
-SAMPLE, ROUNDS = 10_000, 30
+THRESHOLD, MISS, MARGIN = 0.98, 0.001, 5.0
+#: At most so many vectors (picked by a hash of what they hold) learn the rotations, for so many lengths; every vector is indexed.
+SAMPLE, LENGTHS, ROUNDS = 10_000, 16, 30
 
 
 def tables_for(count: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """(bits of a key, number of tables) for so many vectors."""
-    bits = min(24, max(8, round(math.log2(max(count, 1) / 64))))
+    bits = min(62, max(8, round(math.log2(max(count, 1) / 64))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
+def most_different(bits: int, threshold: float = THRESHOLD) -> int:
+    """In how many of so many bits two candidates may differ."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(bits * p + MARGIN * math.sqrt(bits * p * (1 - p)))
+
+
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
     """Principal axes of x, turned until the signs of the turned x are close to it."""
     _, axes = np.linalg.eigh(x.T @ x)
@@ -47,29 +57,37 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
     return axes @ turn
 
 
-def learn(vectors: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean, and a matrix with one column per bit."""
-    mean = vectors.mean(axis=0)
-    x = vectors - mean
-    turns = [learn_rotation(x, n) for n in range(-(-bits * tables // x.shape[1]))]
-    return mean, np.concatenate(turns, axis=1)[:, : bits * tables]
+def learn(x: np.ndarray, bits: int) -> np.ndarray:
+    """A matrix with one column per bit. Its planes go through the origin, not through the mean: so bits differ as angles do, wherever the vectors lie."""
+    turns = [learn_rotation(x, n) for n in range(-(-bits // x.shape[1]))]
+    return np.concatenate(turns, axis=1)[:, :bits]
 
 
-def keys_of(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
-    signs = ((x - model[0]) @ model[1] >= 0).reshape(len(x), -1, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+def unlearned(length: int, bits: int) -> np.ndarray:
+    """Random rotations for vectors of a rare length."""
+    rng = np.random.default_rng(length)
+    turns = [np.linalg.qr(rng.standard_normal((length, length)))[0] for _ in range(-(-bits // length))]
+    return np.concatenate(turns, axis=1)[:, :bits]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """row, vec_id, label, v (null where the vector links with nothing): a written table."""
-    v = F.col("embedding").cast("array<double>")
-    bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, c: acc + c * c))
-    good = F.when(v.isNotNull() & (F.size(v) > 0) & ~bad & F.col("label").isNotNull(), v)
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.when((norm > 0) & (norm < float("inf")), good).alias("v"))
-    rows = written(rows, "vectors")
-    size = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.withColumn("v", F.when(F.size("v") == (size.n if size else 0), F.col("v")))
+def usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: row, vec_id, node (null where the vector links with nothing); and the nodes: node, label, v, copies."""
+    v = F.col("embedding")
+    number = v.cast("array<double>")
+    bad = F.exists(number, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    norm = F.sqrt(F.aggregate(number, F.lit(0.0), lambda acc, c: acc + c * c))
+    good = F.when(v.isNotNull() & (F.size(v) > 0) & ~bad & F.col("label").isNotNull() & (norm > 0) & (norm < float("inf")), v)
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", good.alias("v"))
+    # two hashes with different seeds, 128 bits, tell vectors apart
+    rows = written(rows.withColumns({"h": F.xxhash64("label", "v"), "i": F.xxhash64(F.lit(7), "v")}), "vectors")
+    same = rows.where("v is not null").groupBy("label", "h", "i").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    nodes = written(same, "nodes")
+    keys = ["label", "h", "i"]
+    of = join_counted(rows.where("v is not null").select("row", "vec_id", *keys), nodes.select(*keys, "node"), keys, nodes.select(*keys, F.col("copies").alias("n")))
+    rest = rows.where("v is null").select("row", "vec_id", F.lit(None).cast("long").alias("node"))
+    known = written(of.select("row", "vec_id", "node").unionByName(rest), "members")
+    drop_written(rows)
+    return known, nodes.select("node", "label", "v", "copies", F.xxhash64("v").alias("h"))
 
 
 def unit_rows(v) -> np.ndarray:
@@ -78,56 +96,89 @@ def unit_rows(v) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """From usable() rows: row, other, n. Where other is null, n counts links of row; else the two are linked, and these pairs join all that the links join."""
-    spark, good = rows.sparkSession, rows.where("v is not null")
-    sample = good.orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").toPandas()["v"]
-    if len(sample) < 2:
-        return spark.createDataFrame([], "row long, other long, n long")
-    bits, tables = tables_for(good.count(), threshold)
-    shared = spark.sparkContext.broadcast(learn(unit_rows(sample), bits, tables))  # bits * tables columns of one vector's length
+def codes(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """A written table: node, label, length, code (all bits, packed) and keys (one for each table)."""
+    lengths = [r.n for r in nodes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()]
+    sample = nodes.where(F.size("v").isin(lengths)).orderBy("h", "node").limit(SAMPLE).select("v").toPandas()["v"]
+    by_length = {n: [x for x in sample if len(x) == n] for n in lengths}
+    models = {n: learn(unit_rows(pd.Series(x)), bits * tables) for n, x in by_length.items() if len(x) > 1}
+    shared = nodes.sparkSession.sparkContext.broadcast(models)  # LENGTHS models of bits * tables columns
+
+    def index(v: pd.Series) -> pd.DataFrame:
+        size, code, keys = v.map(len).to_numpy(), np.empty(len(v), dtype=object), np.empty(len(v), dtype=object)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            turn = shared.value[n] if n in shared.value else unlearned(n, bits * tables)
+            signs = unit_rows(v.iloc[at]) @ turn >= 0
+            numbers = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            for k, packed, key in zip(at, np.packbits(signs, axis=1), numbers):
+                code[k], keys[k] = packed.tobytes(), key
+        return pd.DataFrame({"code": code, "keys": keys})
+
+    found = nodes.select("node", "label", F.size("v").alias("length"), F.pandas_udf(index, "code binary, keys array<long>")("v").alias("x"))
+    return written(found.select("node", "label", "length", "x.*"), "codes")
 
-    def index(v: pd.Series) -> pd.Series:
-        return pd.Series(list(keys_of(unit_rows(v), shared.value, bits)) if len(v) else [], dtype=object)
 
-    keyed = written(good.select("row", "label", F.pandas_udf(index, "array<long>")("v").alias("keys")), "codes")
-    members = keyed.select("row", "label", F.posexplode("keys").alias("at", "key"))
-    units = in_units(members, ["label", "at", "key"], "row")
-    payload = units.join(keyed.select("row", "keys").join(good.select("row", "v"), "row"), "row")
+def candidates(indexed: DataFrame, most: int) -> DataFrame:
+    """a, b: pairs that meet in a table and differ in at most so many bits, a spanning forest of each bucket's."""
+    tables = indexed.select("node", "label", "length", "code", F.posexplode("keys").alias("at", "key"))
+    members = in_units(tables, ["label", "length", "at", "key"], "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out = unit_rows(pdf["v"]), []
-        keys, row, block, at = np.array(pdf["keys"].tolist()), pdf["row"].to_numpy(), pdf["_block"].to_numpy(), pdf["at"].to_numpy()
-        label = pd.factorize(pdf["label"])[0]
+        out, node = [], pdf["node"].to_numpy()
+        code = pdf["code"].tolist()
         for g in groups_of(pdf, "_bucket", "_left", "_right"):
-            near = np.triu(x[g] @ x[g].T >= threshold, 1)
+            own = np.unpackbits(np.frombuffer(b"".join(code[k] for k in g), dtype=np.uint8).reshape(len(g), -1), axis=1).astype(np.float32)
+            ones = own.sum(axis=1)
+            near = ones[:, None] + ones[None, :] - 2 * (own @ own.T) <= most
+            np.fill_diagonal(near, False)
+            if near.any():
+                out += [(node[g[i]], node[g[j]]) for i, j in forest(near)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    return members.select("node", "code", "_bucket", "_left", "_right", "_unit").groupBy("_unit").applyInPandas(compare, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, other, n. Where other is null, n counts the vectors linked to node's (copies counted); else the two are linked, and these pairs join all that the links join."""
+    bits, tables = tables_for(nodes.count(), threshold)
+    indexed = codes(nodes, bits, tables)
+    pairs = written(candidates(indexed, most_different(bits * tables, threshold)), "pairs")
+    drop_written(indexed)
+    groups = written(components(pairs).withColumnRenamed("root", "group"), "groups")
+    blocks = in_units(groups, ["group"], "node", unit=1_000).drop("group")
+    payload = blocks.join(nodes.select("node", "label", "v", "copies"), "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, node, block, copies, label = [], pdf["node"].to_numpy(), pdf["_block"].to_numpy(), pdf["copies"].to_numpy(), pd.factorize(pdf["label"])[0]
+        for g in groups_of(pdf, "_bucket", "_left", "_right"):
+            x = unit_rows(pdf["v"].iloc[g])
+            near = (x @ x.T >= threshold) & (label[g][:, None] == label[g][None, :])
+            np.fill_diagonal(near, False)
             if pdf["_left"].iat[g[0]] != pdf["_right"].iat[g[0]]:
                 near &= block[g][:, None] != block[g][None, :]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            first = (keys[g[i]] == keys[g[j]]).argmax(axis=1)  # a pair that meets in several tables counts in the first
-            keep = (first == at[g[i]]) & (label[g[i]] == label[g[j]])
-            i, j = i[keep], j[keep]
-            both = np.zeros((len(g), len(g)), dtype=bool)
-            both[i, j] = both[j, i] = True
-            degree = both.sum(axis=1)
-            out += [(row[g[k]], None, degree[k]) for k in np.flatnonzero(degree)]
-            out += [(row[g[a]], row[g[b]], 0) for a, b in forest(both)]
-        return pd.DataFrame(out, columns=["row", "other", "n"]).astype({"row": "int64", "other": "Int64", "n": "int64"})
-
-    return written(payload.groupBy("_unit").applyInPandas(compare, "row long, other long, n long"), "links")
+            degree = near @ copies[g]
+            out += [(node[g[k]], None, degree[k]) for k in np.flatnonzero(degree)]
+            out += [(node[g[a]], node[g[b]], 0) for a, b in forest(near)]
+        return pd.DataFrame(out, columns=["node", "other", "n"]).astype({"node": "int64", "other": "Int64", "n": "int64"})
+
+    return written(payload.groupBy("_unit").applyInPandas(compare, "node long, other long, n long"), "links")
 
 
 def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
-    rows = usable(vectors)
-    found = links(rows, threshold)
-    degrees = found.where("other is null").groupBy("row").agg(F.sum("n").alias("n_links"))
-    roots = components(found.where("other is not null"), "row", "other").withColumnRenamed("node", "row")
-    linked = written(rows.select("row", "vec_id").join(roots, "row"), "rooted")
-    smallest = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    of = linked.select("row", "root").join(smallest, "root").select("row", "component_id").join(degrees, "row")
-    out = rows.select("row", "vec_id").join(of, "row", "left")
+    members, nodes = usable(vectors)
+    found = links(nodes, threshold)
+    degrees = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    roots = components(found.where("other is not null").select("node", F.col("other")), "node", "other")
+    least = members.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    placed = least.join(degrees, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "rooted")
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(placed.join(smallest, "root").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "components")
+    linked = join_counted(members.where("node is not null"), of, ["node"], nodes.select("node", F.col("copies").alias("n")))
+    none = F.lit(None)
+    alone = members.where("node is null").withColumns({"component_id": none.cast(linked.schema["component_id"].dataType), "n_links": none.cast("long")})
+    out = linked.unionByName(alone)
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
