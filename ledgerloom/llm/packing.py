@@ -1,9 +1,10 @@
 """Packing tokenised documents into sequences of fixed length by swap-based local search.
 
 A document's ids (and the end id) are cut into pieces only where they exceed a sequence. Shorter pieces are dealt at
-random over shards of about SHARD pieces, and every shard is packed on its own: best fit, longest piece first, then local
-search on the bins that are not full, from the emptiest: a piece moves to another bin, or one or two pieces change
-places with a smaller one of a fuller bin, whenever that raises the sum of squared fills; a bin that runs empty is gone.
+random over shards of about SHARD pieces, and every shard is packed on its own: the pieces fill bins in the order in which
+they come (about a fifth too many bins), and local search on the bins that are not full, from the emptiest, does the
+rest: one or two pieces move to another bin, or change places with a smaller one there, whenever that raises the sum of
+squared fills; a bin that runs empty is gone.
 
 Defined cases: a null or empty text is the end id alone; every row of the input is packed, repeated rows too; the
 numbers of sequences are unique but not dense; other columns are ignored.
@@ -11,6 +12,7 @@ numbers of sequences are unique but not dense; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -36,8 +38,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The settings of a tokenizer file for which words and their parts may be encoded one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_words(settings: dict) -> bool:
+    """Does a tokenizer with these settings (its file) split text as NORMALIZERS and SPLIT say, and drop white space?"""
+    normal, before = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}, {}]
+    first, second = steps[0], steps[-1]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(normal.get("normalizers") == NORMALIZERS and len(steps) == 2 and split and second.get("type") == "ByteLevel" and not second.get("add_prefix_space") and not second.get("use_regex"))
+
+
 class WordEncoder:
-    """Encodes word by word and remembers: the tokenizer never joins across ASCII white space, nor across the letters, digits and signs it splits a word into."""
+    """Encodes word by word and remembers, where the tokenizer's file says that it never joins across ASCII white space, nor across the letters, digits and signs it splits a word into; texts go whole through any other tokenizer."""
 
     #: Words of these code points are split here as the tokenizer's own pattern splits them; others go through it whole.
     plain = regex.compile("[!-~\u00a1-\u024f]+")
@@ -48,6 +64,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_words(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet shows as themselves
         hidden = [b for b in range(256) if b not in shown]
@@ -80,6 +97,9 @@ class WordEncoder:
 
     def __call__(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            whole = (text or "").encode("utf-8", "replace").decode()
+            return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, dtype="<u4").tobytes()
         known, word = self.words.get, self.word
         return b"".join([known(w) or word(w) for w in (text or "").encode("utf-8", "replace").split()])
 
@@ -90,8 +110,19 @@ def cut(text: str | None, encode: WordEncoder, length: int = LENGTH) -> list[tup
     return [(n, at // 4, len(part) // 4, zlib.crc32(part)) for n, at in enumerate(range(0, len(raw), 4 * length)) if (part := raw[at : at + 4 * length])]
 
 
+def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """A bin for each length, in the order in which they come: where the last bin is too full, a new one."""
+    out, k, fill = np.zeros(len(lengths), dtype=np.int64), -1, capacity
+    for i, x in enumerate(lengths.tolist()):
+        if fill + x > capacity:
+            k, fill = k + 1, 0
+        fill += x
+        out[i] = k
+    return out
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """A bin for each length: longest first, into the fullest bin that has room."""
+    """A bin for each length: longest first, into the fullest bin that has room. What the local search can be held against; it does not start from it."""
     bins, room, out = 0, [], np.zeros(len(lengths), dtype=np.int64)
     for i in np.argsort(-lengths, kind="stable"):
         at = bisect_left(room, (int(lengths[i]), -1))
@@ -106,49 +137,68 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def group_sums(own: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sums of one and of two of these lengths, ascending, and for each the places of its lengths (the second -1 for one)."""
+    n = len(own)
+    i, j = np.triu_indices(n, 1)
+    sums = np.r_[own, own[i] + own[j]]
+    places = np.r_[np.c_[np.arange(n), np.full(n, -1)], np.c_[i, j]]
+    sums, first = np.unique(sums, return_index=True)
+    return sums[sums <= capacity], places[first][sums <= capacity]
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Improve `bins` by moves and exchanges between bins that are not full; each raises the sum of squared fills."""
+    """Improve `bins` by moves of one or two pieces and exchanges of one or two for one, between bins that are not full.
+
+    The emptiest bin gives: of all moves and exchanges that make some other bin fuller, the one with the least room left
+    there, less what it takes from the giver, is made, until nothing helps; then the next bin gives. Every step raises the sum of squared fills. Rounds
+    over all bins end when none improves, or when less than a bin's worth of room is left, as then no bin can run empty.
+    """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64) if len(bins) else np.zeros(0, dtype=np.int64)
-    barren: set[int] = set()
-    while True:
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        left = [k for k in open_bins[np.argsort(fill[open_bins], kind="stable")] if k not in barren]
-        room = int(capacity * len(open_bins) - fill[open_bins].sum())
-        if len(open_bins) < 2 or not left or room < capacity:  # less than a bin's worth of room: no bin can run empty
-            return bins
-        donor, improved = left[0], False
-        items = np.flatnonzero(np.isin(bins, open_bins) & (bins != donor))
-        own = np.flatnonzero(bins == donor)
-        own = own[np.argsort(-lengths[own], kind="stable")]
-        groups = [(i,) for i in own] + [(i, j) for n, i in enumerate(own[:64]) for j in own[n + 1 : 64]]
-        for group in groups:
-            size = int(lengths[list(group)].sum())
-            others = open_bins[open_bins != donor]
-            free = capacity - fill[others]
-            if len(group) == 1 and (fits := (free >= size) & (fill[others] + size > fill[donor])).any():  # move
-                to = others[fits][np.argmin(free[fits])]
-                bins[group[0]], improved = to, True
-                fill[to] += size
-                fill[donor] -= size
-                break
-            gain = size - lengths[items]  # exchange with a smaller piece of a bin that is fuller afterwards
-            ok = (gain > 0) & (gain <= capacity - fill[bins[items]]) & (fill[bins[items]] + gain > fill[donor])
-            if ok.any():
-                after = np.where(ok, capacity - fill[bins[items]] - gain, capacity + 1)
-                j = items[np.argmin(after)]
-                to, step = bins[j], size - int(lengths[j])
-                bins[list(group)], bins[j], improved = to, donor, True
-                fill[to] += step
-                fill[donor] -= step
+    settled = lambda: (o := (fill > 0) & (fill < capacity)).sum() < 2 or capacity * o.sum() - fill[o].sum() < capacity
+    improved = True
+    while improved and not settled():
+        improved, given = False, set()
+        while not settled():
+            open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
+            left = [k for k in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist() if k not in given]
+            if not left:
                 break
-        if not improved:
-            barren.add(donor)
+            donor = left[0]
+            given.add(donor)
+            inside = np.zeros(len(fill), dtype=bool)
+            inside[open_bins] = True
+            inside[donor] = False
+            while fill[donor]:
+                own = np.flatnonzero(bins == donor)
+                sums, places = group_sums(lengths[own], capacity)
+                others, items = np.flatnonzero(inside), np.flatnonzero(inside[bins])
+                # what is taken in return: nothing, or one piece
+                to = np.r_[others, bins[items]]
+                back = np.r_[np.zeros(len(others), dtype=np.int64), lengths[items]]
+                room = capacity - fill[to]
+                at = np.searchsorted(sums, back + room, side="right") - 1
+                gain = np.where(at >= 0, sums[np.maximum(at, 0)] - back, 0)
+                fits = (gain > 0) & (fill[to] + gain > fill[donor])
+                if not fits.any():
+                    break
+                best = int(np.argmin(np.where(fits, room - 2 * gain, capacity + 1)))
+                for k in places[at[best]]:
+                    if k >= 0:
+                        bins[own[k]] = to[best]
+                if best >= len(others):
+                    bins[items[best - len(others)]] = donor
+                fill[to[best]] += gain[best]
+                fill[donor] -= gain[best]
+                inside[to[best]] = fill[to[best]] < capacity
+                improved = True
+    return bins
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each length its bin and its place in the bin."""
-    bins = local_search(lengths, best_fit(lengths, capacity), capacity)
+    bins = local_search(lengths, next_fit(lengths, capacity), capacity)
     order = np.lexsort((np.arange(len(bins)), bins))
     before = np.cumsum(lengths[order]) - lengths[order]
     first = np.r_[True, np.diff(bins[order]) != 0] if len(order) else np.zeros(0, dtype=bool)
