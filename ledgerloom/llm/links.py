@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import drop_written, written
 
 #: Members of a block, and rows of a unit (what one call of a comparing function gets is about this many rows).
 BLOCK, UNIT = 256, 4_000
@@ -33,8 +33,8 @@ def in_units(members: DataFrame, bucket: list[str], member: str, block: int = BL
     return rows.withColumn("_unit", F.pmod(F.xxhash64("_bucket", "_left", "_right"), F.lit(max(1, int(total) // unit))))
 
 
-#: A key with more than this share of the rows is heavy; there are at most as many of them as the share goes into 1.
-HEAVY = 1 / 1_000
+#: A key with more than this share of the rows, and more than LIGHT of them, is heavy; there are at most as many of them as the share goes into 1.
+HEAVY, LIGHT = 1 / 1_000, 100
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
@@ -44,7 +44,7 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], counts: DataFr
     1 / HEAVY) rows of small that have them by a broadcast, all others by a shuffle.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") > max(1, total * HEAVY)).select(*on).collect()
+    heavy = counts.where(F.col("n") > max(LIGHT, total * HEAVY)).select(*on).collect()
     if not heavy:
         return big.join(small, on, how)
     keys = F.broadcast(big.sparkSession.createDataFrame(heavy, counts.select(*on).schema))
@@ -78,19 +78,22 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the smallest node that each node of the edges reaches. Stars are contracted in turns until nothing changes; every turn is a written table."""
+    """node, root: the smallest node that each node of the edges reaches. Stars are contracted in turns until nothing changes; every turn is a written table. Edges with a null node are left out."""
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     pairs = written(pairs, "edges")
     mark = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "smallest")
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
-        large = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
+        met = join_counted(both.where("b > a"), smallest.select("a", "m"), ["a"], smallest.select("a", "n"))
+        large = met.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        pairs = written(small, "edges")
+        after = written(small, "edges")
+        drop_written(pairs, smallest)
+        pairs = after
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

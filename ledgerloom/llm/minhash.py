@@ -2,20 +2,22 @@
 
 A shingle is SHINGLE consecutive words (all words of a shorter text); its weight is its count in the text times the
 mean inverse document frequency of its words. Document frequencies are counted over all documents, for each word (a
-64-bit hash of it). Similarities are computed with these; only the samples, which find candidates, are drawn with
-frequencies in COUNTERS hashed counters, so what every task needs for them has a fixed size. Consistent weighted
-sampling draws HASHES samples of each text; two texts agree in a sample with the probability of their weighted Jaccard
-similarity under the counters. Samples are banded: texts that agree on a whole band meet in a bucket (two of similarity
-0.8 meet nowhere with a probability of 2e-5).
+64-bit hash of it). Similarities are computed with these. The samples, which only find candidates, are drawn with the
+exact frequencies of the COMMON most frequent words and one mean weight for all others, so what every task needs for
+them has a fixed size. Consistent weighted sampling draws HASHES samples of each text; two texts agree in a sample with
+the probability of their weighted Jaccard similarity under these weights. Samples are banded: texts that agree on a whole
+band meet in a bucket (two of similarity 0.8 meet nowhere with a probability of 2e-5).
 
 Texts with equal words are one node from the start. In a bucket, cut into blocks of bounded size, a pair whose samples
-agree often enough is a candidate (one of similarity 0.8 falls short with a probability of 1e-4). Candidates make groups,
-and in a group, cut into blocks again, the exact weighted Jaccard similarity of whole texts is computed for every
-candidate pair that is not joined yet, likeliest first: a group of true copies costs about one comparison per text, and
-no candidate that could join two classes is skipped.
+agree often enough is a candidate (one of similarity 0.8 falls short with a probability of 1e-4). Candidates make groups.
+In a group the exact weighted Jaccard similarity of whole texts is computed for candidate pairs, likeliest first, and
+what is joined already is not compared again: first inside blocks of bounded size that all hold the group's smallest
+node as well, so a group of copies costs about one comparison per text; then, for groups that are still in pieces,
+between all blocks, so no candidate that could join two classes is skipped.
 
 Defined cases: a null or empty text is a class of its own; equal rows are one class, of which one row is kept; the class
-of a text is its smallest doc_id (null before all); other columns are kept by `filter_documents`.
+of a text is its smallest doc_id (null before all); a very long text is one row of its own size; other columns, whatever
+their names, are kept by `filter_documents`.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_words, written
-from ledgerloom.llm.links import components, groups_of, in_units
+from ledgerloom.llm.common import ascii_words, drop_written, plain, squeezed, written
+from ledgerloom.llm.links import components, groups_of, in_units, join_counted
 from ledgerloom.llm.shingles import in_portions, mixed, runs, signed, word_hashes_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,11 +40,11 @@ BANDS, ROWS = 16, 3
 HASHES = BANDS * ROWS
 #: Of HASHES samples so many agree in a candidate pair.
 AGREE = 28
-COUNTERS, TABLE_BITS = 2**18, 15
+TABLE_BITS = 15
 #: The most frequent words, whose frequencies every task holds, and the words whose partial counts a task holds at once.
 COMMON, HELD = 50_000, 2_000_000
-#: Inverse document frequencies by counter, or what gives them for word hashes.
-Weights = np.ndarray | Callable[[np.ndarray], np.ndarray]
+#: What gives inverse document frequencies for word hashes.
+Weights = Callable[[np.ndarray], np.ndarray]
 
 
 @lru_cache(1)
@@ -60,7 +62,7 @@ def sampling_tables() -> list[tuple[np.ndarray, ...]]:
 def weighted_shingles_of(texts: list[str | None], idf: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted shingle hashes and their weights for each of some texts."""
     words, counts = word_hashes_of(texts)
-    value = idf(words) if callable(idf) else idf[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    value = idf(words)
     begin = np.cumsum(counts) - counts
     whole = counts >= SHINGLE
     n = max(len(words) - SHINGLE + 1, 0)
@@ -134,28 +136,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + ln((1 + documents) / (1 + documents with the word)) for each of COUNTERS counters; each document counts a counter once."""
-
-    def tally(batches):
-        seen, total = np.zeros(COUNTERS, dtype=np.int64), 0
-        for pdf in batches:
-            for texts in in_portions(pdf["text"]):
-                words, counts = word_hashes_of(texts)
-                of = np.repeat(np.arange(len(texts)) * COUNTERS, counts)
-                keys = np.sort((words & np.uint64(COUNTERS - 1)).astype(np.int64) + of)
-                seen += np.bincount(keys[np.diff(keys, prepend=-1) != 0] & (COUNTERS - 1), minlength=COUNTERS)
-            total += len(pdf)
-        used = np.flatnonzero(seen)
-        yield pd.DataFrame({"counter": np.r_[-1, used], "n": np.r_[total, seen[used]]})
-
-    rows = docs.select("text").mapInPandas(tally, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(COUNTERS)
-    used = rows["counter"].to_numpy() >= 0
-    seen[rows["counter"].to_numpy()[used]] = rows["n"].to_numpy()[used]
-    return 1 + np.log((1 + rows["n"].to_numpy()[~used].sum()) / (1 + seen))
-
-
 def distinct_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words of each text as signed hashes, and the number of the text each is of."""
     words, counts = word_hashes_of(texts)
@@ -209,24 +189,41 @@ def looked_up(words: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.nda
     return np.where(keys[at] == words, values[at], 0)
 
 
-def with_rare_words(texts: DataFrame, frequencies: DataFrame, common) -> DataFrame:
-    """A written table: texts with the words of each that are not common (word) and their frequencies (seen)."""
+def mean_weight(frequencies: DataFrame, common: tuple[np.ndarray, np.ndarray], total: int) -> float:
+    """The mean inverse document frequency of the occurrences of all words that are no more frequent than the common ones."""
+    most = int(common[1].min()) if len(common[1]) else 0
+    idf = 1 + F.log((1.0 + total) / (1.0 + F.col("n")))
+    return frequencies.where(F.col("n") <= most).agg(F.sum(idf * F.col("n")) / F.sum("n")).first()[0] or 1.0
+
+
+def draw_weights(common: tuple[np.ndarray, np.ndarray], mean: float, total: int) -> Weights:
+    """Inverse document frequencies for drawing samples: exact for common words, the mean for all others."""
+
+    def weigh(words: np.ndarray) -> np.ndarray:
+        n = looked_up(signed(words), *common)
+        return np.where(n > 0, 1 + np.log((1 + total) / (1 + n)), mean)
+
+    return weigh
+
+
+def rare_words(texts: DataFrame, frequencies: DataFrame, common) -> DataFrame:
+    """A written table: node, its words that are not common (word) and their frequencies (seen)."""
 
     def rare(batches):
         for pdf in batches:
             begin = 0
-            for part in in_portions(pdf["text"]):
+            for part in in_portions(map(plain, pdf["packed"])):
                 words, of = distinct_words(part)
                 left = looked_up(words, *common.value) == 0
                 yield pd.DataFrame({"node": pdf["node"].to_numpy()[begin + of[left]], "word": words[left]})
                 begin += len(part)
 
-    pairs = texts.select("node", "text").mapInPandas(rare, "node long, word long").join(frequencies, "word")
-    of_node = pairs.groupBy("node").agg(F.collect_list(F.struct("word", "n")).alias("rare")).select("node", F.col("rare.word").alias("word"), F.col("rare.n").alias("seen"))
-    return written(texts.join(of_node, "node", "left"), "weighed")
+    pairs = texts.select("node", "packed").mapInPandas(rare, "node long, word long").join(frequencies, "word")
+    of_node = pairs.groupBy("node").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+    return written(of_node.select("node", F.col("rare.word").alias("word"), F.col("rare.n").alias("seen")), "rare")
 
 
-def exact_weights(common: tuple[np.ndarray, np.ndarray], word, seen, total: int) -> Callable[[np.ndarray], np.ndarray]:
+def exact_weights(common: tuple[np.ndarray, np.ndarray], word, seen, total: int) -> Weights:
     """Inverse document frequencies of a text's words, from the common ones and those of its own."""
     word, seen = (np.asarray([] if x is None else x, dtype=np.int64) for x in (word, seen))
     order = np.argsort(word)
@@ -241,13 +238,13 @@ def exact_weights(common: tuple[np.ndarray, np.ndarray], word, seen, total: int)
     return weigh
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
+def signatures(docs: DataFrame, common, mean: float, total: int) -> DataFrame:
     """A written table: row, doc_id, key (hash of the text), word_key (of its words; null without words), signature, bands."""
 
     def sign(text: pd.Series) -> pd.DataFrame:
-        out = []
+        out, idf = [], draw_weights(common.value, mean, total)
         for texts in in_portions(text):
-            found = weighted_shingles_of(texts, idf.value)
+            found = weighted_shingles_of(texts, idf)
             worded = [n for n, (s, _) in enumerate(found) if len(s)]
             rows = [[None, None, None] for _ in texts]
             if worded:
@@ -312,23 +309,23 @@ def candidates(units: DataFrame) -> DataFrame:
 
 
 def verified(units: DataFrame, common, total: int) -> DataFrame:
-    """a, b: pairs whose weighted Jaccard similarity reaches the threshold, enough of them to join all that any such candidate joins. Pairs that agree most come first, and what is joined already is not compared again."""
+    """a, b: pairs whose weighted Jaccard similarity reaches the threshold, enough of them to join all that any such candidate joins. Pairs that agree most come first, and what is joined already (equal labels) is not compared."""
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        signature, text, word, seen = (pdf[c].tolist() for c in ("signature", "text", "word", "seen"))
-        node, out = pdf["node"].to_numpy(), []
+        signature, packed, word, seen = (pdf[c].tolist() for c in ("signature", "packed", "word", "seen"))
+        node, label, out = pdf["node"].to_numpy(), pdf["label"].to_numpy(), []
         for g in groups_of(pdf, "_bucket", "_left", "_right"):
             agree = np.triu(agreement([signature[k] for k in g]), 1)
             i, j = np.nonzero(agree >= AGREE)
             order = np.argsort(-agree[i, j], kind="stable")
-            shingles, root = {}, np.arange(len(g))
+            shingles, root = {}, np.unique(label[g], return_inverse=True)[1]
             for x, y in zip(i[order].tolist(), j[order].tolist()):
                 if root[x] == root[y]:
                     continue
                 for n in (x, y):
                     if n not in shingles:
-                        shingles[n] = weighted_shingles(text[g[n]], exact_weights(common.value, word[g[n]], seen[g[n]], total))
+                        shingles[n] = weighted_shingles(plain(packed[g[n]]), exact_weights(common.value, word[g[n]], seen[g[n]], total))
                 if similarity(shingles[x], shingles[y]) >= THRESHOLD:
                     out.append((g[x], g[y]))
                     root[root == root[y]] = root[x]
@@ -337,36 +334,65 @@ def verified(units: DataFrame, common, total: int) -> DataFrame:
     return units.groupBy("_unit").applyInPandas(check, "a long, b long").distinct()
 
 
+def with_smallest(groups: DataFrame, block: int = 256, unit: int = 1_000) -> DataFrame:
+    """node, label (itself), _bucket, _left, _right, _unit: each group cut into blocks that all hold its smallest node."""
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("node").alias("least"))
+    sized = groups.join(sizes, "group")
+    own = sized.where("node <> least").select("group", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("_left"))
+    first = sizes.select("group", F.col("least").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_left"))
+    rows = own.unionByName(first)
+    units = max(1, groups.count() // unit)
+    return rows.select("node", F.col("node").alias("label"), F.xxhash64("group").alias("_bucket"), "_left", F.col("_left").alias("_right"), F.pmod(F.xxhash64("group", "_left"), F.lit(units)).alias("_unit"))
+
+
+def joined(groups: DataFrame, weighed: DataFrame, common, total: int) -> DataFrame:
+    """A written table: a, b, pairs that join all that verified candidates of the groups (node, group) join."""
+    content = weighed.select("node", "signature", "packed", "word", "seen")
+    edges = written(verified(with_smallest(groups).join(content, "node"), common, total), "verified")
+    labels = written(groups.join(components(edges), "node", "left").select("node", "group", F.coalesce("root", "node").alias("label")), "labels")
+    pieces = labels.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("group")
+    left = written(labels.join(pieces, "group"), "pieces")
+    if left.isEmpty():
+        return edges
+    blocks = in_units(left, ["group"], "node", unit=1_000).drop("group")
+    return written(edges.unionByName(verified(blocks.join(content, "node"), common, total)), "verified")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, key, class_id and kept for every document, where kept marks one row of each class."""
-    spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # COUNTERS numbers
-    rows = signatures(docs, idf)
+    spark, total = docs.sparkSession, docs.count()
+    frequencies = document_frequencies(docs)
+    top = common_words(frequencies)
+    common = spark.sparkContext.broadcast(top)  # COMMON words at most
+    rows = signatures(docs, common, mean_weight(frequencies, top, total), total)
     worded = rows.where("word_key is not null")
-    firsts = written(worded.groupBy("word_key").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("word_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("node_id")), "nodes")
-    nodes = worded.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "key", "signature", "bands")
+    firsts = written(worded.groupBy("word_key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).select("word_key", "n", F.col("first.row").alias("node"), F.col("first.doc_id").alias("node_id")), "nodes")
+    nodes = written(worded.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "key", "signature", "bands"), "nodes")
 
     members = in_units(nodes.select("node", F.posexplode("bands").alias("band", "value")), ["band", "value"], "node")
-    units = written(members.join(nodes.select("node", "signature"), "node").drop("band", "value"), "units")
+    units = members.join(nodes.select("node", "signature"), "node").drop("band", "value")
     pairs = written(candidates(units), "pairs")
 
     # texts that candidates join, directly or not, are one group; inside it every candidate pair is verified
     groups = written(components(pairs).withColumnRenamed("root", "group"), "groups")
-    wanted = nodes.join(groups, "node").select("node", "group", "signature", F.col("doc_id").alias("of"), F.col("key").alias("at"))
-    found = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
-    texts = written(found.groupBy("node").agg(F.any_value("group").alias("group"), F.any_value("signature").alias("signature"), F.any_value("text").alias("text")), "texts")
-    frequencies = document_frequencies(docs)
-    common = spark.sparkContext.broadcast(common_words(frequencies))  # COMMON words at most
-    weighed = with_rare_words(texts, frequencies, common)
-    blocks = in_units(texts.select("node", "group"), ["group"], "node", unit=1_000).drop("group")
-    roots = written(components(verified(blocks.join(weighed.select("node", "signature", "text", "word", "seen"), "node"), common, docs.count())), "roots")
+    wanted = nodes.join(groups, "node").select("node", "signature", F.col("doc_id").alias("of"), F.col("key").alias("at"))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("key"), F.pandas_udf(squeezed, "binary")("text").alias("packed"))
+    found = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")))
+    texts = written(found.groupBy("node").agg(F.any_value("signature").alias("signature"), F.any_value("packed").alias("packed")), "texts")
+    drop_written(nodes)
+    weighed = texts.join(rare_words(texts, frequencies, common), "node", "left")
+    drop_written(frequencies)
+    edges = joined(groups, weighed, common, total)
+    drop_written(texts)
+    roots = written(components(edges), "roots")
 
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct("node_id", "node")).alias("best"))
     of = rooted.join(best, "root").select("word_key", F.col("best.node_id").alias("class_id"), F.col("best.node").alias("keeper"))
-    judged = rows.select("row", "doc_id", "key", "word_key").join(of, "word_key", "left")
-    single = F.col("word_key").isNull()
-    return judged.select("row", "doc_id", "key", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (single | (F.col("row") == F.col("keeper"))).alias("kept"))
+    known = join_counted(worded.select("row", "doc_id", "key", "word_key"), written(of, "classes"), ["word_key"], firsts.select("word_key", "n"))
+    judged = known.select("row", "doc_id", "key", "class_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    alone = rows.where("word_key is null").select("row", "doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return judged.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -375,15 +401,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all columns; a text without words stays."""
-    judged = written(classes(docs), "classes")
+    """One document of each class, with all columns; a text without words stays. Texts are squeezed while rows meet their verdicts."""
+    judged = written(classes(docs), "judged")
     of_key = judged.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("at")).agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at"))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "doc_id", F.xxhash64("text").alias("key"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    keyed = docs.select(rest.alias("rest"), F.pandas_udf(squeezed, "binary")("text").alias("packed"), "doc_id", F.xxhash64("text").alias("key"))
     left = keyed.join(written(of_key.where("kept = 0").select("of", "at"), "dropped"), same, "left_anti")
     # rows that repeat a kept one exactly: all but one go
     repeated = written(of_key.where("kept > 0 and kept < rows").select("of", "at"), "repeated")
     if not repeated.isEmpty():
-        again = left.join(repeated, same, "left_semi").groupBy("doc_id", "key").agg(F.any_value("whole").alias("whole"))
-        left = left.join(repeated, same, "left_anti").unionByName(again.select("whole", "doc_id", "key"))
-    return left.select("whole.*")
+        again = left.join(repeated, same, "left_semi").groupBy("doc_id", "key").agg(F.any_value(F.struct("rest", "packed")).alias("x"))
+        left = left.join(repeated, same, "left_anti").unionByName(again.select("x.rest", "x.packed", "doc_id", "key"))
+    text = F.pandas_udf(lambda raw: raw.map(plain), "string")("packed").alias("text")
+    return left.select(*(text if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))

@@ -30,11 +30,10 @@ from hashlib import sha256
 import ahocorasick
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_words, drop_written, per_text, written
+from ledgerloom.llm.common import ascii_words, drop_written, per_text, plain, squeezed, written
 from ledgerloom.llm.links import join_counted
 from ledgerloom.llm.shingles import runs, signed, spans, wide_hashes
 
@@ -141,16 +140,6 @@ def finish(text: str | None, known: list | None) -> tuple[int, int, str]:
     return len(words), int(mask.sum()), sha256(b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])).hexdigest()
 
 
-def squeezed(texts: pd.Series) -> pd.Series:
-    """Texts as they go through a shuffle, about two thirds of what Spark's own compression leaves."""
-    z = zstandard.ZstdCompressor(level=1)
-    return texts.map(lambda t: None if t is None else z.compress(t.encode("utf-8", "surrogatepass")))
-
-
-def plain(raw: bytes | None) -> str | None:
-    return None if raw is None else zstandard.decompress(bytes(raw)).decode("utf-8", "surrogatepass")
-
-
 def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """doc_id, packed (squeezed text) and the other columns of lists (of, at, ...) for documents (doc_id, key, text)."""
     packed = docs.select("doc_id", "key", F.pandas_udf(squeezed, "binary")("text").alias("packed"))

@@ -39,9 +39,22 @@ def classes_of(nodes, linked):
 def test_near_duplicates(spark, docs, texts):
     got = minhash.classes(docs).collect()
     assert len(got) == len(texts)
-    idf = minhash.inverse_frequencies(docs)
-    vectors = [minhash.weighted_shingles(t, idf) for _, t in texts]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(vectors[i][0]) and minhash.similarity(vectors[i], vectors[j]) >= minhash.THRESHOLD]
+    seen = Counter(w for _, t in texts for w in set(words(t)))
+
+    def vector(t):
+        w, out = words(t), Counter()
+        idf = [1 + np.log((1 + len(texts)) / (1 + seen[x])) for x in w]
+        size = min(5, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            out[tuple(w[i : i + size])] += sum(idf[i : i + size]) / size
+        return out
+
+    def similar(a, b):
+        both = sum(min(x, b[s]) for s, x in a.items() if s in b)
+        return both / (sum(a.values()) + sum(b.values()) - both)
+
+    vectors = [vector(t) for _, t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if vectors[i] and vectors[j] and similar(vectors[i], vectors[j]) >= 0.8]
     comp = classes_of(range(len(texts)), pairs)
     members = defaultdict(list)
     for n, (i, t) in enumerate(texts):
@@ -159,6 +172,8 @@ def test_vectors(spark):
     odd = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [1.0, None] * 8, 1), (1003, [float("nan")] * 16, 0), (1004, v[0].tolist(), None), (1005, [1.0], 0), (7, v[7].tolist(), int(label[7]))]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").repartition(3)
     got = embeddings.deduplicate(df).collect()
+    pair = [(2000, [1.0, 2.0, 2.0], 1), (2001, [1.0, 2.0, 2.1], 1), (2002, [1.0, 2.0, 2.0], 0)]  # another length, and a lone one above
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.deduplicate(df.unionByName(spark.createDataFrame(pair, df.schema))).collect() if r.vec_id >= 2000) == Counter([(2000, 1, 2000), (2001, 1, 2000), (2002, 0, 2002)])
     good = [(i, np.array(x, dtype=float), k) for i, x, k in rows + odd[-1:]]
     x = np.stack([g[1] / np.linalg.norm(g[1]) for g in good])
     near = (x @ x.T >= embeddings.THRESHOLD) & (np.array([g[2] for g in good])[:, None] == np.array([g[2] for g in good])[None])
@@ -262,6 +277,32 @@ def test_local_search_improves_best_fit():
         assert len(set(after)) <= len(set(before))
 
 
+def test_local_search_empties_bins():
+    """From bins in order of arrival to the lower bound."""
+    lengths = np.minimum(np.random.default_rng(1).lognormal(6, 1, 4000).astype(np.int64) + 1, 4095)
+    start = packing.next_fit(lengths, 4096)
+    after = packing.local_search(lengths, start, 4096)
+    bound = -(-lengths.sum() // 4096)
+    assert len(set(start)) > 1.1 * bound and len(set(after)) <= 1.003 * bound and np.bincount(after, weights=lengths).max() <= 4096
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+    import os
+
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(packing.default_tokenizer())
+    for path in (f"{folder}/byte_bpe_50k.json", str(tmp_path / "changed.json")):
+        if path.startswith(str(tmp_path)):
+            settings = json.load(open(packing.default_tokenizer()))
+            settings["normalizer"] = None
+            json.dump(settings, open(path, "w"))
+        t, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+        for text in ("Some  Text\n here, and\tthere's more", "", None):
+            assert not encode.by_word and encode(text) == np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @pytest.mark.parametrize(
     "text, base, labels, first, last, n",
     [
