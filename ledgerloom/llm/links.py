@@ -37,13 +37,15 @@ def in_units(members: DataFrame, bucket: list[str], member: str, block: int = BL
 HEAVY, LIGHT = 1 / 1_000, 100
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
     """big joined to small, whose keys are unique, without sending a heavy key's rows to one task.
 
-    counts: a written table of keys and n, how many rows of big have them. Rows with heavy keys meet the (at most
+    counts: a written table of keys and n, how many rows of big have them (keys with LIGHT rows and less may be missing if
+    total is given, the rows of big). Rows with heavy keys meet the (at most
     1 / HEAVY) rows of small that have them by a broadcast, all others by a shuffle.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = counts.where(F.col("n") > max(LIGHT, total * HEAVY)).select(*on).collect()
     if not heavy:
         return big.join(small, on, how)

@@ -10,12 +10,14 @@ over all documents in every round, and as every document starts at rate 1 its ra
 no state is kept per document, and any task can compute it again.
 
 Defined cases: a null or empty text has no tokens, counts nowhere, and gets the rate of its posterior; without labels of
-two domains all posteriors are the label shares; equal rows have equal rates; domains without any expected tokens stay
-short of their target (least squares); other columns are kept by `resample`.
+two domains all posteriors are the label shares; equal rows have equal rates and are taken or left together; domains
+without any expected tokens stay short of their target (least squares; what is missed is logged); other columns, whatever
+their names, are kept by `resample`; a very long text is one row of its own size.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,8 @@ from ledgerloom.llm.shingles import in_portions, word_hashes, word_hashes_of
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
 #: At most so many labelled documents teach the classifier; word presence is counted in COUNTERS counters per domain.
 MAX_LABELLED, COUNTERS, RARE = 20_000, 2**16, 10
-MAX_RATE, ROUNDS, ENOUGH, KEEP, RIDGE = 8.0, 40, 1e-4, 0.5, 0.01
+MAX_RATE, ROUNDS, ENOUGH, RIDGE = 8.0, 40, 1e-4, 0.01
+LOG = logging.getLogger(__name__)
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -146,11 +149,12 @@ def least_rate(keep: float | None) -> Column:
 
 
 def rate(steps: list[np.ndarray], most: float = MAX_RATE, keep: float | None = None) -> Column:
-    """A document's rate after these steps, from its posterior p. keep: from this posterior of the first domain on, a rate never falls under 1."""
-    out, floor = F.lit(1.0), least_rate(keep)
-    for step in steps:
-        out = F.least(F.greatest(out - sum((F.col("p")[i] * F.lit(float(s)) for i, s in enumerate(step)), F.lit(0.0)), floor), F.lit(most))
-    return out
+    """A document's rate after these steps, from its posterior p: a fold over one literal array. keep: from this posterior of the first domain on, a rate never falls under 1."""
+    if not steps:
+        return F.lit(1.0)
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
+    change = lambda step: F.aggregate(F.zip_with("p", step, lambda p, x: p * x), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(table, F.lit(1.0), lambda r, step: F.least(F.greatest(r - change(step), least_rate(keep)), F.lit(most)))
 
 
 def fit_rates(documents: DataFrame, targets: list[float], budget: float | None = None, most: float = MAX_RATE, rounds: int = ROUNDS, keep: float | None = None) -> list[np.ndarray]:
@@ -173,10 +177,14 @@ def fit_rates(documents: DataFrame, targets: list[float], budget: float | None =
             if size < 1e-2:
                 return steps[:-1]
             continue
-        if np.abs(miss).max() <= ENOUGH * max(goal.sum(), 1) or (steps and best - error <= 0.02 * best):
+        if np.abs(miss).max() <= ENOUGH * max(goal.sum(), 1):
+            return steps
+        if steps and best - error <= 0.02 * best:
+            LOG.warning("targets missed by %s of %s tokens: rates at their bounds get no closer", np.abs(miss).round().tolist(), goal.sum())
             return steps
         best, size = error, 1.0
         steps.append(np.linalg.solve(gram + ridge, miss) if tokens else np.zeros(k))
+    LOG.warning("targets missed by %s tokens after %s rounds", np.sqrt(best).round(), rounds)
     return steps[:-1]  # the last step was not tried
 
 
@@ -194,10 +202,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     return found.select("doc_id", "tokens", *(F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(targets)), rate(steps).alias("rate"), copies(steps, "doc_id", "key").alias("copies"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, keep: float | None = KEEP) -> DataFrame:
-    """docs, each as often as its copies say; those that belong to the first domain with a posterior of `keep` stay. Rates depend on the posterior alone, so nothing is joined."""
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, keep: float | None = None) -> DataFrame:
+    """docs, each as often as its copies say. Rows and posteriors are written once; rates depend on the posterior alone, so nothing is joined. Equal rows are taken or left together. keep: documents with this posterior of the first domain stay (then the targets may be missed)."""
     model = fit(docs, labelled, k=len(targets))
-    found = with_posterior(docs, model)
-    steps = fit_rates(written(found.select("tokens", "p"), "posteriors"), list(targets.values()), keep=keep)
+    found = written(with_posterior(docs, model), "posteriors")
+    steps = fit_rates(found, list(targets.values()), keep=keep)
     taken = found.withColumn("n", copies(steps, "row.doc_id", "row.text", keep=keep)).where("n > 0")
     return taken.select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")

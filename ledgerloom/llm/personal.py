@@ -9,8 +9,9 @@ of its contexts. Contexts of high confidence and enough support mark every unsee
 
 Defined cases: a null or empty text holds nothing; equal rows are each reported; without seeds nothing is discovered;
 a discovered identifier never overlaps a fixed-pattern span and takes the kind most of its context's seeds have (ties:
-the kind listed first); discovered ones that overlap are one; candidates under 6 or over 64 code points are no
-identifiers; other columns are kept by `redact`.
+the kind listed first); discovered ones that overlap are one; candidates under 6 code points are no identifiers, nor are
+several tokens that together have more than 64 (single tokens may have any length; long ones and long words beside a value
+are known by a hash of all of them); other columns, whatever their names, are kept by `redact`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import per_text, written
+from ledgerloom.llm.common import per_text, plain, squeezed, written
+from ledgerloom.llm.links import LIGHT, join_counted
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, PRIOR = 3, 3, 0.8, 1.0
@@ -112,8 +114,8 @@ def bounded(value: str) -> str:
 def contexts_of(value: str, before: str | None, after: str | None, wide: tuple[bool, bool] = (True, True)) -> list[str]:
     """Contexts from the words beside a value (None: no context), with its shape and, on the sides that are wide, its outline."""
     form, rough = bounded(shape(value)), outline(value)
-    out = [] if before is None else [f"{before[-32:]} _{x}" for x in (form, f"~{rough}")[: 1 + (wide[0] and bool(rough))]]
-    return out if after is None else [*out, *(f"_{x} {after[:32]}" for x in (form, f"~{rough}")[: 1 + (wide[1] and bool(rough))])]
+    out = [] if before is None else [f"{bounded(before)} _{x}" for x in (form, f"~{rough}")[: 1 + (wide[0] and bool(rough))]]
+    return out if after is None else [*out, *(f"_{x} {bounded(after)}" for x in (form, f"~{rough}")[: 1 + (wide[1] and bool(rough))])]
 
 
 def candidate_runs(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -165,11 +167,11 @@ def extract(text: str | None) -> tuple[list, list, list]:
             start, end = run[i][1], run[j][2]
             if text.count(")", start, end) > text.count("(", start, end) and start and text[start - 1] == "(":
                 start -= 1
-            if not TOKEN[0] <= end - start <= TOKEN[1]:
+            if end - start < TOKEN[0] or i < j and end - start > TOKEN[1]:
                 continue
             value, outer = text[start:end], (i == 0, j == n - 1)
             beside = before(run[i][0]) if outer[0] or i == j else None, after(run[j][0]) if outer[1] or i == j else None
-            tokens.append((start, end, -1, contexts_of(value, *beside, outer), value))
+            tokens.append((start, end, -1, contexts_of(value, *beside, outer), bounded(value)))
     return counts, base, tokens
 
 
@@ -185,11 +187,13 @@ def confident_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         token.select(F.explode("t.contexts").alias("context"), "t.value", "t.kind").groupBy("context", "value").agg(F.max("kind").alias("kind")),
         "personal-edges",
     )
+    size = edges.count()
+    often = {c: written(edges.groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") > LIGHT), "personal-counts") for c in ("value", "context")}
     seeds = edges.where("kind >= 0").groupBy("value").agg(F.min("kind").alias("kind"))
     scores = written(seeds.select("value", "kind", F.lit(1.0).alias("score")), "personal-scores")
     for n in range(rounds):
         # distinct tokens per context are counted before anything is joined back, so a common context is one row
-        held = edges.select("context", "value").join(scores, "value", "left")
+        held = join_counted(edges.select("context", "value"), scores, ["value"], often["value"], "left", size)
         votes = F.array(*(F.struct(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))))
         contexts = held.groupBy("context").agg(
             (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + PRIOR)).alias("confidence"),
@@ -198,7 +202,7 @@ def confident_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         )
         contexts = written(contexts.where((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE / 2)), "personal-contexts")
         if n + 1 < rounds:
-            reached = edges.select("context", "value").join(contexts, "context").groupBy("value").agg(F.min("kind").alias("kind"), (1 - F.exp(F.sum(F.ln(1 - 0.99 * F.col("confidence"))))).alias("score"))
+            reached = join_counted(edges.select("context", "value"), contexts, ["context"], often["context"], total=size).groupBy("value").agg(F.min("kind").alias("kind"), (1 - F.exp(F.sum(F.ln(1 - 0.99 * F.col("confidence"))))).alias("score"))
             scores = written(reached.join(seeds.select("value"), "value", "left_anti").unionByName(seeds.select("value", "kind", F.lit(1.0).alias("score"))), "personal-scores")
     return contexts.where(F.col("confidence") >= MIN_CONFIDENCE).select("context", "kind")
 
@@ -207,7 +211,8 @@ def discovered(found: DataFrame, contexts: DataFrame) -> DataFrame:
     """doc_id, key, added: the spans that the contexts mark, sorted; overlapping ones are one span of the kind of the first and longest."""
     token = found.select("doc_id", "key", F.explode("tokens").alias("t")).where("t.kind < 0")
     each = token.select("doc_id", "key", "t.start", "t.end", F.explode("t.contexts").alias("context"))
-    marked = each.join(contexts, "context").groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("kind"))
+    often = written(each.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT), "personal-counts")
+    marked = join_counted(each, contexts, ["context"], often, total=each.count()).groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("kind"))
     spans = marked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", F.negative("end").alias("back"), "kind"))).alias("spans"))
 
     def merge(done: Column, s: Column) -> Column:
@@ -255,8 +260,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; n_chars, if there, is counted anew."""
     found = extracted(docs)
     added = written(discovered(found, confident_contexts(found)), "personal-added")
-    replace = F.pandas_udf(lambda x, a: pd.Series([redacted(t, s) for t, s in zip(x, a)], dtype=object), "string")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("key"))
-    rows = _with_added(keyed, added).select("row", replace("row.text", "added").alias("new"))
-    value = lambda c: F.col("new") if c == "text" else F.length("new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")
+    replace = F.pandas_udf(lambda x, a: pd.Series([redacted(plain(t), s) for t, s in zip(x, a)], dtype=object), "string")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    keyed = docs.select(rest.alias("rest"), F.pandas_udf(squeezed, "binary")("text").alias("packed"), "doc_id", F.xxhash64("text").alias("key"))
+    rows = _with_added(keyed, added).select("rest", replace("packed", "added").alias("new"))
+    value = lambda c: F.col("new") if c == "text" else F.length("new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`")
     return rows.select(*(value(c).alias(c) for c in docs.columns))

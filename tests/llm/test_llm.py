@@ -433,3 +433,160 @@ def test_words_that_differ_have_different_hashes(spark):
     rest = [f"r{n}" for n in range(40)]
     df = spark.createDataFrame([(1, " ".join([a, *rest[:36]])), (2, " ".join([b, *rest[:33], "x", "y", "z"]))], "doc_id long, text string")
     assert {r.doc_id: (r.n_words, r.n_removed) for r in passages.remove_recurring(df).collect()} == {1: (37, 0), 2: (37, 0)}
+
+
+def test_mixing_by_brute_force(docs, labels, texts):
+    """Posteriors, rates and copies of every document, computed one by one; and no other rates come closer to the targets."""
+    import xxhash
+
+    labelled = mixing.domains(labels)
+    model = mixing.fit(docs, labelled)
+
+    def posterior(t):
+        at = [xxhash.xxh3_64_intdigest(w.encode()) % mixing.COUNTERS for w in words(t)]
+        k = len(model.ratios)
+        x = [sum(model.ratios[d][c] for c in at) / len(at) for d in range(k)] + [max(model.ratios[d][c] for c in at) for d in range(k)] if at else [0.0] * 2 * k
+        z = [sum(a * model.weights[i][d] for i, a in enumerate([*x, 1.0])) for d in range(k)]
+        e = [np.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    rows = mixing.mix(docs, labelled).collect()
+    expected = defaultdict(list)
+    for i, t in texts:
+        expected[i, len(words(t))].append(posterior(t))
+    for r in rows:
+        assert any(np.allclose([r.p_clean, r.p_toxic, r.p_junk], p, atol=1e-9) for p in expected[r.doc_id, r.tokens])
+        assert 0 <= r.rate <= mixing.MAX_RATE and r.copies in (int(r.rate), int(r.rate) + 1)
+    p, t = np.array([[r.p_clean, r.p_toxic, r.p_junk] for r in rows]), np.array([r.tokens for r in rows], dtype=float)
+    goal = np.array(list(mixing.TARGETS.values())) * t.sum()
+    miss = lambda x: float((((x * t) @ p - goal) ** 2).sum())
+    x = np.ones(len(rows))
+    step = 1 / np.linalg.norm(p * t[:, None], 2) ** 2
+    for _ in range(20_000):  # projected gradient on all rates, one by one
+        x = np.clip(x - step * (p @ (((x * t) @ p) - goal)) * t, 0, mixing.MAX_RATE)
+    assert miss(np.array([r.rate for r in rows])) <= miss(x) + (0.05 * t.sum()) ** 2
+    again = Counter(r.doc_id for r in mixing.resample(docs, labelled).collect())
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += int(np.floor(r.rate + 1))
+    assert all(n <= taken[i] for i, n in again.items())
+
+
+def test_compression_scores_by_brute_force(docs, labels, texts):
+    import zstandard
+
+    model = compression.fit(docs, labels)
+    rows = compression.score_documents(docs, model).collect()
+    made = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)] if model.good and model.bad else None
+
+    def difference(t):
+        raw = (t or "").encode()
+        if not made or not raw:
+            return 0.0
+        good, bad = (sum(len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(raw[i : i + compression.BLOCK])) for i in range(0, len(raw), compression.BLOCK)) for d in made)
+        return (bad - good) / (bad + good)
+
+    expected = Counter((i, round(1 / (1 + np.exp(-(model.slope * difference(t) + model.offset))), 6)) for i, t in texts if len(t or "") < 5_000)
+    got = Counter((r.doc_id, round(r.score, 6)) for r in rows)
+    assert not expected - got
+
+
+def test_contexts_by_brute_force(spark):
+    """Rounds over the graph of contexts and values, in plain Python."""
+    rng = random.Random(7)
+    cards = [f"4{n:015d}" for n in range(4000) if personal.luhn(f"4{n:015d}")]
+    lead = ["card", "number", "pay", "ref", "x" * 80 + "1", "x" * 80 + "2"]
+    rows = []
+    for n in range(300):
+        value = rng.choice(cards) if rng.random() < 0.5 else f"{rng.randint(10**5, 10**9)}"
+        rows.append((n, f"my {rng.choice(lead)} {value} {rng.choice(['thanks', 'now', 'is'])} and {rng.choice(lead)} {rng.choice(cards)} ok"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.context, r.kind) for r in personal.confident_contexts(personal.extracted(df)).collect()}
+
+    kinds = {}
+    for _, t in rows:
+        for _, _, kind, contexts, value in personal.extract(t)[2]:
+            for c in contexts:
+                kinds[c, value] = max(kind, kinds.get((c, value), -1))
+    seeds = {}
+    for (_, v), k in kinds.items():
+        if k >= 0:
+            seeds[v] = min(k, seeds.get(v, 9))
+    scores = {v: (k, 1.0) for v, k in seeds.items()}
+    of = defaultdict(set)
+    for c, v in kinds:
+        of[c].add(v)
+    for n in range(personal.ROUNDS):
+        found = {}
+        for c, values in of.items():
+            s = [scores[v] for v in values if v in scores]
+            confidence = sum(x for _, x in s) / (len(values) + personal.PRIOR)
+            votes = [sum(x for k, x in s if k == kind) for kind in range(4)]
+            if sum(x >= 0.5 for _, x in s) >= personal.MIN_SUPPORT and confidence >= personal.MIN_CONFIDENCE / 2:
+                found[c] = (votes.index(max(votes)), confidence)
+        reached = defaultdict(list)
+        for c, v in kinds:
+            if c in found and v not in seeds:
+                reached[v].append(found[c])
+        scores = {v: (min(k for k, _ in cs), 1 - np.prod([1 - 0.99 * x for _, x in cs])) for v, cs in reached.items()} | {v: (k, 1.0) for v, k in seeds.items()}
+    assert got == {(c, k) for c, (k, x) in found.items() if x >= personal.MIN_CONFIDENCE} != set()
+
+
+def test_licence_labels_by_brute_force(docs, texts):
+    names = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    rng = random.Random(3)
+    extra = [(500 + n, " ".join(rng.choice(["CC", "by", "BY-", "General Public\nLicense", "all rights", "reserved", "word", "é"]) for _ in range(30))) for n in range(40)]
+    more = docs.sparkSession.createDataFrame(extra, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+
+    def labels_of(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return ",".join(sorted({x for p, x in names.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}))
+
+    got = licences.scan(more).collect()
+    assert Counter((r.doc_id, r.base_labels) for r in got) == Counter((i, labels_of(t)) for i, t in [*extra, *texts])
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_pipeline_stages_by_brute_force(spark, docs, texts, labels, tmp_path):
+    """Every stage on the odd documents, each against plain Python over its own input; columns with clashing names stay."""
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    step = lambda name, df: dict(corpus_pipeline.STAGES)[name](spark, df, folder)
+    key = lambda r: (r.doc_id, r.text)
+
+    rules = text_rules.fit(docs, labels)
+    first = step("quality_rules", docs).cache()
+    judged = Counter(i for i, t in texts if not (len(words(t)) < 10 or 100 * brute_facts(t)[4] > 20 * len(words(t))))
+    assert first.columns == docs.columns and {r.kept for r in first.collect()} == {"other"}
+    got = Counter(r.doc_id for r in first.collect())
+    assert not got - judged and (rules or got == judged)
+
+    second = step("near_duplicates", first).cache()
+    classes = minhash.near_duplicates(first).collect()  # held against brute force by test_near_duplicates
+    assert second.count() == len({(r.class_id, r.class_id is None) for r in classes}) and not Counter(map(key, second.collect())) - Counter(map(key, first.collect()))
+
+    spans = {r.doc_id: r.spans for r in personal.find(second).collect()}
+    third = step("personal_data", second).cache()
+    before = {r.doc_id: r.text for r in second.collect()}
+    for r in third.collect():
+        t, out, at = before[r.doc_id], [], 0
+        for kind, a, b in (x.split(":") for x in filter(None, spans[r.doc_id].split(","))):
+            out += [t[at : int(a)], f"<{kind.upper()}>"] if int(a) >= at else []
+            at = max(at, int(b))
+        assert r.text == "".join([*out, t[at:]]) and r.n_chars == len(r.text)
+
+    fourth = step("source_mixing", third).cache()
+    copies = {r.doc_id: r.rate for r in mixing.mix(third, mixing.domains(labels)).collect()}
+    taken = Counter(map(key, fourth.collect()))
+    assert all(taken[key(r)] in (int(copies[r.doc_id]), int(copies[r.doc_id]) + 1) for r in third.collect()) and fourth.columns == docs.columns
+
+    last = step("packing", fourth).collect()
+    encode = packing.WordEncoder(packing.default_tokenizer())
+    expected = Counter((r.doc_id, *p) for r in fourth.collect() for p in packing.cut(r.text, encode))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in last) == expected
+
+    nothing = docs.limit(0)
+    for name in ("quality_rules", "near_duplicates", "personal_data", "source_mixing", "packing"):
+        assert step(name, nothing).count() == 0
