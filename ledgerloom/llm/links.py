@@ -86,15 +86,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "smallest")
+        smallest = both.groupBy("a").agg(F.min("b").alias("m"))
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
-        met = join_counted(both.where("b > a"), smallest.select("a", "m"), ["a"], smallest.select("a", "n"))
-        large = met.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         after = written(small, "edges")
-        drop_written(pairs, smallest)
+        drop_written(pairs)
         pairs = after
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -346,16 +346,16 @@ def with_smallest(groups: DataFrame, block: int = 256, unit: int = 1_000) -> Dat
 
 
 def joined(groups: DataFrame, weighed: DataFrame, common, total: int) -> DataFrame:
-    """A written table: a, b, pairs that join all that verified candidates of the groups (node, group) join."""
+    """A written table: node, root, for the groups (node, group) what verified candidates join."""
     content = weighed.select("node", "signature", "packed", "word", "seen")
     edges = written(verified(with_smallest(groups).join(content, "node"), common, total), "verified")
     labels = written(groups.join(components(edges), "node", "left").select("node", "group", F.coalesce("root", "node").alias("label")), "labels")
     pieces = labels.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("group")
     left = written(labels.join(pieces, "group"), "pieces")
     if left.isEmpty():
-        return edges
+        return labels.select("node", F.col("label").alias("root"))
     blocks = in_units(left, ["group"], "node", unit=1_000).drop("group")
-    return written(edges.unionByName(verified(blocks.join(content, "node"), common, total)), "verified")
+    return written(components(written(edges.unionByName(verified(blocks.join(content, "node"), common, total)), "verified")), "roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -382,9 +382,8 @@ def classes(docs: DataFrame) -> DataFrame:
     drop_written(nodes)
     weighed = texts.join(rare_words(texts, frequencies, common), "node", "left")
     drop_written(frequencies)
-    edges = joined(groups, weighed, common, total)
+    roots = joined(groups, weighed, common, total)
     drop_written(texts)
-    roots = written(components(edges), "roots")
 
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min(F.struct("node_id", "node")).alias("best"))
