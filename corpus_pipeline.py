@@ -1,4 +1,9 @@
-"""Corpus preparation: the stages, in order; each reads what the one before it kept and returns the columns of documents, the last one the packed pieces."""
+"""Corpus preparation: the stages, in order; each reads what the one before it kept and returns the columns of documents, the last one the packed pieces.
+
+Defined cases: null and empty texts fail the quality rules and go; null or repeated ids and columns of other names stay as
+they are; of equal rows near_duplicates keeps one; empty tables, also of labels, give empty results; texts of any length
+are processed whole.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +40,7 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("packing", packed),
 ]
-#: Learned rules, sampling and local search have no SQL form; tests compare the row counts of the first two stages with their operators, and look that the end has rows.
+#: Learned rules, sampling and local search have no SQL form; tests hold every stage against plain Python over the stage's own input.
 ORACLE_SQL = None
 
 
