@@ -188,7 +188,7 @@ def ranked(s: DataFrame) -> DataFrame:
 
 
 def plan_table(vl: DataFrame, r: DataFrame, patterns: DataFrame) -> DataFrame:
-    """One header row per pattern and ranked solution of its sample voucher, and one row per link; option is "pattern-solution", the best is marked x.
+    """One header row per pattern and ranked solution of its sample voucher, and one row per link; option is "pattern-solution", the best is marked x on all its rows.
 
     Patterns are sets of accounts (their number does not grow with the journal), numbered by how often they occur.
     """
@@ -198,8 +198,8 @@ def plan_table(vl: DataFrame, r: DataFrame, patterns: DataFrame) -> DataFrame:
     mark = F.when(F.col("rank") == 1, "x").otherwise("")
     none = lambda kind: F.lit(None).cast(kind)
     head = plans.select("pattern", "option", mark.alias("mark"), "score", "memory", "total", F.lit(0).alias("row"), none("string").alias("subject"), none("string").alias("contra"), none("double").alias("amount"))
-    links = plans.select("pattern", "option", F.posexplode("links").alias("i", "l"))
-    body = links.select("pattern", "option", F.lit("").alias("mark"), none("double").alias("score"), none("double").alias("memory"), none("double").alias("total"), (F.col("i") + 1).alias("row"), F.col("l.d_subject").alias("subject"), F.col("l.c_subject").alias("contra"), (F.col("l.cents") / 100.0).alias("amount"))
+    links = plans.select("pattern", "option", mark.alias("mark"), F.posexplode("links").alias("i", "l"))
+    body = links.select("pattern", "option", "mark", none("double").alias("score"), none("double").alias("memory"), none("double").alias("total"), (F.col("i") + 1).alias("row"), F.col("l.d_subject").alias("subject"), F.col("l.c_subject").alias("contra"), (F.col("l.cents") / 100.0).alias("amount"))
     return head.unionByName(body)
 
 

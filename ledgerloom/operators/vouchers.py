@@ -49,9 +49,11 @@ def filter_closing(lines: DataFrame) -> DataFrame:
 
 
 def with_counter_subjects(lines: DataFrame) -> DataFrame:
-    """direction and counter_subject: the subjects on the other side of the voucher, without the line's own. One window, no self-join."""
+    """direction and counter_subject: the subjects on the other side of the voucher, without the line's own. One window, no self-join; an uploaded journal's own contra accounts (given_counter) stay instead."""
     w = Window.partitionBy("voucher")
     lines = lines.withColumn("direction", S.direction(F.col("debit"), F.col("credit")))
+    if "given_counter" in lines.columns:
+        return lines.withColumnRenamed("given_counter", "counter_subject")
     of = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.nullif("subject", F.lit("")))).over(w))
     sides = lines.withColumns({"_d": of("借"), "_c": of("贷")})
     other = F.when(F.col("direction") == "借", F.col("_c")).when(F.col("direction") == "贷", F.col("_d")).otherwise(F.array().cast("array<string>"))

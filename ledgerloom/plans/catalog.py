@@ -393,7 +393,7 @@ def graph_layout(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.plans import contra_catalog  # noqa: F401  registers its queries here
+    from ledgerloom.plans import contra_catalog, upload_catalog  # noqa: F401  they register their queries here
 
     return QUERIES
 

@@ -216,5 +216,3 @@ def ml_predict(spark, d):
 @register()
 def feature_clusters(spark, d):
     return ml.feature_clusters(classified(spark, d))
-
-

@@ -5,7 +5,7 @@ Canonical lines: voucher, number, dt, line_no, subject, debit, credit (decimal(1
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
@@ -87,6 +87,62 @@ def canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     )
 
 
+def _source(df: DataFrame) -> Column:
+    """All original columns as one struct, so that no name of theirs clashes with ours."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias("source")
+
+
+def uploaded_lines(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Lines that the anomaly operators read, from an uploaded journal; its own columns travel in `source`.
+
+    The mapping (standard name -> column) is detected where it is not given. A voucher without a date is known by its
+    number, without a number by its row. given_counter is there only if the journal has contra accounts of its own. line_no
+    is the order of the rows in the files.
+    """
+    mapping = {k: c for k, (c, _) in detect_columns(df.columns).items()} if mapping is None else mapping
+    col = lambda name: F.col(f"source.`{mapping[name]}`") if mapping.get(name) in df.columns else None
+    empty = F.lit(None).cast("string")
+    text = lambda name: empty if col(name) is None else col(name).cast("string")
+    amount = lambda name: S.format_amount(text(name)).cast("decimal(18,2)").alias(name)
+    subject = S.first_level_subject(text("subject_name")) if col("first_level_subject") is None else S.normalize_subject(text("first_level_subject"))
+    number = F.col("line_no").cast("string") if col("voucher_no") is None else text("voucher_no")
+    counter = [] if col("counter_subject") is None else [S.normalize_subject(text("counter_subject")).alias("given_counter")]
+    rows = df.select(_source(df), F.monotonically_increasing_id().alias("line_no"))
+    return rows.select(
+        "source",
+        S.voucher_id(text("date"), number).alias("voucher"),
+        number.alias("number"),
+        text("date").alias("date"),
+        "line_no",
+        F.coalesce(text("summary"), F.lit("")).alias("summary"),
+        subject.alias("subject"),
+        amount("debit"),
+        amount("credit"),
+        *counter,
+    )
+
+
+def contra_lines(df: DataFrame, mapping: dict[str, str] | None = None, strip_commas: bool = False) -> DataFrame:
+    """Lines that the contra operators read, from an uploaded journal: vouchers keep their day, amounts two decimals, and text with separators is 0 unless strip_commas. The mapping has to know date, voucher_id, subject, debit and credit."""
+    mapping = smart_detect(df.columns) if mapping is None else mapping
+    missing = [name for name in ("date", "voucher_id", "subject", "debit", "credit") if mapping.get(name) not in df.columns]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
+    text = lambda name: F.col(f"source.`{mapping[name]}`").cast("string") if mapping.get(name) in df.columns else F.lit(None).cast("string")
+    amount = lambda name: S.contra_amount(text(name), strip_commas).cast("decimal(18,2)").alias(name)
+    return df.select(_source(df), F.monotonically_increasing_id().alias("line_no")).select(
+        "source",
+        S.contra_uid(text("date"), text("voucher_id")).alias("voucher"),
+        text("voucher_id").alias("number"),
+        text("date").alias("date"),
+        "line_no",
+        text("summary").alias("summary"),
+        F.coalesce(S.strip(text("subject")), F.lit("nan")).alias("subject"),
+        amount("debit"),
+        amount("credit"),
+    )
+
+
 # Accounts of the journal that is derived from orders and line items.
 JOURNAL_CTE = """
 WITH subj_map AS (SELECT * FROM (VALUES

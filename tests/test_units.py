@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import classify, compress, contra, graph, solver
+from ledgerloom.operators import classify, compress, contra, graph, report, solver, vouchers
 from ledgerloom.sources import journal, xlsx
 
 POS = "Pos"
@@ -170,3 +170,69 @@ def test_simple_compression_drops_null_keys(spark):
 def test_graph_levels_with_a_cycle(spark):
     e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "a", "c"), ("g", "x", "y"), ("g", "y", "x")], "primary_group string, src string, dst string")
     assert {r.node: r.level for r in graph.levels(e).collect()} == {"a": 0, "b": 1, "c": 1, "x": 2, "y": 3}
+
+
+UPLOAD = """制单日期,凭证编号,摘要,voucher,一级科目,借方金额,贷方金额,备注
+2025-09-29,记-1,购料,v,原材料 ,100,,a
+2025-09-29,记-1,,v,应交税费,13,,b
+2025-09-29,记-1,付款,v,应付账款,,113,c
+2025-09-30,记-1,,v,管理费用,70,,d
+2025-09-30,记-1,分摊,v,销售费用,30,,e
+2025-09-30,记-1,分摊,v,银行存款,,60,f
+2025-09-30,记-1,分摊,v,应付账款,,40,g
+"""
+
+
+@pytest.fixture
+def upload(spark, tmp_path):
+    path = tmp_path / "u.csv"
+    path.write_text(UPLOAD, encoding="utf-8")
+    return journal.read_csv(spark, str(path), as_text=True)
+
+
+def test_final_report_keeps_the_columns_of_the_journal(spark, upload):
+    j = journal.contra_lines(upload)
+    vl = contra.voucher_ledgers(contra.ledgers(contra.routed(j)))
+    out = report.final_report(j, solver.choose(vl, solver.ranked(solver.solutions(vl))), journal.smart_detect(upload.columns) | {"voucher_id": "凭证编号"}, in_order=True)
+    assert out.columns == ["制单日期", "凭证编号", "摘要", "voucher", "一级科目", "借方金额", "贷方金额", "对方科目", "备注"]
+    rows = [tuple(r) for r in out.collect()]
+    assert rows[:4] == [
+        ("2025-09-29", "记-1", "购料", "v", "原材料 ", 100, 0, "应付账款", "a"),
+        ("2025-09-29", "记-1", "购料 | 付款", "", "应付账款", 0, 100, "原材料", ""),
+        ("2025-09-29", "记-1", None, "v", "应交税费", 13, 0, "应付账款", "b"),
+        ("2025-09-29", "记-1", "购料 | 付款", "", "应付账款", 0, 13, "应交税费", ""),
+    ]
+    # the day parts two vouchers of one number; the second is allocated
+    assert {r[0] for r in rows[4:]} == {"2025-09-30"} and sum(r[5] for r in rows[4:]) == sum(r[6] for r in rows[4:]) == 100
+
+
+def test_marked_plans_come_back_from_a_workbook(spark, upload, tmp_path):
+    j = journal.contra_lines(upload)
+    vl = contra.voucher_ledgers(contra.ledgers(contra.routed(j)))
+    ranked = solver.ranked(solver.solutions(vl)).persist()
+    sheet = report.plan_sheet(solver.plan_table(vl, ranked, contra.pattern_counts(vl)))
+    rows = [r.asDict() for r in sheet.collect()]
+    assert sheet.columns == report.PLAN_NAMES and rows[0]["会计科目"] == "=== 方案 1-1 ===" and rows[0]["说明"].startswith("O:")
+    assert {r["方案ID"] for r in rows if r["请在此列打x"] == "x"} == {"1-1"}
+    best, other = ([r.links for r in ranked.where(f"rank = {n}").collect()] for n in (1, 2))
+    spark.dataSource.register(xlsx.XlsxSource)
+    for option, expected in (("1-2", other), ("1-9999", best), ("1-2-3", best), ("z", best)):
+        marked = [tuple((" X " if k == "请在此列打x" and r["方案ID"] == "1-2" else option if k == "方案ID" and r["方案ID"] == "1-2" else v) for k, v in r.items()) for r in rows]
+        path = str(tmp_path / f"{option}.xlsx")
+        xlsx.write(spark.createDataFrame(marked, sheet.schema), path, report.PLAN_SHEET)
+        selection = report.sheet_selection(spark.read.format("journal_xlsx").load(path))
+        assert [r.links for r in solver.choose(vl, ranked, selection).collect()] == expected
+
+
+def test_uploaded_lines_serve_the_anomaly_operators(spark, upload):
+    j = journal.uploaded_lines(upload)
+    v = vouchers.vouchers(j).collect()
+    assert [(r.voucher, float(r.abs_amount)) for r in v] == [("2025年9月-记-1", 213)]
+    scored = spark.createDataFrame([("2025年9月-记-1", "f", "g", "g", 1.0, 2.0, 1.0, 3.0, 4.0, 213.0, "t", "正常 🟢")], list(report.SCORE_NAMES))
+    out = report.scored_lines(j, scored)
+    assert out.columns == upload.columns + list(report.SCORE_NAMES.values()) and out.count() == 7
+    assert report.scored_lines(j, scored, ["高风险 🔴"]).count() == 0
+    given = journal.uploaded_lines(upload.withColumn("对方科目", F.lit(" 甲 ")))
+    assert {r.counter_subject for r in vouchers.with_counter_subjects(given).collect()} == {"甲"}
+    bare = journal.uploaded_lines(upload.select("备注"))
+    assert len({r.voucher for r in bare.collect()}) == 7
