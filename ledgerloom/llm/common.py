@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 
 from ledgerloom.shared import drop_written, written
 
-__all__ = ["ascii_words", "drop_written", "held_out", "label_votes", "labelled_sample", "per_text", "plain", "squeezed", "table", "written"]
+__all__ = ["ascii_words", "bounded_batches", "drop_written", "held_out", "label_votes", "labelled_sample", "per_text", "plain", "squeezed", "table", "written"]
 
 #: ASCII white space that separates words: space and the codes 9 to 13.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: The most bytes of rows that Python gets at once; a longer text is a batch of its own.
+BATCH_BYTES = 4 * 2**20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session so that batches that go to Python end at BATCH_BYTES; a task's memory then does not depend on how long its texts are together."""
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

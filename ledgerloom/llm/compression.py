@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out, labelled_sample
+from ledgerloom.llm.common import bounded_batches, held_out, labelled_sample
 
 BLOCK = 256
 #: Bounds of the labelled sample: at most so many labelled texts, and so many of their blocks for each dictionary.
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def with_difference(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the text, with the normalised size difference."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad))  # two dictionaries of DICTIONARY_BYTES at most
 
     def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

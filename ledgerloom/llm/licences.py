@@ -19,7 +19,7 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import per_text
+from ledgerloom.llm.common import bounded_batches, per_text
 
 # The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -149,4 +149,5 @@ def scan_text(text: str | None) -> tuple:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and what the scan found; first_word and last_word are word numbers from 0, null where no base phrase stands."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", per_text(scan_text, SCHEMA)("text").alias("_found")).select("doc_id", "_found.*")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_words, drop_written, plain, squeezed, written
+from ledgerloom.llm.common import ascii_words, bounded_batches, drop_written, plain, squeezed, written
 from ledgerloom.llm.links import components, groups_of, in_units, join_counted
 from ledgerloom.llm.shingles import in_portions, mixed, runs, signed, word_hashes_of
 
@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 AGREE = 28
 TABLE_BITS = 15
 #: The most frequent words, whose frequencies every task holds, and the words whose partial counts a task holds at once.
-COMMON, HELD = 50_000, 2_000_000
+COMMON, HELD = 50_000, 1_000_000
 #: What gives inverse document frequencies for word hashes.
 Weights = Callable[[np.ndarray], np.ndarray]
 
@@ -360,6 +360,7 @@ def joined(groups: DataFrame, weighed: DataFrame, common, total: int) -> DataFra
 
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, key, class_id and kept for every document, where kept marks one row of each class."""
+    bounded_batches(docs.sparkSession)
     spark, total = docs.sparkSession, docs.count()
     frequencies = document_frequencies(docs)
     top = common_words(frequencies)
@@ -401,6 +402,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, with all columns; a text without words stays. Texts are squeezed while rows meet their verdicts."""
+    bounded_batches(docs.sparkSession)
     judged = written(classes(docs), "judged")
     of_key = judged.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("at")).agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at"))

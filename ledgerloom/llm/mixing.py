@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import label_votes, per_text, written
+from ledgerloom.llm.common import bounded_batches, label_votes, per_text, written
 from ledgerloom.llm.shingles import in_portions, word_hashes, word_hashes_of
 
 #: Production targets: shares of expected tokens by domain, as the labelled table marks them.
@@ -98,6 +98,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 50, ridge: f
 
 def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED, k: int = len(TARGETS)) -> Classifier:
     """Learn from docs (doc_id, text) and labelled (doc_id, domain); at most max_labelled labels are used."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED,
 
 def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs as the struct column row, tokens (words of the text) and p (the posterior)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pd.Series) -> pd.DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import bounded_batches, written
 
 LENGTH, END_ID, SHARD = 4096, 1, 8_000
 #: The words and parts of words that a task remembers: at most so many, of at most so many bytes each.
@@ -209,6 +209,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarra
 
 def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """A written table: doc_id, piece, start, length, ids_crc32 and a number for each row."""
+    bounded_batches(docs.sparkSession)
     path = path or default_tokenizer()
 
     def cut_all(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

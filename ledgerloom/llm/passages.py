@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_words, drop_written, per_text, plain, squeezed, written
+from ledgerloom.llm.common import ascii_words, bounded_batches, drop_written, per_text, plain, squeezed, written
 from ledgerloom.llm.links import join_counted
 from ledgerloom.llm.shingles import runs, signed, spans, wide_hashes
 
@@ -211,6 +211,7 @@ def recurring_runs(keyed: DataFrame, window: int, most: int) -> DataFrame:
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per document. most: different segments of an anchor from which on they are cut into windows."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     lists = recurring_runs(keyed, window, most)
 

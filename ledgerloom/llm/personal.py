@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import per_text, plain, squeezed, written
+from ledgerloom.llm.common import bounded_batches, per_text, plain, squeezed, written
 from ledgerloom.llm.links import LIGHT, join_counted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -177,6 +177,7 @@ def extract(text: str | None) -> tuple[list, list, list]:
 
 def extracted(docs: DataFrame) -> DataFrame:
     """A written table of what each text holds: doc_id, key (a hash of the text), counts, base, tokens."""
+    bounded_batches(docs.sparkSession)
     return written(docs.select("doc_id", F.xxhash64("text").alias("key"), per_text(extract, EXTRACTED)("text").alias("x")).select("doc_id", "key", "x.*"), "personal")
 
 
@@ -258,6 +259,7 @@ def redacted(text: str | None, added: list | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; n_chars, if there, is counted anew."""
+    bounded_batches(docs.sparkSession)
     found = extracted(docs)
     added = written(discovered(found, confident_contexts(found)), "personal-added")
     replace = F.pandas_udf(lambda x, a: pd.Series([redacted(plain(t), s) for t, s in zip(x, a)], dtype=object), "string")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_words, labelled_sample, per_text
+from ledgerloom.llm.common import ascii_words, bounded_batches, labelled_sample, per_text
 
 #: At most so many labelled documents fit the list; their counts, not their texts, come to the driver.
 MAX_LABELLED = 20_000
@@ -72,6 +72,7 @@ def count_facts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs as the struct column row, and the counts of its text as the struct column _facts."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), per_text(count_facts, COUNTS)("text").alias("_facts"))
 
 
