@@ -401,18 +401,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all columns; a text without words stays. Texts are squeezed while rows meet their verdicts."""
-    bounded_batches(docs.sparkSession)
+    """One document of each class, with all columns; a text without words stays. Here texts go through the join as they are: to squeeze them and back would keep two Python workers for every task."""
     judged = written(classes(docs), "judged")
     of_key = judged.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("at")).agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at"))
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    keyed = docs.select(rest.alias("rest"), F.pandas_udf(squeezed, "binary")("text").alias("packed"), "doc_id", F.xxhash64("text").alias("key"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("key"))
     left = keyed.join(written(of_key.where("kept = 0").select("of", "at"), "dropped"), same, "left_anti")
     # rows that repeat a kept one exactly: all but one go
     repeated = written(of_key.where("kept > 0 and kept < rows").select("of", "at"), "repeated")
     if not repeated.isEmpty():
-        again = left.join(repeated, same, "left_semi").groupBy("doc_id", "key").agg(F.any_value(F.struct("rest", "packed")).alias("x"))
-        left = left.join(repeated, same, "left_anti").unionByName(again.select("x.rest", "x.packed", "doc_id", "key"))
-    text = F.pandas_udf(lambda raw: raw.map(plain), "string")("packed").alias("text")
-    return left.select(*(text if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
+        again = left.join(repeated, same, "left_semi").groupBy("doc_id", "key").agg(F.any_value("row").alias("row"))
+        left = left.join(repeated, same, "left_anti").unionByName(again.select("row", "doc_id", "key"))
+    return left.select("row.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, per_text, plain, squeezed, written
+from ledgerloom.llm.common import bounded_batches, per_text, written
 from ledgerloom.llm.links import LIGHT, join_counted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -262,9 +262,9 @@ def redact(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     found = extracted(docs)
     added = written(discovered(found, confident_contexts(found)), "personal-added")
-    replace = F.pandas_udf(lambda x, a: pd.Series([redacted(plain(t), s) for t, s in zip(x, a)], dtype=object), "string")
+    replace = F.pandas_udf(lambda x, a: pd.Series([redacted(t, s) for t, s in zip(x, a)], dtype=object), "string")
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    keyed = docs.select(rest.alias("rest"), F.pandas_udf(squeezed, "binary")("text").alias("packed"), "doc_id", F.xxhash64("text").alias("key"))
-    rows = _with_added(keyed, added).select("rest", replace("packed", "added").alias("new"))
+    keyed = docs.select(rest.alias("rest"), "text", "doc_id", F.xxhash64("text").alias("key"))
+    rows = _with_added(keyed, added).select("rest", replace("text", "added").alias("new"))
     value = lambda c: F.col("new") if c == "text" else F.length("new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`")
     return rows.select(*(value(c).alias(c) for c in docs.columns))
