@@ -12,98 +12,22 @@ numbers of sequences are unique but not dense; other columns are ignored.
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, written
+from ledgerloom.llm.tokens import END_ID, WordEncoder, default_tokenizer
 
-LENGTH, END_ID, SHARD = 4096, 1, 8_000
-#: The words and parts of words that a task remembers: at most so many, of at most so many bytes each.
-CACHED_WORDS, CACHED_BYTES = 600_000, 48
+LENGTH, SHARD = 4096, 8_000
 PIECES = "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-# The settings of a tokenizer file for which words and their parts may be encoded one by one.
-NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-
-
-def splits_words(settings: dict) -> bool:
-    """Does a tokenizer with these settings (its file) split text as NORMALIZERS and SPLIT say, and drop white space?"""
-    normal, before = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
-    steps = before.get("pretokenizers") or [{}, {}]
-    first, second = steps[0], steps[-1]
-    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert")
-    return bool(normal.get("normalizers") == NORMALIZERS and len(steps) == 2 and split and second.get("type") == "ByteLevel" and not second.get("add_prefix_space") and not second.get("use_regex"))
-
-
-class WordEncoder:
-    """Encodes word by word and remembers, where the tokenizer's file says that it never joins across ASCII white space, nor across the letters, digits and signs it splits a word into; texts go whole through any other tokenizer."""
-
-    #: Words of these code points are split here as the tokenizer's own pattern splits them; others go through it whole.
-    plain = regex.compile("[!-~\u00a1-\u024f]+")
-    parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = splits_words(json.loads(self.tokenizer.to_str()))
-        self.model = self.tokenizer.model
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet shows as themselves
-        hidden = [b for b in range(256) if b not in shown]
-        self.letter = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            letters = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-            if len(part) <= CACHED_BYTES:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
-                self.known[part] = ids
-        return ids
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.plain.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self.part, self.parts.findall(text.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit numbers."""
-        if not self.by_word:
-            whole = (text or "").encode("utf-8", "replace").decode()
-            return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, word = self.words.get, self.word
-        return b"".join([known(w) or word(w) for w in (text or "").encode("utf-8", "replace").split()])
-
-
 def cut(text: str | None, encode: WordEncoder, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of the ids) of a document."""
     raw = encode(text) + np.array([END_ID], dtype="<u4").tobytes()
