@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Removes a query's shuffle files when it ends; nothing reads them once its result is a table.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -40,3 +41,23 @@ def drop_written(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.folder)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with one more column: numbers from 1, without gaps, in this order (rows that it leaves equal: any order).
+
+    Rows are dealt by ranges of the order and sorted in their partition; a partition's numbers start after the rows of
+    those before it, so no task sees more than its range. Add a column that tells rows apart to the order where many may
+    be equal: equal rows are one range. df is computed twice (the first time to find the ranges).
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the partition, then 33 bits of the row's place in it
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = written(ranged.select(F.struct("*").alias("row"), F.shiftright(at, 33).alias("range"), at.bitwiseAND(2**33 - 1).alias("at")), "numbered")
+    before, starts = 0, []
+    for r in placed.groupBy("range").count().orderBy("range").collect():  # a row a partition
+        starts.append((r["range"], before + 1))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(starts, "range long, start long"))
+    return placed.join(starts, "range").select("row.*", (F.col("start") + F.col("at")).alias(name))
