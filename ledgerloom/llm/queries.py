@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, compression, embeddings, licences, minhash, mixing, packing, passages, personal, resampling, text_rules, token_files
+from ledgerloom.llm import chat, compression, embeddings, licences, minhash, mixing, packing, passages, personal, resampling, text_rules, token_files, vector_codes
 from ledgerloom.llm.common import table
 
 
@@ -60,8 +60,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_weighted_minhash, op2_soft_mixing, op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op6_repeated_passages, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data, op11_target_resampling, op12_token_files)}
+    return {f.__name__: f for f in (op1_weighted_minhash, op2_soft_mixing, op3_quality_rules, op4_itq_near_duplicates, op5_compression_classifier, op6_repeated_passages, op7_swap_packing, op8_license_scan, op9_chat_perspectives, op10_personal_data, op11_target_resampling, op12_token_files, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
