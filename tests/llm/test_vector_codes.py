@@ -56,7 +56,7 @@ def test_codes(spark):
     base = np.round(rng.standard_normal((330, 8)) * 2, 1).astype(np.float32)  # coarse, so that distances tie
     rows = [(int(n), x.tolist(), int(n) % 3) for n, x in enumerate(np.r_[base, base[:40]])]
     rows += [(7, base[9].tolist(), None), (7, base[7].tolist(), None), (None, base[1].tolist(), 0), (-3, [0.0] * 8, 1), (-2, [-0.0] * 8, 1)]
-    odd = [(900, [1.0] * 5, 1), (901, [], 9), (902, [1e6] * 8, 1), (908, [-3e38] * 8, 1), (909, [-16383.9995] + [0.0] * 7, 4), (903, [1.0] * 4, None)]
+    odd = [(900, [1.0] * 5, 1), (901, [], 9), (902, [1e6] * 8, 1), (908, [-3e38] * 8, 1), (909, [-16384.0] + [0.0] * 7, 4), (903, [1.0] * 4, None)]
     gone = [(904, None, 1), (905, [None] * 8, 1), (906, [float("nan")] * 8, 1), (907, [float("inf")] * 8, 0)]
     df = spark.createDataFrame([(i, v, k, "x", 5, 1) for i, v, k in rows + odd + gone], "vec_id long, embedding array<float>, label int, code string, error int, of int")
     assert got(vc.encode(df.repartition(4))) == brute(rows + odd, 8)
