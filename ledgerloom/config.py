@@ -35,6 +35,8 @@ SENSITIVE = ["银行", "现金", "Bank", "Cash", "支付宝", "微信"]
 HARD_BONES = ["应交税费"]
 SUFFIXES = "费款金产入本利"
 INVALID, UNSOLVED = "无效分录", "需人工分析(无解)"
+#: A search that its budget ended before it found or ruled out a solution.
+UNFINISHED = "需人工分析(未搜完)"
 
 # Account categories.
 CATEGORIES = {

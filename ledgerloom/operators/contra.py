@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.config import CLOSING_SUBJECT, FX_CONTRA, FX_EXCLUDED, FX_MONETARY, FX_OPERATING, FX_SUBJECT, INVALID, UNSOLVED
+from ledgerloom.config import CLOSING_SUBJECT, FX_CONTRA, FX_EXCLUDED, FX_MONETARY, FX_OPERATING, FX_SUBJECT, INVALID, UNFINISHED, UNSOLVED
 from ledgerloom.functions import scalars as S
 
 
@@ -123,7 +123,9 @@ def rebuilt(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
     if "links" in lines.columns:
         solved = F.concat(_shared_out("debit", "d", "c"), _shared_out("credit", "c", "d"))
-        rows = rows.otherwise(F.when(F.col("links").isNull(), F.array(_row(subject, debit, credit, F.lit(UNSOLVED)))).otherwise(solved))
+        # a search that ran out of its budget has not shown that there is no solution
+        why = F.when(F.col("status") == "budget", UNFINISHED).otherwise(UNSOLVED) if "status" in lines.columns else F.lit(UNSOLVED)
+        rows = rows.otherwise(F.when(F.col("links").isNull(), F.array(_row(subject, debit, credit, why))).otherwise(solved))
     return lines.select("voucher", "line_no", *(F.col(f"`{k}`") for k in keep), F.explode(rows).alias("_r")).select("voucher", "line_no", "_r.*", *(F.col(f"`{k}`") for k in keep))
 
 
@@ -164,5 +166,5 @@ def pattern_counts(vl: DataFrame) -> DataFrame:
 
 
 def report(lines: DataFrame, chosen: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All vouchers rebuilt, from canonical lines and chosen (voucher, links): COLUMNS and the columns to keep. Lines and solutions meet by voucher, as the lines lie already."""
-    return rebuilt(routed(lines).join(chosen.select("voucher", "links"), "voucher", "left"), keep)
+    """All vouchers rebuilt, from canonical lines and chosen (voucher, links, and perhaps status): COLUMNS and the columns to keep. Lines and solutions meet by voucher, as the lines lie already."""
+    return rebuilt(routed(lines).join(chosen, "voucher", "left"), keep)

@@ -2,28 +2,42 @@
 
 The larger side drives. Drivers are taken by ascending amount; each is covered either by whole buckets that sum to it or
 by whole buckets and a part of one more, in a fixed order, and what is left of the buckets goes to the next driver. A
-second search first pairs equal amounts. The work is in whole cents and bounded by a number of visited nodes and of tried
-sets of buckets, not by a clock, so results are the same everywhere; a ledger that needs more has the status budget and
-the solutions found until then. Spark deals the distinct ledgers over tasks; one call solves one ledger.
+second search first pairs equal amounts. The work is in whole cents. Sets of buckets with a given sum are found by halves
+(subsets.py), and what the last driver can take is counted, not listed: only taking all that is left can be a solution.
+
+The work is bounded by a number of visited nodes and of tried sets of buckets, not by a clock, so results are the same
+everywhere. Spark deals the distinct ledgers over tasks. A ledger that one search does not finish is dealt again: the
+first driver's ways become rows, each is searched with a budget of its own, and the results are merged in the order of the
+ways, so they do not depend on how many tasks there are. A ledger that needs more still has the status budget and the
+solutions found until then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import SENSITIVE
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators.subsets import count_summing, summing_to
+from ledgerloom.shared import written
 
 MAX_SOLUTIONS, MAX_NODES = 200, 20_000
 #: Sets of buckets that one search may try, for all its drivers together (a second or two).
 MAX_TRIED = 2_000_000
+#: Ways of the first driver that are searched one by one where one search was not enough.
+MAX_BRANCHES = 400
 LINKS = "array<struct<d_subject:string,d_sign:string,c_subject:string,c_sign:string,cents:long>>"
 Key = tuple[str, str]
+Side = list[tuple[Key, int]]
+Way = dict[Key, int]
 
 
 class Spent(Exception):
@@ -41,129 +55,299 @@ class Budget:
             self.spent = True
             raise Spent
 
+    def sets(self, n: int) -> None:
+        self.use(tried=n)
 
+
+@lru_cache(10_000)
 def _sensitive(key: Key) -> bool:
     return any(w in key[0] for w in SENSITIVE)
 
 
-def covers(key: Key, target: int, buckets: list[tuple[Key, int]], budget: Budget) -> Iterator[dict[Key, int]]:
-    """Ways to cover a driver's target, whole buckets first; every set tried counts."""
-    n, careful, seen = range(len(buckets)), _sensitive(key), set()
-    opposite = lambda x: target * x < 0
-
-    def fresh(way: dict[Key, int]) -> bool:
-        mark = frozenset(way.items())
-        return not (mark in seen or seen.add(mark))
-
-    for size in range(1, len(buckets) + 1):
-        for chosen in combinations(n, size):
-            budget.use(tried=1)
-            amounts = [buckets[i][1] for i in chosen]
-            if sum(amounts) == target and not (careful and any(map(opposite, amounts))) and fresh(way := {buckets[i][0]: buckets[i][1] for i in chosen}):
-                yield way
-    for i in n:
-        name, room = buckets[i]
-        guarded = _sensitive(name)
-        others = [k for k in n if k != i]
-        for size in range(len(others) + 1):
-            for chosen in combinations(others, size):
-                budget.use(tried=1)
-                need = target - sum(buckets[k][1] for k in chosen)
-                if guarded:
-                    fits = 0 < need < room or -room <= need < 0 if room > 0 else room < need < 0
-                else:
-                    fits = need != room
-                if need == 0 or not fits or abs(need) > 10 * abs(target):
-                    continue
-                if careful and (opposite(need) or any(opposite(buckets[k][1]) for k in chosen)):
+def _part_of(key: Key, target: int, bucket: tuple[Key, int], within: bool) -> tuple[int, int, tuple[int, ...]]:
+    """The least and the greatest amount that a driver may take of a bucket it does not take whole, and amounts in between that it may not."""
+    name, room = bucket
+    lo, hi, but = -10 * abs(target), 10 * abs(target), (0,)
+    if within:
+        lo, hi = (max(lo, 1), min(hi, room - 1)) if room > 0 else (max(lo, room + 1), min(hi, -1))
+    elif _sensitive(name):
+        lo, hi = (max(lo, -room), min(hi, room - 1)) if room > 0 else (max(lo, room + 1), min(hi, -1))
+    else:
+        but = (0, room)
+    if _sensitive(key):
+        lo, hi = (max(lo, 1), hi) if target > 0 else (lo, min(hi, -1))
+    return lo, hi, but
+
+
+def _whole(key: Key, target: int, buckets: Side) -> list[int]:
+    """The buckets that a driver may take whole: a sensitive account takes none of the opposite sign."""
+    return [k for k, (_, x) in enumerate(buckets) if not _sensitive(key) or target * x >= 0]
+
+
+def covers(key: Key, target: int, buckets: Side, budget: Budget, within: bool = False) -> Iterator[Way]:
+    """Ways to cover a driver's target, whole buckets first. With `within`, no more than a bucket holds is taken of it."""
+    whole = _whole(key, target, buckets)
+    take = lambda places: {buckets[k][0]: buckets[k][1] for k in places}
+    for chosen in summing_to([buckets[k][1] for k in whole], target, target, 1, budget.sets):
+        yield take(whole[c] for c in chosen)
+    for i, bucket in enumerate(buckets):
+        lo, hi, but = _part_of(key, target, bucket, within)
+        others = [k for k in whole if k != i]
+        for chosen in summing_to([buckets[k][1] for k in others], target - hi, target - lo, 0, budget.sets):
+            part = target - sum(buckets[others[c]][1] for c in chosen)
+            if part not in but:
+                yield take(others[c] for c in chosen) | {bucket[0]: part}
+
+
+def count_covers(key: Key, target: int, buckets: Side, budget: Budget) -> tuple[int, int]:
+    """How many ways covers() has, of whole buckets only, and in all."""
+    whole = _whole(key, target, buckets)
+    full = count_summing([buckets[k][1] for k in whole], [(target, target)], budget.sets)[0] - (target == 0)
+    n = full
+    for i, bucket in enumerate(buckets):
+        lo, hi, but = _part_of(key, target, bucket, False)
+        not_these = {x for x in but if lo <= x <= hi}
+        ranges = [(target - hi, target - lo), *((target - x, target - x) for x in not_these)]
+        every, *less = count_summing([buckets[k][1] for k in whole if k != i], ranges, budget.sets)
+        n += every - sum(less)
+    return full, n
+
+
+def _left(buckets: Side, way: Way) -> Side:
+    return [(k, x) for k, x in ((k, x - way.get(k, 0)) for k, x in buckets) if x]
+
+
+class Search:
+    """Depth-first allocations of drivers (ascending) to buckets (ascending), up to `most` raw results or until the budget is spent.
+
+    A raw result is an allocation that leaves buckets whose sum is 0; kept are those that leave a cent at most of every
+    bucket, with their number among the raw ones.
+    """
+
+    def __init__(self, most: int, budget: Budget, within: bool = False):
+        self.most, self.budget, self.within = most, budget, within
+        self.raw, self.kept = 0, []
+
+    def run(self, drivers: Side, buckets: Side, path: list[Way] | None = None) -> "Search":
+        """path: the ways of drivers that were covered before; buckets are what these leave."""
+        self.drivers, path = drivers, list(path or [])
+        given = len(path)
+        try:
+            self.budget.use(nodes=1)
+            if given == len(drivers):
+                self._found(path, buckets)
+                return self
+            levels = [self._ways(path, buckets)]
+            while levels and self.raw < self.most:
+                left, ways = levels[-1]
+                way = next(ways, None)
+                if way is None:
+                    levels.pop()
+                    del path[given + len(levels) - 1 :]
                     continue
-                if fresh(way := {buckets[k][0]: buckets[k][1] for k in chosen} | {name: need}):
-                    yield way
-
-
-def search(drivers: list[tuple[Key, int]], buckets: list[tuple[Key, int]], most: int, budget: Budget) -> list[dict[Key, dict[Key, int]]]:
-    """Depth-first allocations of drivers (ascending) to buckets (ascending); stops at `most` results or when the budget is spent."""
-    found: list[dict[Key, dict[Key, int]]] = []
-
-    def step(at: int, given: dict, left: list[tuple[Key, int]]) -> None:
-        budget.use(nodes=1)
-        if at == len(drivers):
-            if sum(x for _, x in left) == 0:
-                found.append(given)
-            return
-        key, target = drivers[at]
-        for way in covers(key, target, left, budget):
-            if len(found) >= most:
-                return
-            rest = [(k, x - way.get(k, 0)) for k, x in left]
-            step(at + 1, given | {key: way}, [(k, x) for k, x in rest if x])
-
-    try:
-        step(0, {}, buckets)
-    except Spent:
-        pass
-    return found
-
-
-def solve(debits: dict[Key, int], credits: dict[Key, int], most: int = MAX_SOLUTIONS, nodes: int = MAX_NODES) -> tuple[list[list[tuple[Key, Key, int]]], str]:
-    """Solutions as lists of (debit key, credit key, cents), and solved, no_solution or budget."""
-    debits, credits = ({k: x for k, x in side.items() if x} for side in (debits, credits))
+                path[given + len(levels) - 1 :] = [way]
+                self.budget.use(nodes=1)
+                if len(path) == len(drivers):
+                    self._found(path, _left(left, way))
+                else:
+                    levels.append(self._ways(path, _left(left, way)))
+        except Spent:
+            pass
+        return self
+
+    def _found(self, path: list[Way], left: Side) -> None:
+        if sum(x for _, x in left) == 0:
+            if all(abs(x) <= 1 for _, x in left):
+                self.kept.append((self.raw, list(path)))
+            self.raw += 1
+
+    def _ways(self, path: list[Way], left: Side) -> tuple[Side, Iterator[Way]]:
+        """What is left and the ways of the next driver in it."""
+        key, target = self.drivers[len(path)]
+        rest, last = sum(x for _, x in left), len(path) == len(self.drivers) - 1
+        if self.within:
+            ahead = [t for _, t in self.drivers[len(path) :]]
+            # the drivers ahead take at least so much of the buckets of either sign, as no bucket is over-drawn
+            if sum(max(t, 0) for t in ahead) > sum(max(x, 0) for _, x in left) or sum(min(t, 0) for t in ahead) < sum(min(x, 0) for _, x in left) or rest != sum(ahead):
+                return left, iter(())
+            return left, iter([dict(left)] if len(_whole(key, target, left)) == len(left) else []) if last else covers(key, target, left, self.budget, True)
+        if last and left and all(abs(x) > 1 for _, x in left):
+            self._last(path, key, target, left, rest)
+            return left, iter(())
+        return left, covers(key, target, left, self.budget)
+
+    def _last(self, path: list[Way], key: Key, target: int, left: Side, rest: int) -> None:
+        """The last driver, where no bucket holds a cent only: of its ways only all that is left, taken whole, can be kept; it is the last of those of whole buckets."""
+        full, n = count_covers(key, target, left, self.budget)
+        balanced = rest == target
+        seen = min(n, self.most - self.raw) if balanced else n
+        reached = min(seen, self.budget.nodes)
+        if balanced:
+            if len(_whole(key, target, left)) == len(left) and full <= reached:
+                self.kept.append((self.raw + full - 1, [*path, dict(left)]))
+            self.raw += reached
+        self.budget.use(nodes=seen)
+
+
+def _ascending(side: dict[Key, int]) -> Side:
+    return sorted(side.items(), key=lambda kv: kv[1])
+
+
+def tracks(debits: dict[Key, int], credits: dict[Key, int]) -> tuple[bool, list[tuple[Side, Side, dict[Key, Way]]]]:
+    """Whether credits drive, and the searches: drivers, buckets and what is locked beforehand. The second, if drivers and buckets of equal amount exist or not, starts from these pairs."""
     swapped = len(credits) > len(debits)
     drivers, buckets = (credits, debits) if swapped else (debits, credits)
-    ascending = lambda side: sorted(side.items(), key=lambda kv: kv[1])
-    loose = Budget(nodes)
-    raw = search(ascending(drivers), ascending(buckets), 2 * most, loose)
-
-    locked: dict[Key, dict[Key, int]] = {}
+    locked: dict[Key, Way] = {}
     free = dict(buckets)
-    for key, amount in ascending(drivers):
+    for key, amount in _ascending(drivers):
         if (equal := next((b for b, x in free.items() if x == amount), None)) is not None:
             locked[key] = {equal: amount}
             del free[equal]
-    strict = Budget(nodes)
-    rest = ascending({k: x for k, x in drivers.items() if k not in locked})
-    if rest:
-        raw += [r | locked for r in search(rest, ascending(free), 2 * most, strict)]
-    elif locked:
-        raw.append(locked)
-
-    out, seen = [], set()
-    for result in raw:
-        links = {}
-        for driver, way in result.items():
-            for bucket, x in way.items():
-                if x:
-                    links[(bucket, driver) if swapped else (driver, bucket)] = x
-        total: dict[tuple[str, Key], int] = {}
-        for (d, c), x in links.items():
-            total["D", d] = total.get(("D", d), 0) + x
-            total["C", c] = total.get(("C", c), 0) + x
-        kept = all(abs(total.get(("D", k), 0) - x) <= 1 for k, x in debits.items()) and all(abs(total.get(("C", k), 0) - x) <= 1 for k, x in credits.items())
-        mark = frozenset(links.items())
-        if kept and mark not in seen:
-            seen.add(mark)
-            out.append([(d, c, x) for (d, c), x in sorted(links.items(), key=lambda kv: list(debits).index(kv[0][0]))])
-            if len(out) >= most:
-                break
-    status = "budget" if loose.spent or strict.spent else "solved" if out else "no_solution"
-    return out, status
-
-
-def solutions(vl: DataFrame, most: int = MAX_SOLUTIONS, nodes: int = MAX_NODES) -> DataFrame:
-    """ledger_key, status, n (0-based order found; null without solution), links: for every distinct ledger of voucher_ledgers()."""
-
-    def run(batches):
+    rest = _ascending({k: x for k, x in drivers.items() if k not in locked})
+    return swapped, [(_ascending(drivers), _ascending(buckets), {}), (rest, _ascending(free), locked)]
+
+
+def _links(debits: dict[Key, int], swapped: bool, drivers: Side, path: list[Way], locked: dict[Key, Way]) -> list[tuple[Key, Key, int]]:
+    """(debit key, credit key, cents), debits in the order of the ledger."""
+    links = {}
+    for driver, way in [*zip((k for k, _ in drivers), path), *locked.items()]:
+        for bucket, x in way.items():
+            if x:
+                links[(bucket, driver) if swapped else (driver, bucket)] = x
+    place = {k: n for n, k in enumerate(debits)}
+    return [(d, c, x) for (d, c), x in sorted(links.items(), key=lambda kv: place[kv[0][0]])]
+
+
+def _sides(ledger) -> tuple[dict[Key, int], dict[Key, int]]:
+    sides: dict[str, dict[Key, int]] = {"D": {}, "C": {}}
+    for e in ledger:
+        if int(e["cents"]):
+            sides[e["side"]][e["subject"], e["sign"]] = int(e["cents"])
+    return sides["D"], sides["C"]
+
+
+def solve(debits: dict[Key, int], credits: dict[Key, int], most: int = MAX_SOLUTIONS, nodes: int = MAX_NODES, within: bool = False) -> tuple[list[list[tuple[Key, Key, int]]], str]:
+    """Solutions as lists of (debit key, credit key, cents), and solved, no_solution or budget."""
+    debits, credits = ({k: x for k, x in side.items() if x} for side in (debits, credits))
+    swapped, searches = tracks(debits, credits)
+    out, seen, spent = [], set(), False
+    for n, (drivers, buckets, locked) in enumerate(searches):
+        if n and not drivers and not locked:
+            continue
+        budget = Budget(nodes)
+        found = Search(2 * most, budget, within).run(drivers, buckets)
+        spent |= budget.spent
+        for _, path in found.kept:
+            links = _links(debits, swapped, drivers, path, locked)
+            if len(out) < most and (mark := frozenset(links)) not in seen:
+                seen.add(mark)
+                out.append(links)
+    return out, "budget" if spent else "solved" if out else "no_solution"
+
+
+LINK_TYPE = pa.list_(pa.struct([("d_subject", pa.string()), ("d_sign", pa.string()), ("c_subject", pa.string()), ("c_sign", pa.string()), ("cents", pa.int64())]))
+
+
+def _link_arrays(found: list[list[tuple[Key, Key, int]]]) -> pa.ListArray:
+    """Solutions as one Arrow column, built from flat lists."""
+    flat = [x for links in found for x in links]
+    fields = [[d[0] for d, _, _ in flat], [d[1] for d, _, _ in flat], [c[0] for _, c, _ in flat], [c[1] for _, c, _ in flat], [x for _, _, x in flat]]
+    arrays = [pa.array(f, t.type) for f, t in zip(fields, LINK_TYPE.value_type)]
+    offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=list(LINK_TYPE.value_type)))
+
+
+def _batch(columns: list[tuple[str, pa.DataType]], rows: list[tuple], links: list) -> pa.RecordBatch:
+    arrays = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([*arrays, _link_arrays(links)], names=[*(c for c, _ in columns), "links"])
+
+
+def solutions(vl: DataFrame, most: int = MAX_SOLUTIONS, nodes: int = MAX_NODES, within: bool = False, branches: int = MAX_BRANCHES) -> DataFrame:
+    """ledger_key, status, n (0-based order found; null without solution), links: for every distinct ledger of voucher_ledgers().
+
+    A written table. `within` never takes more of a bucket than it holds, and cuts branches that would have to. With
+    branches = 0 a ledger that one search does not finish stays as it is.
+    """
+    ledgers = vl.groupBy("ledger_key").agg(F.any_value("ledger").alias("ledger"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [("ledger_key", pa.string()), ("status", pa.string()), ("n", pa.int64())]
+        for batch in batches:
+            rows, links = [], []
+            for key, ledger in zip(batch.column("ledger_key").to_pylist(), batch.column("ledger").to_pylist()):
+                found, status = solve(*_sides(ledger), most, nodes, within)
+                rows += [(key, status, n) for n in range(len(found))] or [(key, status, None)]
+                links += found or [[]]
+                if len(rows) > 10_000:
+                    yield _batch(columns, rows, links)
+                    rows, links = [], []
+            yield _batch(columns, rows, links)
+
+    found = written(ledgers.mapInArrow(run, f"ledger_key string, status string, n long, links {LINKS}"), "solutions")
+    hard = found.where("status = 'budget'").select("ledger_key").distinct()
+    if not branches or hard.isEmpty():
+        return found
+    return found.where("status <> 'budget'").unionByName(_dealt(ledgers.join(hard, "ledger_key", "left_semi"), most, nodes, within, branches))
+
+
+def _dealt(ledgers: DataFrame, most: int, nodes: int, within: bool, branches: int) -> DataFrame:
+    """solutions() of ledgers that one search does not finish: the first driver's ways are rows, each is searched on its own."""
+    ways = "array<struct<subject:string,sign:string,cents:long>>"
+
+    def first_ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, ledger in zip(pdf["ledger_key"], pdf["ledger"]):
-                sides: dict[str, dict[Key, int]] = {"D": {}, "C": {}}
-                for e in ledger:
-                    sides[e["side"]][e["subject"], e["sign"]] = int(e["cents"])
-                found, status = solve(sides["D"], sides["C"], most, nodes)
-                rows += [(key, status, n, [(*d, *c, x) for d, c, x in s]) for n, s in enumerate(found)] or [(key, status, None, [])]
-            yield pd.DataFrame(rows, columns=["ledger_key", "status", "n", "links"]).astype({"n": "Int64"})
-
-    return vl.groupBy("ledger_key").agg(F.any_value("ledger").alias("ledger")).mapInPandas(run, f"ledger_key string, status string, n long, links {LINKS}")
+                for track, (drivers, buckets, locked) in enumerate(tracks(*_sides(ledger))[1]):
+                    found, complete = [], True
+                    if drivers:
+                        try:
+                            for way in islice(covers(*drivers[0], buckets, Budget(nodes), within), branches + 1):
+                                found.append([(*k, x) for k, x in way.items()])
+                        except Spent:
+                            complete = False
+                        complete &= len(found) <= branches
+                    elif locked:
+                        found = [[]]  # nothing is left to search
+                    rows += [(key, ledger, track, n, complete, way) for n, way in enumerate(found[:branches])] or [(key, ledger, track, None, complete, None)]
+            yield pd.DataFrame(rows, columns=["ledger_key", "ledger", "track", "branch", "complete", "way"]).astype({"branch": "Int64"})
+
+    kind = ledgers.schema["ledger"].dataType.simpleString()
+    listed = written(ledgers.mapInPandas(first_ways, f"ledger_key string, ledger {kind}, track int, branch long, complete boolean, way {ways}"), "branches")
+    spread = listed.repartition(F.col("ledger_key"), F.col("track"), F.col("branch"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [("ledger_key", pa.string()), ("track", pa.int32()), ("branch", pa.int64()), ("complete", pa.bool_()), ("spent", pa.bool_()), ("raw", pa.int64()), ("at", pa.int64())]
+        for batch in batches:
+            for r in batch.to_pylist():
+                debits, credits = _sides(r["ledger"])
+                swapped, searches = tracks(debits, credits)
+                drivers, buckets, locked = searches[r["track"]]
+                budget, found = Budget(nodes), None
+                if r["branch"] is not None:
+                    way = {(e["subject"], e["sign"]): e["cents"] for e in r["way"]}
+                    found = Search(2 * most, budget, within).run(drivers, _left(buckets, way), [way] if drivers else [])
+                head = (r["ledger_key"], r["track"], r["branch"], r["complete"], budget.spent, found.raw if found else 0)
+                kept = found.kept if found else []
+                rows = [(*head, None), *((*head, at) for at, _ in kept)]
+                yield _batch(columns, rows, [[], *(_links(debits, swapped, drivers, path, locked) for _, path in kept)])
+
+    raw = written(spread.mapInArrow(search, f"ledger_key string, track int, branch long, complete boolean, spent boolean, raw long, at long, links {LINKS}"), "searched")
+    # at most `branches` rows for each of the two searches of a ledger
+    w = Window.partitionBy("ledger_key", "track").orderBy("branch")
+    each = raw.where("at is null").withColumn("before", F.sum("raw").over(w) - F.col("raw"))
+    seen = F.col("before") < 2 * most
+    open_end = each.groupBy("ledger_key", "track").agg((F.bool_or(F.col("spent") & seen) | (~F.bool_and("complete") & (F.sum("raw") < 2 * most))).alias("open"))
+    status = open_end.groupBy("ledger_key").agg(F.bool_or("open").alias("open"))
+    kept = raw.where("at is not null").join(each.select("ledger_key", "track", "branch", "before"), ["ledger_key", "track", "branch"])
+    kept = kept.where(F.col("before") + F.col("at") < 2 * most).withColumn("place", F.struct("track", "branch", "at"))
+    mark = F.array_sort("links")  # the same links in another order are the same solution
+    once = kept.groupBy("ledger_key", mark.alias("mark")).agg(F.min("place").alias("place"), F.min_by("links", "place").alias("links"))
+    n = F.row_number().over(Window.partitionBy("ledger_key").orderBy("place")) - 1
+    numbered = once.withColumn("n", n.cast("long")).where(F.col("n") < most).select("ledger_key", "n", "links")
+    out = status.join(numbered, "ledger_key", "left")
+    of = F.when(F.col("open"), "budget").when(F.col("n").isNull(), "no_solution").otherwise("solved")
+    return out.select("ledger_key", of.alias("status"), "n", F.coalesce("links", F.array().cast(LINKS)).alias("links"))
 
 
 def occam_scores(s: DataFrame) -> DataFrame:
@@ -210,11 +394,19 @@ def plan_selection(plan: DataFrame) -> DataFrame:
     return last.select("pattern", F.split_part("option", F.lit("-"), F.lit(2)).try_cast("int").alias("choice"))
 
 
-def choose(vl: DataFrame, r: DataFrame, selection: DataFrame | None = None) -> DataFrame:
-    """voucher, links: every voucher's chosen solution, the best where nothing valid is selected for its pattern."""
-    links = r.select("ledger_key", "rank", "last", "links")
+def choose(vl: DataFrame, r: DataFrame, selection: DataFrame | None = None, s: DataFrame | None = None) -> DataFrame:
+    """voucher, links, status: every voucher's chosen solution, the best where nothing valid is selected for its pattern.
+
+    With the solutions s, vouchers that have none come too, with null links and what the search ended with.
+    """
+    links = r.select("ledger_key", "rank", "last", "links", "status")
     if selection is None:
-        return vl.select("voucher", "ledger_key").join(links.where("rank = 1"), "ledger_key").select("voucher", "links")
-    wanted = vl.select("voucher", "ledger_key", "pattern").join(selection, "pattern", "left").join(links, "ledger_key")
-    fits = F.when(F.col("choice").between(1, F.col("last")), F.col("choice")).otherwise(1)
-    return wanted.where(F.col("rank") == fits).select("voucher", "links")
+        out = vl.select("voucher", "ledger_key").join(links.where("rank = 1"), "ledger_key").select("voucher", "links", "status")
+    else:
+        wanted = vl.select("voucher", "ledger_key", "pattern").join(selection, "pattern", "left").join(links, "ledger_key")
+        fits = F.when(F.col("choice").between(1, F.col("last")), F.col("choice")).otherwise(1)
+        out = wanted.where(F.col("rank") == fits).select("voucher", "links", "status")
+    if s is None:
+        return out
+    none = s.where("n is null").select("ledger_key", F.lit(None).cast(LINKS).alias("links"), "status")
+    return out.unionByName(vl.select("voucher", "ledger_key").join(none, "ledger_key").drop("ledger_key"))

@@ -24,7 +24,8 @@ def _ledgers(spark, d) -> DataFrame:
 
 
 def _chosen(vl: DataFrame) -> DataFrame:
-    return solver.choose(vl, solver.ranked(solver.solutions(vl)))
+    s = solver.solutions(vl)
+    return solver.choose(vl, solver.ranked(s), s=s)
 
 
 @register("SELECT voucher, line_no, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM cl", CONTRA)

@@ -47,7 +47,8 @@ def uploaded_anomalies(spark, d):
 
 def _chosen(j: DataFrame, selection: DataFrame | None = None) -> DataFrame:
     vl = contra.voucher_ledgers(contra.ledgers(contra.routed(j)))
-    return solver.choose(vl, solver.ranked(solver.solutions(vl)), selection)
+    s = solver.solutions(vl)
+    return solver.choose(vl, solver.ranked(s), selection, s)
 
 
 @register()

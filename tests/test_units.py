@@ -1,5 +1,6 @@
 """Small worked cases that the derived journal doesn't reach."""
 
+import itertools
 import random
 import time
 from decimal import Decimal
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import classify, compress, contra, graph, report, solver, vouchers
+from ledgerloom.operators import classify, compress, contra, graph, report, solver, subsets, vouchers
 from ledgerloom.sources import journal, xlsx
 
 POS = "Pos"
@@ -66,6 +67,103 @@ def test_solver_is_bounded_for_many_accounts():
     assert solver.solve(d, c)[1] == "budget" and time.time() - began < 60
 
 
+def test_subsets_by_halves_come_in_the_order_of_combinations(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(subsets, "FEW", 1)
+    for n in [*range(2, 13)] * 4:
+        values = [rng.randint(-9, 20) for _ in range(n)]
+        lo = rng.randint(-20, 40)
+        for hi, least in ((lo, 1), (lo + 4, 0), (lo + 60, 1)):
+            expected = [c for size in range(least, n + 1) for c in itertools.combinations(range(n), size) if lo <= sum(values[k] for k in c) <= hi]
+            assert list(subsets.summing_to(values, lo, hi, least, lambda k: None)) == expected
+            assert subsets.count_summing(values, [(lo, hi)], lambda k: None) == [len(expected) + (least == 1 and lo <= 0 <= hi)]
+
+
+def ways_one_by_one(key, target, buckets):
+    """All ways of a driver, every set tried."""
+    out, hard, other_sign = [], "银行" in key[0], lambda x: target * x < 0
+    for size in range(1, len(buckets) + 1):
+        for chosen in itertools.combinations(buckets, size):
+            if sum(x for _, x in chosen) == target and not (hard and any(other_sign(x) for _, x in chosen)):
+                out.append(dict(chosen))
+    for i, (name, room) in enumerate(buckets):
+        for size in range(len(buckets)):
+            for chosen in itertools.combinations(buckets[:i] + buckets[i + 1 :], size):
+                part = target - sum(x for _, x in chosen)
+                if "银行" in name[0]:
+                    fits = 0 < part < room or -room <= part < 0 if room > 0 else room < part < 0
+                else:
+                    fits = part != room
+                if part and fits and abs(part) <= 10 * abs(target) and not (hard and (other_sign(part) or any(other_sign(x) for _, x in chosen))):
+                    out.append(dict(chosen) | {name: part})
+    return out
+
+
+def test_ways_are_those_of_trying_every_set(monkeypatch):
+    rng = random.Random(6)
+    for few in (10, 2):
+        monkeypatch.setattr(subsets, "FEW", few)
+        for _ in range(150):
+            top = rng.choice([4, 30, 10_000])
+            buckets = [((rng.choice(["应付账款", "银行存款"]) + str(k), POS), rng.choice([-1, 1, 1]) * rng.randint(1, top)) for k in range(rng.randint(1, 6))]
+            key, target = (rng.choice(["银行存款", "原材料"]), POS), rng.choice([-1, 1]) * rng.randint(1, top)
+            expected, budget = ways_one_by_one(key, target, buckets), solver.Budget(10)
+            assert list(solver.covers(key, target, buckets, budget)) == expected
+            full, n = solver.count_covers(key, target, buckets, budget)
+            assert n == len(expected) and full == sum(all(way[k] == dict(buckets)[k] for k in way) for way in expected)
+
+
+def test_wide_ledgers_are_solved():
+    rng = random.Random(8)
+    for n in (16, 24):
+        d = {(f"d{i}", POS): rng.randint(1000, 10**7) for i in range(n)}
+        c = {(f"c{i}", POS): rng.randint(1000, 10**7) for i in range(n - 1)}
+        c["rest", POS] = sum(d.values()) - sum(c.values())
+        began = time.time()
+        found, status = solver.solve(d, c)
+        assert status == "solved" and found and time.time() - began < 2  # about 0.02 s alone
+        assert all(sum(x for a, _, x in links if a == k) == v for links in found for k, v in d.items())
+
+
+def test_guarded_search_does_not_overdraw():
+    d, c = keys(管理费用=100, 销售费用=100, 研发费用=100), keys(应付职工薪酬=50, 银行存款=250)
+    free, guarded = solver.solve(d, c)[0], solver.solve(d, c, within=True)
+    assert any(x < 0 for links in free for _, _, x in links) and guarded[1] == "solved"
+    assert [set(s) for s in guarded[0]] == [set(s) for s in free if all(0 < x <= c[k] for _, k, x in s)] != []
+    mixed = keys(管理=-292.24, 销售=-92.58, 其他=68000), keys(应付=-400, 银行=68015.18)
+    for links in solver.solve(*mixed, within=True)[0]:
+        for _, k, x in links:
+            assert 0 < x / mixed[1][k] <= 1
+
+
+def test_hard_ledgers_are_dealt_over_tasks(spark):
+    """What one search leaves unfinished is searched way by way; the same for any number of tasks."""
+    rng, ledgers = random.Random(9), []
+    for n in range(6):
+        d = {(f"d{i}", POS): rng.randint(1, 40) for i in range(4)}
+        c = {(f"c{i}", POS): rng.randint(1, 30) for i in range(3)}
+        c["rest", POS] = sum(d.values()) - sum(c.values())
+        ledgers.append((f"k{n}", [("D", *k, x) for k, x in d.items()] + [("C", *k, x) for k, x in c.items()]))
+    df = spark.createDataFrame(ledgers, "ledger_key string, ledger array<struct<side:string,subject:string,sign:string,cents:long>>")
+    rows = lambda s: sorted((r.ledger_key, r.status, r.n, tuple(sorted(map(tuple, r.links)))) for r in s.collect())
+    whole, small = rows(solver.solutions(df)), rows(solver.solutions(df, nodes=60, branches=0))
+    dealt = rows(solver.solutions(df.repartition(1), nodes=60))
+    assert {r[1] for r in whole} == {"solved"} and {r[1] for r in small} == {"budget"}
+    assert dealt == rows(solver.solutions(df.repartition(7), nodes=60)) and len(dealt) > len(small)
+    # with enough for every branch, the results are those of one search
+    assert rows(solver._dealt(df, 200, 20_000, False, 400)) == whole
+
+
+def test_unfinished_searches_are_reported_apart(spark):
+    raw = lines(spark, ("原材料", 100, 0), ("管理费用", 50, 0), ("应付账款", 0, 70), ("银行存款", 0, 80))
+    clean = contra.cleaned(raw)
+    vl = contra.voucher_ledgers(contra.ledgers(clean, contra.routes(clean)))
+    for nodes, branches, expected in ((1, 0, {"需人工分析(未搜完)"}), (20_000, 400, {"原材料", "管理费用", "应付账款", "银行存款"})):
+        s = solver.solutions(vl, nodes=nodes, branches=branches)
+        out = contra.report(raw, solver.choose(vl, solver.ranked(s), s=s)).collect()
+        assert {r.contra for r in out} == expected and sum(r.debit for r in out) == 150
+
+
 @pytest.mark.parametrize(
     "feature, primary, involved, kind",
     [
