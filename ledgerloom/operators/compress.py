@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.vouchers import subject_set
+from ledgerloom.shared import join_groups, numbered, written
 
 
 def _sides(df: DataFrame) -> DataFrame:
@@ -23,9 +24,10 @@ def simple(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def minimal(lines: DataFrame) -> DataFrame:
     """virtual_voucher, feature, month, subject, debit, credit: sums by month and voucher feature (years merge), numbered in the text order of month_feature."""
-    features = lines.groupBy("voucher").agg(F.array_join(subject_set(), "、").alias("feature"))
+    features = lines.groupBy("voucher").agg(F.count("*").alias("n_rows"), F.array_join(subject_set(), "、").alias("feature"))
     month = lines.withColumn("month", F.month(F.try_to_timestamp("date"))).where("month is not null")
-    sums = month.join(features, "voucher").groupBy("month", "feature", "subject").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
     key = F.concat_ws("_", F.col("month").cast("string"), F.col("feature"))
-    keys = sums.select(key.alias("key")).distinct().withColumn("virtual_voucher", F.row_number().over(Window.orderBy("key")).cast("long"))  # one row per month and feature
-    return _sides(sums.withColumn("key", key).join(keys, "key").drop("key"))
+    of = join_groups(month, features, "voucher", "line_no").groupBy("month", "feature", "subject").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+    sums = written(of.withColumn("key", key), "sums")
+    keys = numbered(sums.select("key").distinct(), "virtual_voucher", F.col("key"))
+    return _sides(sums.join(keys, "key").drop("key"))

@@ -1,34 +1,45 @@
 """Contra accounts: which subject each line is settled against.
 
-Vouchers are routed by rule, in one pass over lines that are shuffled by voucher once; all but many-to-many vouchers are
-rebuilt with built-in functions. Only many-to-many vouchers go through the allocation search (solver.py), once per
+Vouchers are routed by rule, by sets that are aggregated once and joined back to the lines, so that a voucher may have any
+number of them; all but many-to-many vouchers are rebuilt with built-in functions. Only many-to-many vouchers go through the allocation search (solver.py), once per
 distinct ledger. Lines are canonical: voucher, line_no, subject, debit, credit (decimal(18,2)); the other columns that a
 caller names stay on every row that a line gives, virtual rows too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import CLOSING_SUBJECT, FX_CONTRA, FX_EXCLUDED, FX_MONETARY, FX_OPERATING, FX_SUBJECT, INVALID, UNFINISHED, UNSOLVED
 from ledgerloom.functions import scalars as S
+from ledgerloom.shared import join_groups
 
+def _sums() -> list[Column]:
+    """What decides whether the lines of a voucher change sides: its absolute debits and credits."""
+    return [F.sum(F.abs("debit")).alias("_d"), F.sum(F.abs("credit")).alias("_c")]
 
 
-def cleaned(lines: DataFrame) -> DataFrame:
-    """Red-letter lines of one-sided vouchers change sides: negative debits become credits, negative credits debits."""
-    w = Window.partitionBy("voucher")
-    d, c = F.sum(F.abs("debit")).over(w), F.sum(F.abs("credit")).over(w)
-    lines = lines.withColumns({"_d": d, "_c": c})
-    to_credit = (F.col("_c") < 0.001) & (F.col("_d") > 0.001) & (F.col("debit") < 0)
-    to_debit = (F.col("_d") < 0.001) & (F.col("_c") > 0.001) & (F.col("credit") < 0)
-    none = F.lit(0).cast("decimal(18,2)")
+def _moves() -> tuple[Column, Column]:
+    """Vouchers with debits only, whose negative ones become credits, and with credits only."""
+    return (F.col("_c") < 0.001) & (F.col("_d") > 0.001), (F.col("_d") < 0.001) & (F.col("_c") > 0.001)
+
+
+def _moved(lines: DataFrame) -> DataFrame:
+    """lines with debit and credit after red-letter lines have changed sides, from lines with their voucher's sums."""
+    of_debits, of_credits = _moves()
+    to_credit, to_debit, none = of_debits & (F.col("debit") < 0), of_credits & (F.col("credit") < 0), F.lit(0).cast("decimal(18,2)")
     debit = F.when(to_credit, none).when(to_debit, -F.col("credit")).otherwise(F.col("debit"))
     credit = F.when(to_credit, -F.col("debit")).when(to_debit, none).otherwise(F.col("credit"))
     return lines.withColumns({"debit": debit.cast("decimal(18,2)"), "credit": credit.cast("decimal(18,2)")}).drop("_d", "_c")
 
 
+def cleaned(lines: DataFrame) -> DataFrame:
+    """Red-letter lines of one-sided vouchers change sides: negative debits become credits, negative credits debits."""
+    sums = lines.groupBy("voucher").agg(F.count("*").alias("n_rows"), *_sums())
+    return _moved(join_groups(lines, sums, "voucher", "line_no"))
+
+
 def is_exchange_difference(subjects: Column) -> Column:
     """An exchange adjustment: financial expenses, no operating account, and three monetary accounts or more."""
     monetary = F.size(F.filter(subjects, lambda s: S.contains_any(s, FX_MONETARY) & ~S.contains_any(s, FX_EXCLUDED)))
@@ -39,34 +50,48 @@ def _side(amount: str) -> Column:
     return F.collect_set(F.when(F.abs(amount) > 0.0001, F.col("subject")))
 
 
-def _structure() -> Column:
-    """empty, closing, fx, 1v1, 1vN, Nv1 or MvN (everything else, one-sided vouchers too), from subjects, ds and cs."""
+def _structure(processing: bool = False) -> Column:
+    """empty, closing, fx, 1v1, 1vN, Nv1 or MvN (everything else, one-sided vouchers too), from subjects, ds and cs.
+
+    A report asks for amounts first; processing asks for closing and exchange accounts first.
+    """
     d, c = F.size("ds"), F.size("cs")
-    return (
-        F.when((d + c) == 0, "empty")
-        .when(F.array_contains("subjects", CLOSING_SUBJECT), "closing")
-        .when(is_exchange_difference(F.col("subjects")), "fx")
-        .when((d == 1) & (c == 1), "1v1")
-        .when((d == 1) & (c > 1), "1vN")
-        .when((d > 1) & (c == 1), "Nv1")
-        .otherwise("MvN")
-    )
+    empty, closing, fx = ((d + c) == 0, "empty"), (F.array_contains("subjects", CLOSING_SUBJECT), "closing"), (is_exchange_difference(F.col("subjects")), "fx")
+    out = F
+    for condition, name in (closing, fx, empty) if processing else (empty, closing, fx):
+        out = out.when(condition, name)
+    return out.when((d == 1) & (c == 1), "1v1").when((d == 1) & (c > 1), "1vN").when((d > 1) & (c == 1), "Nv1").otherwise("MvN")
 
 
 def routes(clean: DataFrame) -> DataFrame:
-    """voucher, subjects, ds and cs (subjects by side), and structure: one row per voucher."""
+    """voucher, subjects, ds and cs (subjects by side), and structure: one row per voucher of cleaned lines."""
     sets = {"subjects": F.collect_set("subject"), "ds": _side("debit"), "cs": _side("credit")}
     v = clean.groupBy("voucher").agg(*(F.array_sort(x).alias(k) for k, x in sets.items()))
     return v.withColumn("structure", _structure())
 
 
+def voucher_routes(lines: DataFrame, processing: bool = False) -> DataFrame:
+    """routes() from lines as they came, in one aggregation: voucher, n_rows, the sums, subjects, ds, cs, structure.
+
+    Where negative debits become credits, they are the voucher's only credits (cents are exact), and the other way round.
+    """
+    of = lambda amount, positive: F.collect_set(F.when(F.col(amount) > 0 if positive else F.col(amount) < 0, F.col("subject")))
+    sets = {"subjects": F.collect_set("subject"), "_dp": of("debit", True), "_dn": of("debit", False), "_cp": of("credit", True), "_cn": of("credit", False)}
+    v = lines.groupBy("voucher").agg(F.count("*").alias("n_rows"), *_sums(), *(x.alias(k) for k, x in sets.items()))
+    of_debits, of_credits = _moves()
+    sides = {
+        "ds": F.when(of_debits, F.col("_dp")).when(of_credits, F.col("_cn")).otherwise(F.array_union("_dp", "_dn")),
+        "cs": F.when(of_debits, F.col("_dn")).when(of_credits, F.col("_cp")).otherwise(F.array_union("_cp", "_cn")),
+        "subjects": F.col("subjects"),
+    }
+    v = v.withColumns({k: F.array_sort(x) for k, x in sides.items()}).drop("_dp", "_dn", "_cp", "_cn")
+    return v.withColumn("structure", _structure(processing))
+
+
 def routed(lines: DataFrame) -> DataFrame:
-    """Cleaned lines with raw_debit and raw_credit, and with the route of their voucher: one shuffle by voucher."""
-    w = Window.partitionBy("voucher")
-    clean = cleaned(lines.withColumns({"raw_debit": F.col("debit"), "raw_credit": F.col("credit")}))
-    sets = {"subjects": F.collect_set("subject"), "ds": _side("debit"), "cs": _side("credit")}
-    out = clean.withColumns({k: x.over(w) for k, x in sets.items()}).withColumns({k: F.array_sort(k) for k in sets})
-    return out.withColumn("structure", _structure()).drop("subjects")
+    """Cleaned lines with raw_debit and raw_credit, and with the route of their voucher, aggregated once and joined back."""
+    raw = lines.withColumns({"raw_debit": F.col("debit"), "raw_credit": F.col("credit")})
+    return _moved(join_groups(raw, voucher_routes(lines).drop("subjects"), "voucher", "line_no"))
 
 
 def process_stats(r: DataFrame) -> DataFrame:
@@ -74,6 +99,15 @@ def process_stats(r: DataFrame) -> DataFrame:
     return r.agg(F.count_if(F.col("structure") != "empty").alias("processed"), F.count_if(simple).alias("simple"), F.count_if(F.col("structure") == "MvN").alias("complex"))
 
 
+def process_figures(lines: DataFrame) -> DataFrame:
+    """vouchers, processed (those with amounts, closing or exchange accounts), simple_solved (closing and exchange vouchers too) and complex_groups, the number of patterns that need a search; one row."""
+    r = voucher_routes(lines, processing=True)
+    pattern = F.when(F.col("structure") == "MvN", F.array_join(F.array_sort(F.array_union("ds", "cs")), "、"))
+    counts = r.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), F.count_if(F.col("structure") == "empty").alias("empty"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("vouchers"), F.coalesce(F.sum("empty"), F.lit(0)).alias("empty"), F.coalesce(F.sum(F.when(F.col("pattern").isNotNull(), F.col("n"))), F.lit(0)).alias("complex"), F.count("pattern").alias("complex_groups"))
+    return sums.select("vouchers", (F.col("vouchers") - F.col("empty")).alias("processed"), (F.col("vouchers") - F.col("empty") - F.col("complex")).alias("simple_solved"), "complex_groups")
+
+
 COLUMNS = ["voucher", "line_no", "subject", "debit", "credit", "contra", "virtual"]
 
 
@@ -166,5 +200,7 @@ def pattern_counts(vl: DataFrame) -> DataFrame:
 
 
 def report(lines: DataFrame, chosen: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All vouchers rebuilt, from canonical lines and chosen (voucher, links, and perhaps status): COLUMNS and the columns to keep. Lines and solutions meet by voucher, as the lines lie already."""
-    return rebuilt(routed(lines).join(chosen, "voucher", "left"), keep)
+    """All vouchers rebuilt, from canonical lines and chosen (voucher, links, and perhaps status): COLUMNS and the columns to keep. Solutions are joined to the routes, before these meet the lines."""
+    raw = lines.withColumns({"raw_debit": F.col("debit"), "raw_credit": F.col("credit")})
+    of = voucher_routes(lines).drop("subjects").join(chosen, "voucher", "left")
+    return rebuilt(_moved(join_groups(raw, of, "voucher", "line_no")), keep)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import SENSITIVE
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators.subsets import count_summing, summing_to
-from ledgerloom.shared import written
+from ledgerloom.shared import numbered, written
 
 MAX_SOLUTIONS, MAX_NODES = 200, 20_000
 #: Sets of buckets that one search may try, for all its drivers together (a second or two).
@@ -344,8 +344,8 @@ def _dealt(ledgers: DataFrame, most: int, nodes: int, within: bool, branches: in
     mark = F.array_sort("links")  # the same links in another order are the same solution
     once = kept.groupBy("ledger_key", mark.alias("mark")).agg(F.min("place").alias("place"), F.min_by("links", "place").alias("links"))
     n = F.row_number().over(Window.partitionBy("ledger_key").orderBy("place")) - 1
-    numbered = once.withColumn("n", n.cast("long")).where(F.col("n") < most).select("ledger_key", "n", "links")
-    out = status.join(numbered, "ledger_key", "left")
+    first = once.withColumn("n", n.cast("long")).where(F.col("n") < most).select("ledger_key", "n", "links")
+    out = status.join(first, "ledger_key", "left")
     of = F.when(F.col("open"), "budget").when(F.col("n").isNull(), "no_solution").otherwise("solved")
     return out.select("ledger_key", of.alias("status"), "n", F.coalesce("links", F.array().cast(LINKS)).alias("links"))
 
@@ -374,10 +374,10 @@ def ranked(s: DataFrame) -> DataFrame:
 def plan_table(vl: DataFrame, r: DataFrame, patterns: DataFrame) -> DataFrame:
     """One header row per pattern and ranked solution of its sample voucher, and one row per link; option is "pattern-solution", the best is marked x on all its rows.
 
-    Patterns are sets of accounts (their number does not grow with the journal), numbered by how often they occur.
+    Patterns are numbered by how often they occur.
     """
-    numbered = patterns.withColumn("p", F.row_number().over(Window.orderBy(F.desc("n"), "pattern")))
-    sample = numbered.join(vl.select(F.col("voucher").alias("sample"), "ledger_key"), "sample").select("p", "pattern", F.col("n").alias("n_vouchers"), "ledger_key")
+    counted = numbered(written(patterns, "patterns"), "p", F.desc("n"), F.col("pattern"))
+    sample = counted.join(vl.select(F.col("voucher").alias("sample"), "ledger_key"), "sample").select("p", "pattern", F.col("n").alias("n_vouchers"), "ledger_key")
     plans = sample.join(r, "ledger_key").withColumn("option", F.concat_ws("-", F.col("p").cast("string"), F.col("rank").cast("string")))
     mark = F.when(F.col("rank") == 1, "x").otherwise("")
     none = lambda kind: F.lit(None).cast(kind)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import CLOSING, JOIN
 from ledgerloom.functions import scalars as S
+from ledgerloom.shared import join_groups
 
 
 def subject_set(column: str = "subject"):
@@ -49,13 +50,13 @@ def filter_closing(lines: DataFrame) -> DataFrame:
 
 
 def with_counter_subjects(lines: DataFrame) -> DataFrame:
-    """direction and counter_subject: the subjects on the other side of the voucher, without the line's own. One window, no self-join; an uploaded journal's own contra accounts (given_counter) stay instead."""
-    w = Window.partitionBy("voucher")
+    """direction and counter_subject: the subjects on the other side of the voucher, without the line's own. The sets of both sides are aggregated by voucher and joined back, so a voucher may have any number of lines; an uploaded journal's own contra accounts (given_counter) stay instead."""
     lines = lines.withColumn("direction", S.direction(F.col("debit"), F.col("credit")))
     if "given_counter" in lines.columns:
         return lines.withColumnRenamed("given_counter", "counter_subject")
-    of = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.nullif("subject", F.lit("")))).over(w))
-    sides = lines.withColumns({"_d": of("借"), "_c": of("贷")})
+    of = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.nullif("subject", F.lit("")))))
+    sets = lines.groupBy("voucher").agg(F.count("*").alias("n_rows"), of("借").alias("_d"), of("贷").alias("_c"))
+    sides = join_groups(lines, sets, "voucher", "line_no")
     other = F.when(F.col("direction") == "借", F.col("_c")).when(F.col("direction") == "贷", F.col("_d")).otherwise(F.array().cast("array<string>"))
     return sides.withColumn("counter_subject", F.array_join(F.array_remove(other, F.col("subject")), JOIN)).drop("_d", "_c")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.config import FX_EXCLUDED, FX_MONETARY, FX_OPERATING
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import compress, contra, ml, solver
 from ledgerloom.plans.catalog import business, classified, lines, register
@@ -12,7 +13,7 @@ from ledgerloom.plans.oracle import CONTRA, LINES, R6
 
 
 def _routes(spark, d) -> DataFrame:
-    return contra.routes(contra.cleaned(lines(spark, d)))
+    return contra.voucher_routes(lines(spark, d))
 
 
 def _routed(spark, d) -> DataFrame:
@@ -43,6 +44,18 @@ def contra_stats(spark, d):
     return contra.process_stats(_routes(spark, d))
 
 
+# Closing and exchange vouchers are processed and simple whether they have amounts or not; complex counts patterns.
+@register(
+    ", kinds AS (SELECT voucher, structure, len(ds) + len(cs) = 0 AS bare, list_contains(all_subjects, '本年利润') OR (len(list_filter(all_subjects, lambda s: contains(s, '财务费用'))) > 0 "
+    f"AND len(list_filter(all_subjects, lambda s: regexp_matches(s, '{'|'.join(FX_OPERATING)}'))) = 0 "
+    f"AND len(list_filter(all_subjects, lambda s: regexp_matches(s, '{'|'.join(FX_MONETARY)}') AND NOT regexp_matches(s, '{'|'.join(FX_EXCLUDED)}'))) >= 3) AS special FROM route JOIN route0 USING (voucher, ds, cs)) "
+    "SELECT count(*) AS vouchers, count(*) FILTER (special OR NOT bare) AS processed, count(*) FILTER (special OR (NOT bare AND structure <> 'MvN')) AS simple_solved, (SELECT count(DISTINCT pattern) FROM pat) AS complex_groups FROM kinds",
+    CONTRA,
+)
+def contra_process_stats(spark, d):
+    return contra.process_figures(lines(spark, d))
+
+
 @register("SELECT voucher FROM route WHERE structure = 'fx'", CONTRA)
 def fx_intercept(spark, d):
     return _routes(spark, d).where("structure = 'fx'").select("voucher")

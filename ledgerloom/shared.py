@@ -61,3 +61,23 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
         before += r["count"]
     starts = F.broadcast(spark.createDataFrame(starts, "range long, start long"))
     return placed.join(starts, "range").select("row.*", (F.col("start") + F.col("at")).alias(name))
+
+
+#: A group of more rows than SPLIT may be parted; the PARTED largest groups are looked at, so any other has less than a PARTED-th of all rows.
+SPLIT, PARTED = 50_000, 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, split: int = SPLIT) -> DataFrame:
+    """rows with the other columns of `groups` (one row per key, with n_rows, the rows that have it), as windows by key would give them, but no task gets all rows of a large group.
+
+    A large group's rows are dealt over parts by a hash of the column `spread`, and its row of `groups` is there once for
+    each part. Null keys are a group. n_rows does not stay.
+    """
+    parts = F.ceil(F.col("n_rows") / split).cast("int")
+    large = groups.orderBy(F.desc("n_rows"), key).limit(PARTED).where(F.col("n_rows") > split)
+    large = F.broadcast(large.select(F.col(key).alias("_large"), parts.alias("_parts")))
+    count = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = rows.join(large, F.col(key).eqNullSafe(F.col("_large")), "left").withColumn("_part", F.pmod(F.xxhash64(spread), count)).drop("_large", "_parts")
+    copies = groups.join(large, F.col(key).eqNullSafe(F.col("_large")), "left").withColumn("_at", F.explode(F.sequence(F.lit(0), count - 1)))
+    copies = copies.withColumnRenamed(key, "_key").drop("_large", "_parts", "n_rows")
+    return dealt.join(copies, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).drop("_key", "_at", "_part")

@@ -3,11 +3,13 @@
 import itertools
 import random
 import time
+from collections import Counter
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import shared
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import classify, compress, contra, graph, report, solver, subsets, vouchers
 from ledgerloom.sources import journal, xlsx
@@ -334,3 +336,77 @@ def test_uploaded_lines_serve_the_anomaly_operators(spark, upload):
     assert {r.counter_subject for r in vouchers.with_counter_subjects(given).collect()} == {"甲"}
     bare = journal.uploaded_lines(upload.select("备注"))
     assert len({r.voucher for r in bare.collect()}) == 7
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 997).alias("range"), F.col("id").alias("at"), F.lit("x").alias("row"))
+    rows = shared.numbered(df, "n", F.col("range").desc(), F.col("at")).orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 3001))
+    assert [(r["range"], r["at"]) for r in rows] == sorted(((r["range"], r["at"]) for r in rows), key=lambda x: (-x[0], x[1]))
+    assert shared.numbered(df.where("at < 0"), "n", F.col("at")).count() == 0
+
+
+def test_a_large_group_is_dealt_over_tasks(spark):
+    """Half of all rows have one key, some a null one; every row gets its group's columns, and no task a large share of them."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("v"), (F.col("id") % 77).cast("string"))).alias("voucher"), F.col("id").alias("line_no"))
+    groups = rows.groupBy("voucher").agg(F.count("*").alias("n_rows"), F.sum("line_no").alias("total"))
+    expected = {r.voucher: r.total for r in groups.collect()}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        out = shared.join_groups(rows, groups, "voucher", "line_no", split=100)
+        assert out.columns == ["voucher", "line_no", "total"]
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert len(got) == 20_000 and all(expected[r.voucher] == r.total for r in got)
+    assert max(Counter(r.task for r in got).values()) < 0.05 * len(got)
+
+
+def test_hot_voucher_in_a_report(spark):
+    """A voucher of half of all lines: counter subjects and the report as plain Python has them."""
+    rng, data = random.Random(4), []
+    for n in range(600):
+        voucher = "nan_nan" if n % 2 else f"v{n // 20}"
+        amount = Decimal(rng.randint(1, 900)) / 100
+        data.append((voucher, n, rng.choice("甲乙丙丁"), amount if n % 3 else Decimal(0), Decimal(0) if n % 3 else amount))
+    df = spark.createDataFrame(data, "voucher string, line_no long, subject string, debit decimal(18,2), credit decimal(18,2)").repartition(5)
+    sides = {}
+    for v, _, s, d, c in data:
+        sides.setdefault((v, "借" if d > 0 else "贷"), set()).add(s)
+    got = {r.line_no: r.counter_subject for r in vouchers.with_counter_subjects(df).collect()}
+    assert got == {n: "、".join(sorted(sides.get((v, "贷" if d > 0 else "借"), set()) - {s})) for v, n, s, d, c in data}
+    lines_of = {r.line_no: (r.structure, r.ds, r.cs) for r in contra.routed(df).collect()}
+    slow = {r.voucher: (r.structure, r.ds, r.cs) for r in contra.routes(contra.cleaned(df)).collect()}
+    assert lines_of == {n: slow[v] for v, n, *_ in data}
+
+
+def test_routes_of_raw_lines(spark):
+    """One aggregation of raw lines gives what routing cleaned lines gives."""
+    rng, data = random.Random(12), []
+    for v in range(150):
+        one_sided = rng.random() < 0.5
+        for n in range(rng.randint(1, 5)):
+            x, zero = Decimal(rng.choice([-300, -1, 0, 0, 1, 250, 400])) / 100, Decimal(0)
+            debit = (rng.random() < 0.5) if not one_sided else v % 2 == 0
+            data.append((f"v{v}", n, rng.choice(["甲", "乙", "丙", "本年利润", "财务费用"]), x if debit else zero, zero if debit else x))
+    df = spark.createDataFrame(data, "voucher string, line_no long, subject string, debit decimal(18,2), credit decimal(18,2)")
+    columns = ["voucher", "subjects", "ds", "cs", "structure"]
+    key = lambda r: r.voucher
+    assert sorted(contra.voucher_routes(df).select(columns).collect(), key=key) == sorted(contra.routes(contra.cleaned(df)).select(columns).collect(), key=key)
+
+
+def test_closing_vouchers_without_amounts_are_processed(spark):
+    raw = [("a", "本年利润", 0, 0), ("b", "原材料", 0, 0), ("c", "原材料", 5, 0), ("c", "应付账款", 0, 5), ("d", "本年利润", 1, 0), ("d", "甲", 0, 1)]
+    raw += [(v, s, d, c) for v in "ef" for s, d, c in (("甲", 3, 0), ("乙", 4, 0), ("丙", 0, 2), ("丁", 0, 5))] + [("g", "甲", 1, 0), ("g", "丙", 2, 0)]
+    raw += [("h", s, 0, 0) for s in ("财务费用", "应收账款", "应付账款", "预付账款")]
+    data = [(v, n, s, Decimal(d), Decimal(c)) for n, (v, s, d, c) in enumerate(raw)]
+    df = spark.createDataFrame(data, "voucher string, line_no long, subject string, debit decimal(18,2), credit decimal(18,2)")
+    assert contra.process_figures(df).first().asDict() == {"vouchers": 8, "processed": 7, "simple_solved": 4, "complex_groups": 2}
+    processing = {r.voucher: r.structure for r in contra.voucher_routes(df, processing=True).collect()}
+    report_of = {r.voucher: r.structure for r in contra.voucher_routes(df).collect()}
+    assert (processing["a"], processing["h"], report_of["a"], report_of["h"]) == ("closing", "fx", "empty", "empty")
+    assert contra.process_figures(df.where("voucher = '-'")).first().asDict() == {"vouchers": 0, "processed": 0, "simple_solved": 0, "complex_groups": 0}
