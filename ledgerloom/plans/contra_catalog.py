@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import FX_EXCLUDED, FX_MONETARY, FX_OPERATING
@@ -10,6 +10,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import compress, contra, ml, solver
 from ledgerloom.plans.catalog import business, classified, lines, register
 from ledgerloom.plans.oracle import CONTRA, LINES, R6
+from ledgerloom.plans.search_oracle import SEARCH, WIDEST
 
 
 def _routes(spark, d) -> DataFrame:
@@ -115,6 +116,62 @@ def contra_solutions(spark, d):
     return solver.solutions(_ledgers(spark, d))
 
 
+def _small(vl: DataFrame) -> DataFrame:
+    """Vouchers whose ledgers have at most three accounts on either side, which SQL can list."""
+    of = lambda side: F.size(F.filter("ledger", lambda e: (e["side"] == side) & (e["cents"] != 0)))
+    return vl.where((of("D") <= WIDEST) & (of("C") <= WIDEST))
+
+
+def _as_text(links: str) -> Column:
+    one = lambda l: F.concat(l["d_subject"], l["d_sign"], F.lit(">"), l["c_subject"], l["c_sign"], F.lit("="), l["cents"].cast("string"))
+    sorted_links = F.array_sort(F.transform(links, lambda l: F.struct(l["d_subject"].alias("d_subject"), l["d_sign"].alias("d_sign"), l["c_subject"].alias("c_subject"), l["c_sign"].alias("c_sign"), l["cents"].alias("cents"))))
+    return F.array_join(F.transform(sorted_links, one), ";")
+
+
+@register("SELECT voucher, CASE WHEN n IS NULL THEN 'no_solution' ELSE 'solved' END AS status, n, coalesce(links, '') AS links, score, rank FROM small LEFT JOIN ordered USING (voucher)", SEARCH)
+def contra_solutions_small(spark, d):
+    """contra_solutions, scores and ranks of every voucher with at most three accounts a side."""
+    vl = _small(_ledgers(spark, d))
+    s = solver.solutions(vl)
+    r = s.select("ledger_key", "status", "n", "links").join(solver.ranked(s).select("ledger_key", "n", "score", "rank"), ["ledger_key", "n"], "left")
+    return vl.select("voucher", "ledger_key").join(r, "ledger_key").select("voucher", "status", "n", _as_text("links").alias("links"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register(
+    """, lines_of AS (SELECT cl.voucher, line_no, subject, debit, credit, ordered.id FROM cl JOIN small USING (voucher) LEFT JOIN ordered ON ordered.voucher = cl.voucher AND rank = 1),
+whole AS (SELECT id, 'd' AS side, ds AS subject, dg AS sign, sum(cents) AS cents FROM link GROUP BY ALL UNION ALL SELECT id, 'c', cs, cg, sum(cents) FROM link GROUP BY ALL)
+SELECT voucher, line_no, l.subject, CAST(debit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)) AS debit, 0.0::DOUBLE AS credit, k.cs AS contra, false AS virtual
+  FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'd' AND w.subject = l.subject AND w.sign = k.dg WHERE k.ds = l.subject AND k.dg = CASE WHEN debit >= 0 THEN 'Pos' ELSE 'Neg' END AND debit <> 0 AND w.cents <> 0
+UNION ALL
+SELECT voucher, line_no, l.subject, 0.0::DOUBLE, CAST(credit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)), k.ds, false
+  FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'c' AND w.subject = l.subject AND w.sign = k.cg WHERE k.cs = l.subject AND k.cg = CASE WHEN credit >= 0 THEN 'Pos' ELSE 'Neg' END AND credit <> 0 AND w.cents <> 0
+UNION ALL
+SELECT voucher, line_no, subject, CAST(debit AS DOUBLE), CAST(credit AS DOUBLE), '需人工分析(无解)', false FROM lines_of WHERE id IS NULL""",
+    SEARCH,
+)
+def contra_mvn_small(spark, d):
+    """contra_mvn of the vouchers with at most three accounts a side."""
+    routed = _routed(spark, d)
+    vl = _small(contra.voucher_ledgers(contra.ledgers(routed)))
+    return contra.rebuilt(routed.where("structure = 'MvN'").join(_chosen(vl), "voucher"))
+
+
+@register(
+    """, counted AS (SELECT pattern, count(*) AS n, min(voucher) AS voucher FROM pat GROUP BY pattern),
+numbered AS (SELECT *, row_number() OVER (ORDER BY n DESC, pattern) AS p FROM counted),
+plans AS (SELECT pattern, p || '-' || rank AS option, CASE WHEN rank = 1 THEN 'x' ELSE '' END AS mark, score, id FROM numbered JOIN ordered USING (voucher))
+SELECT pattern, option, mark, score, 0.5::DOUBLE AS memory, round_even(score * 1.25 * 100, 0) / 100 AS total, NULL AS subject, NULL AS contra, NULL::DOUBLE AS amount FROM plans
+UNION ALL SELECT pattern, option, mark, NULL, NULL, NULL, ds, cs, cents / 100.0::DOUBLE FROM plans JOIN link USING (id)""",
+    SEARCH,
+)
+def plan_table_small(spark, d):
+    """plan_table of the patterns whose sample voucher has at most three accounts a side, without the places of rows."""
+    vl = _ledgers(spark, d)
+    patterns = contra.pattern_counts(vl)
+    samples = _small(vl.join(patterns.select(F.col("sample").alias("voucher")), "voucher", "left_semi"))
+    return solver.plan_table(vl, solver.ranked(solver.solutions(samples)), patterns).drop("row")
+
+
 @register("SELECT CAST(0 AS BIGINT) AS violations")
 def contra_conservation(spark, d):
     """Every solution gives each account of its ledger exactly its amount; this counts those that do not."""
