@@ -9,7 +9,7 @@ from ledgerloom.config import FX_EXCLUDED, FX_MONETARY, FX_OPERATING
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import compress, contra, ml, solver
 from ledgerloom.plans.catalog import business, classified, lines, register
-from ledgerloom.plans.oracle import CONTRA, LINES, R6
+from ledgerloom.plans.oracle import CONTRA, GROUPED, LINES, R6
 from ledgerloom.plans.search_oracle import SEARCH, WIDEST
 
 
@@ -267,19 +267,36 @@ def similar_subjects(spark, d):
     return ml.similar_subjects(lines(spark, d).select("subject").distinct(), 5)
 
 
-@register()
+LEARNED = (
+    GROUPED
+    + """,
+mdoc AS (SELECT DISTINCT feature, primary_group, list_filter(flatten(list_transform(subjects, lambda s: [regexp_replace(s, '[费款金产入本利]$', ''), s])), lambda t: length(t) >= 2) AS one FROM c),
+mword AS (SELECT feature, primary_group, unnest(list_concat(one, list_transform(range(1, len(one)), lambda i: one[i] || ' ' || one[i + 1]))) AS term FROM mdoc),
+mtf AS (SELECT feature, primary_group, term, count(*) AS tf FROM mword GROUP BY ALL),
+mvoc AS (SELECT term, count(*) AS df FROM mtf WHERE primary_group <> '其他群' GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 100),
+mraw AS (SELECT feature, primary_group, term, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS x FROM mtf JOIN mvoc USING (term) CROSS JOIN (SELECT count(*) AS n FROM mdoc WHERE primary_group <> '其他群')),
+mvec AS (SELECT feature, primary_group, term, x / sqrt(sum(x * x) OVER (PARTITION BY feature)) AS weight FROM mraw),
+mcen AS (SELECT primary_group AS g, term, sum(weight) / any_value(n) AS weight FROM mvec JOIN (SELECT primary_group, count(*) AS n FROM mdoc GROUP BY 1) USING (primary_group) WHERE primary_group <> '其他群' GROUP BY 1, 2)"""
+)
+
+
+@register(f"SELECT feature, primary_group, term, {R6('weight')} AS weight FROM mvec", LEARNED)
 def ml_tfidf(spark, d):
-    _, out = ml.fit_features(classified(spark, d))
-    return out.select("feature", "primary_group", F.col("vector").cast("string").alias("vector"))
+    _, v = ml.fit_features(classified(spark, d))
+    return v.select("feature", "primary_group", "term", (F.rint(F.col("weight") * 1e6) / 1e6).alias("weight"))
 
 
-@register()
+@register(f"SELECT g, term, {R6('weight')} AS weight FROM mcen", LEARNED)
 def ml_centroids(spark, d):
-    _, out = ml.fit_features(classified(spark, d))
-    return ml.centroids(out).select("g", F.transform("center", lambda x: F.rint(x * 1e6) / 1e6).alias("center"))
+    return ml.centroids(*ml.fit_features(classified(spark, d))).select("g", "term", (F.rint(F.col("weight") * 1e6) / 1e6).alias("weight"))
 
 
-@register()
+@register(
+    ", cosine AS (SELECT feature, g, round_even(sum(v.weight * m.weight / norm) * 1e9, 0) / 1e9 AS x FROM mvec v JOIN mcen m USING (term) JOIN (SELECT g, sqrt(sum(weight * weight)) AS norm FROM mcen GROUP BY g) USING (g) WHERE primary_group = '其他群' GROUP BY 1, 2), "
+    "guess AS (SELECT feature, g FROM cosine QUALIFY row_number() OVER (PARTITION BY feature ORDER BY x DESC, g) = 1 AND x >= 0.3) "
+    "SELECT voucher, coalesce(g, primary_group) AS primary_group, g IS NOT NULL AS ml_predicted FROM c LEFT JOIN guess USING (feature)",
+    LEARNED,
+)
 def ml_predict(spark, d):
     return ml.predict(classified(spark, d))
 

@@ -1,6 +1,7 @@
 """Small worked cases that the derived journal doesn't reach."""
 
 import itertools
+import math
 import random
 import time
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import shared
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import classify, compress, contra, graph, report, solver, subsets, vouchers
+from ledgerloom.operators import classify, compress, contra, graph, ml, report, solver, subsets, vouchers
 from ledgerloom.sources import journal, xlsx
 
 POS = "Pos"
@@ -410,3 +411,59 @@ def test_closing_vouchers_without_amounts_are_processed(spark):
     report_of = {r.voucher: r.structure for r in contra.voucher_routes(df).collect()}
     assert (processing["a"], processing["h"], report_of["a"], report_of["h"]) == ("closing", "fx", "empty", "empty")
     assert contra.process_figures(df.where("voucher = '-'")).first().asDict() == {"vouchers": 0, "processed": 0, "simple_solved": 0, "complex_groups": 0}
+
+
+def test_learned_classifier(spark):
+    """Against plain Python; the same for any partitioning."""
+    accounts = {"采购": ["原材料", "应付账款", "预付账款"], "薪酬": ["应付职工薪酬", "管理费用", "其他应付款"], "其他群": ["原材料", "管理费用", "银行存款", "应付职工薪酬"]}
+    rng, rows = random.Random(2), {}
+    for g, names in accounts.items():
+        for _ in range(12):
+            subjects = sorted(rng.sample(names + ["应交税费", "库存商品", f"独有{len(rows)}"], rng.randint(1, 4)))
+            rows.setdefault("、".join(subjects), (g, subjects))
+    rows["甲"] = ("其他群", ["甲"])
+    data = [(f"v{n}", f, g, s) for n, (f, (g, s)) in enumerate(rows.items())]
+    c = spark.createDataFrame(data * 2, "voucher string, feature string, primary_group string, subjects array<string>")
+
+    def words(subjects):
+        one = [t for s in subjects for t in (s[:-1] if s[-1] in "费款金产入本利" else s, s) if len(t) >= 2]
+        return Counter(one + [f"{a} {b}" for a, b in zip(one, one[1:])])
+
+    placed = {f: words(s) for f, (g, s) in rows.items() if g != "其他群"}
+    total, df = sum(placed.values(), Counter()), Counter(t for w in placed.values() for t in w)
+    terms = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t))[:100]
+    idf = {t: math.log((1 + len(placed)) / (1 + df[t])) + 1 for t in terms}
+    unit = {}
+    for f, (_, s) in rows.items():
+        x = {t: n * idf[t] for t, n in words(s).items() if t in idf}
+        norm = math.sqrt(sum(a * a for a in x.values()))
+        unit[f] = {t: a / norm for t, a in x.items()}
+    centers = {}
+    for g in ("采购", "薪酬"):
+        own = [f for f, (h, _) in rows.items() if h == g]
+        centers[g] = {t: sum(unit[f].get(t, 0) for f in own) / len(own) for t in terms}
+    guess = {}
+    for f, (g, _) in rows.items():
+        cosine = {h: round(sum(x * m[t] for t, x in unit[f].items()) / math.sqrt(sum(a * a for a in m.values())), 9) for h, m in centers.items()}
+        best = min(cosine, key=lambda h: (-cosine[h], h))
+        guess[f] = (best, True) if g == "其他群" and cosine[best] >= 0.3 else (g, False)
+    for parts in (1, 5):
+        docs, v = ml.fit_features(c.repartition(parts))
+        assert {(r.feature, r.term): r.weight for r in v.collect()} == pytest.approx({(f, t): x for f, u in unit.items() for t, x in u.items()})
+        assert {(r.g, r.term): r.weight for r in ml.centroids(docs, v).collect()} == pytest.approx({(g, t): x for g, m in centers.items() for t, x in m.items() if x})
+        out = ml.predict(c.repartition(parts)).collect()
+        assert len(out) == len(c.collect()) and {(r.voucher, r.primary_group, r.ml_predicted) for r in out} == {(n, *guess[f]) for n, f, _, _ in data}
+    assert sum(p for _, p in guess.values()) > 3 and guess["甲"] == ("其他群", False)
+    few = ml.predict(c.where("primary_group <> '采购'")).collect()
+    assert {r.ml_predicted for r in ml.predict(c.where("primary_group = '其他群' or voucher = 'v0'")).collect()} == {False} and len(few) > 0
+
+
+def test_feature_clusters(spark):
+    """Features of different accounts part; the same clusters for any partitioning; no features, no clusters."""
+    data = [(f"v{n}", "、".join(s), "采购", s) for n, s in enumerate([[f"原材料{a}", "应付账款"] for a in "甲乙丙丁"] * 3 + [[f"研发支出{a}", "短期借款"] for a in "甲乙丙丁"] * 3)]
+    c = spark.createDataFrame(data, "voucher string, feature string, primary_group string, subjects array<string>")
+    runs = [{r.feature: r.cluster for r in ml.feature_clusters(c.repartition(n)).collect()} for n in (1, 6)]
+    assert runs[0] == runs[1] and len(runs[0]) == 8
+    left = {k for f, k in runs[0].items() if "应付账款" in f}
+    assert not left & {k for f, k in runs[0].items() if "短期借款" in f}
+    assert ml.feature_clusters(c.where("voucher = ''")).count() == 0
