@@ -36,11 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.folder)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        system, path = hadoop_path(t.sparkSession, t.folder)
+        system.delete(path, True)
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
