@@ -76,3 +76,10 @@ def combination_counts(c: DataFrame) -> DataFrame:
 
 def feature_detail(c: DataFrame) -> DataFrame:
     return c.groupBy("feature", "primary_group", "is_cross_group", "involved_groups").agg(F.count("*").alias("n_vouchers"))
+
+
+def feature_detail_head(c: DataFrame, group: str | None = None, n: int = 100) -> DataFrame:
+    """The n most frequent features (of one group, if it is named), with 是 or 否 for vouchers across groups."""
+    detail = feature_detail(c if group is None else c.where(F.col("primary_group") == group))
+    first = detail.orderBy(F.desc("n_vouchers"), "feature").limit(n)
+    return first.select("feature", "primary_group", "involved_groups", F.when(F.col("is_cross_group"), "是").otherwise("否").alias("cross_group"), "n_vouchers")

@@ -139,6 +139,11 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def high_risk(scored: DataFrame, n: int = 10) -> DataFrame:
+    """The first n high-risk vouchers, by their text."""
+    return scored.where(F.col("risk_level").contains("高风险")).orderBy("voucher").limit(n)
+
+
 def group_stats(scored: DataFrame) -> DataFrame:
     return scored.groupBy("primary_group").agg(
         S.round2(F.sum(F.col("final_score").cast("decimal(20,2)")).cast("double") / F.count("*")).alias("mean_score"),

@@ -69,6 +69,13 @@ def feature_distribution(v: DataFrame) -> DataFrame:
     return v.groupBy("feature").agg(F.count("*").alias("n_vouchers"))
 
 
+def samples(lines: DataFrame, n: int = 5) -> DataFrame:
+    """voucher, subjects (of its lines in order), feature, of the first n vouchers by their text."""
+    first = lines.select("voucher").distinct().orderBy("voucher").limit(n)
+    own = lines.join(F.broadcast(first), "voucher").groupBy("voucher").agg(F.array_sort(F.collect_list(F.struct("line_no", "subject"))).alias("l"), S.join_subjects(subject_set()).alias("feature"))
+    return own.select("voucher", F.array_join(F.transform("l", lambda x: x["subject"]), ", ").alias("subjects"), "feature")
+
+
 def amount_stats(v: DataFrame) -> DataFrame:
     """Over vouchers: total, mean, largest and smallest absolute amount, and the sum of signed debits."""
     return v.agg(

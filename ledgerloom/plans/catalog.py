@@ -286,6 +286,24 @@ def detect_anomalies(spark, d):
     return _final(scored(spark, d))
 
 
+@register("SELECT voucher, feature, primary_group, involved_groups, anomaly_type, final_score FROM s WHERE contains(risk_level, '高风险') ORDER BY voucher LIMIT 10", SCORED)
+def high_risk_details(spark, d):
+    """The ten high-risk vouchers that a report opens with."""
+    return Z.high_risk(scored(spark, d)).select("voucher", "feature", "primary_group", "involved_groups", "anomaly_type", "final_score")
+
+
+@register("SELECT voucher, string_agg(subject, ', ' ORDER BY line_no) AS subjects, any_value(feature) AS feature FROM lines JOIN (SELECT voucher, feature FROM v ORDER BY voucher LIMIT 5) USING (voucher) GROUP BY voucher", LINES)
+def sample_vouchers(spark, d):
+    """Five vouchers with their subjects, to check features by hand."""
+    return V.samples(lines(spark, d))
+
+
+@register("SELECT feature, primary_group, involved_groups, CASE WHEN is_cross_group THEN '是' ELSE '否' END AS cross_group, count(*) AS n_vouchers FROM c GROUP BY ALL ORDER BY n_vouchers DESC, feature LIMIT 100", GROUPED)
+def feature_detail_head(spark, d):
+    """The hundred most frequent features, as the page lists them."""
+    return C.feature_detail_head(classified(spark, d))
+
+
 @register(FINAL + " WHERE starts_with(risk_level, '高') OR starts_with(risk_level, '中风险')", SCORED)
 def risk_filter(spark, d):
     return _final(scored(spark, d).where(F.col("risk_level").isin("高风险 🔴", "中风险 🟠")))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import FX_EXCLUDED, FX_MONETARY, FX_OPERATING
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import compress, contra, ml, solver
+from ledgerloom.operators import compress, contra, ml, report, solver
 from ledgerloom.plans.catalog import business, classified, lines, register
 from ledgerloom.plans.oracle import CONTRA, GROUPED, LINES, R6
 from ledgerloom.plans.search_oracle import SEARCH, WIDEST
+from ledgerloom.shared import shared_folder
+from ledgerloom.sources import xlsx
 
 
 def _routes(spark, d) -> DataFrame:
@@ -137,8 +141,8 @@ def contra_solutions_small(spark, d):
     return vl.select("voucher", "ledger_key").join(r, "ledger_key").select("voucher", "status", "n", _as_text("links").alias("links"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register(
-    """, lines_of AS (SELECT cl.voucher, line_no, subject, debit, credit, ordered.id FROM cl JOIN small USING (voucher) LEFT JOIN ordered ON ordered.voucher = cl.voucher AND rank = 1),
+#: Many-to-many rows of small ledgers; chosen(voucher, rank) says which solution.
+SMALL_ROWS = """, lines_of AS (SELECT cl.voucher, line_no, subject, debit, credit, o.id FROM cl JOIN chosen USING (voucher) LEFT JOIN ordered o ON o.voucher = cl.voucher AND o.rank = chosen.rank),
 whole AS (SELECT id, 'd' AS side, ds AS subject, dg AS sign, sum(cents) AS cents FROM link GROUP BY ALL UNION ALL SELECT id, 'c', cs, cg, sum(cents) FROM link GROUP BY ALL)
 SELECT voucher, line_no, l.subject, CAST(debit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)) AS debit, 0.0::DOUBLE AS credit, k.cs AS contra, false AS virtual
   FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'd' AND w.subject = l.subject AND w.sign = k.dg WHERE k.ds = l.subject AND k.dg = CASE WHEN debit >= 0 THEN 'Pos' ELSE 'Neg' END AND debit <> 0 AND w.cents <> 0
@@ -146,9 +150,10 @@ UNION ALL
 SELECT voucher, line_no, l.subject, 0.0::DOUBLE, CAST(credit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)), k.ds, false
   FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'c' AND w.subject = l.subject AND w.sign = k.cg WHERE k.cs = l.subject AND k.cg = CASE WHEN credit >= 0 THEN 'Pos' ELSE 'Neg' END AND credit <> 0 AND w.cents <> 0
 UNION ALL
-SELECT voucher, line_no, subject, CAST(debit AS DOUBLE), CAST(credit AS DOUBLE), '需人工分析(无解)', false FROM lines_of WHERE id IS NULL""",
-    SEARCH,
-)
+SELECT voucher, line_no, subject, CAST(debit AS DOUBLE), CAST(credit AS DOUBLE), '需人工分析(无解)', false FROM lines_of WHERE id IS NULL"""
+
+
+@register(", chosen AS (SELECT voucher, 1 AS rank FROM small)" + SMALL_ROWS, SEARCH)
 def contra_mvn_small(spark, d):
     """contra_mvn of the vouchers with at most three accounts a side."""
     routed = _routed(spark, d)
@@ -172,6 +177,30 @@ def plan_table_small(spark, d):
     return solver.plan_table(vl, solver.ranked(solver.solutions(samples)), patterns).drop("row")
 
 
+@register(
+    """, counted AS (SELECT pattern, min(voucher) AS voucher FROM pat GROUP BY pattern),
+found AS (SELECT voucher, max(rank) AS last FROM ordered GROUP BY voucher),
+marked AS (SELECT pattern FROM counted JOIN found USING (voucher) WHERE last >= 2),
+chosen AS (SELECT small.voucher, CASE WHEN last >= 2 AND pattern IN (SELECT pattern FROM marked) THEN 2 ELSE 1 END AS rank FROM small JOIN pat USING (voucher) LEFT JOIN found USING (voucher))"""
+    + SMALL_ROWS,
+    SEARCH,
+)
+def marked_rows_small(spark, d):
+    """From plans to rows by way of a workbook: the plan sheet is written, with the second plan of every pattern marked behind the first, read back, and what is marked is applied to the many-to-many lines of small ledgers."""
+    routed = _routed(spark, d)
+    every = contra.voucher_ledgers(contra.ledgers(routed))
+    patterns = contra.pattern_counts(every)
+    vl = _small(every)
+    s = solver.solutions(vl)
+    r = solver.ranked(s)
+    sheet = report.plan_sheet(solver.plan_table(vl, r, patterns))
+    path = f"{shared_folder(spark)}/tables/plans-{uuid.uuid4().hex}.xlsx"
+    again = F.when(F.split_part(report.PLAN_NAMES[1], F.lit("-"), F.lit(2)) == "2", " X ").otherwise(F.col(report.PLAN_NAMES[2]))
+    xlsx.write(sheet.withColumn(report.PLAN_NAMES[2], again), path, report.PLAN_SHEET)
+    selection = report.sheet_selection(xlsx.read_workbook(spark, path, as_text=True, all_sheets=True))
+    return contra.rebuilt(routed.where("structure = 'MvN'").join(solver.choose(vl, r, selection, s), "voucher"))
+
+
 @register("SELECT CAST(0 AS BIGINT) AS violations")
 def contra_conservation(spark, d):
     """Every solution gives each account of its ledger exactly its amount; this counts those that do not."""
