@@ -143,21 +143,25 @@ def contra_lines(df: DataFrame, mapping: dict[str, str] | None = None, strip_com
     )
 
 
-# Accounts of the journal that is derived from orders and line items.
-JOURNAL_CTE = """
-WITH subj_map AS (SELECT * FROM (VALUES
- (0,0,'原材料'),(0,1,'应交税费'),(0,2,'应付账款'),(0,3,'库存商品'),
- (1,0,'应收账款'),(1,1,'主营业务收入'),(1,2,'合同负债'),(1,3,'应收票据'),
- (2,0,'管理费用'),(2,1,'应付职工薪酬'),(2,2,'制造费用'),(2,3,'销售费用'),
- (3,0,'生产成本'),(3,1,'制造费用'),(3,2,'原材料'),(3,3,'库存商品'),
- (4,0,'研发费用'),(4,1,'银行存款'),(4,2,'管理费用'),(4,3,'原材料'),
- (5,0,'固定资产'),(5,1,'累计折旧'),(5,2,'在建工程'),(5,3,'银行存款'),
- (6,0,'应收账款'),(6,1,'应付账款'),(6,2,'预付账款'),(6,3,'短期借款'),
- (7,0,'应交税费'),(7,1,'税金及附加'),(7,2,'银行存款'),(7,3,'库存现金'),
- (8,0,'其他应收款'),(8,1,'其他应付款'),(8,2,'管理费用'),(8,3,'银行存款'),
- (9,0,'本年利润'),(9,1,'主营业务收入'),(9,2,'管理费用'),(9,3,'主营业务成本')) AS t(tpl,slot,subj)),
-bal_map AS (SELECT * FROM (VALUES (0,'应付账款'),(1,'应收账款'),(2,'应付职工薪酬'),(3,'生产成本'),(4,'银行存款'),
- (5,'银行存款'),(6,'财务费用'),(7,'银行存款'),(8,'银行存款'),(9,'本年利润')) AS t(tpl,subj)),
+# Accounts of the journal that is derived from orders and line items, by template and slot, and the accounts that balance it.
+SUBJECTS = [
+    ["原材料", "应交税费", "应付账款", "库存商品"],
+    ["应收账款", "主营业务收入", "合同负债", "应收票据"],
+    ["管理费用", "应付职工薪酬", "制造费用", "销售费用"],
+    ["生产成本", "制造费用", "原材料", "库存商品"],
+    ["研发费用", "银行存款", "管理费用", "原材料"],
+    ["固定资产", "累计折旧", "在建工程", "银行存款"],
+    ["应收账款", "应付账款", "预付账款", "短期借款"],
+    ["应交税费", "税金及附加", "银行存款", "库存现金"],
+    ["其他应收款", "其他应付款", "管理费用", "银行存款"],
+    ["本年利润", "主营业务收入", "管理费用", "主营业务成本"],
+]
+BALANCES = ["应付账款", "应收账款", "应付职工薪酬", "生产成本", "银行存款", "银行存款", "财务费用", "银行存款", "银行存款", "本年利润"]
+BALANCE_LINE = 999
+#: The same journal as SQL, for the oracles.
+JOURNAL_CTE = f"""
+WITH subj_map AS (SELECT * FROM (VALUES {", ".join(f"({t},{n},'{x}')" for t, names in enumerate(SUBJECTS) for n, x in enumerate(names))}) AS t(tpl,slot,subj)),
+bal_map AS (SELECT * FROM (VALUES {", ".join(f"({t},'{x}')" for t, x in enumerate(BALANCES))}) AS t(tpl,subj)),
 src AS (SELECT o_orderkey AS k, o_orderdate AS dt, CAST(o_custkey % 10 AS INT) AS ctpl,
   (o_orderpriority = '5-LOW' AND o_custkey % 3 = 0) AS one_sided,
   CAST(CASE WHEN l_suppkey % 25 = 0 THEN floor((l_partkey % 40) / 4) ELSE o_custkey % 10 END AS INT) AS tpl,
@@ -173,7 +177,7 @@ net AS (SELECT k, dt, ctpl, one_sided, CAST(sum(debit) - sum(credit) AS DECIMAL(
 journal AS (
   SELECT k, dt, line_no, subj, debit, credit FROM ln
   UNION ALL
-  SELECT k, dt, 999 AS line_no, bal_map.subj,
+  SELECT k, dt, {BALANCE_LINE} AS line_no, bal_map.subj,
    CASE WHEN one_sided OR net < 0 THEN -net ELSE CAST(0 AS DECIMAL(18,2)) END,
    CASE WHEN one_sided OR net < 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE net END
   FROM net JOIN bal_map ON net.ctpl = bal_map.tpl WHERE net <> 0)
@@ -181,9 +185,34 @@ journal AS (
 
 
 def order_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, dt, line_no, subj, debit, credit: every order a voucher, every line item an entry."""
-    lineitem, orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return spark.sql(JOURNAL_CTE.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}") + " SELECT * FROM journal", lineitem=lineitem, orders=orders)
+    """k, dt, line_no, subj, debit, credit: every order a voucher, every line item an entry, and one that balances it.
+
+    One join and one group per order (an order has a few items), whose lines come out together.
+    """
+    item, order = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    money, zero = "decimal(18,2)", F.lit(0).cast("decimal(18,2)")
+    own = F.col("o_custkey") % 10
+    one_sided = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 3 == 0)
+    template = F.when(F.col("l_suppkey") % 25 == 0, F.floor((F.col("l_partkey") % 40) / 4)).otherwise(own).cast("int")
+    amount = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 5), -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast(money)
+    places = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+    entry = F.struct(*places, template.alias("template"), (F.col("l_partkey") % 4).cast("int").alias("slot"), (F.col("l_linenumber") % 2 == 1).alias("is_debit"), amount.alias("amount"))
+    orders = item.join(order, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("dt"), own.alias("own"), one_sided.alias("one_sided"))
+    entries = orders.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    names = F.array(*(F.array(*map(F.lit, row)) for row in SUBJECTS))
+
+    def line(e: Column, n: Column) -> Column:
+        debit = e["is_debit"] | F.col("one_sided")
+        subject = F.get(F.get(names, e["template"]), e["slot"])
+        return F.struct((n + 1).cast("long").alias("line_no"), subject.alias("subj"), F.when(debit, e["amount"]).otherwise(zero).alias("debit"), F.when(debit, zero).otherwise(e["amount"]).alias("credit"))
+
+    lined = entries.withColumn("lines", F.filter(F.transform("entries", line), lambda x: x["subj"].isNotNull()))
+    net = F.aggregate("lines", F.lit(0).cast("decimal(28,2)"), lambda acc, x: (acc + x["debit"] - x["credit"]).cast("decimal(28,2)")).cast(money)
+    balanced = lined.withColumn("net", net)
+    on_debit = F.col("one_sided") | (F.col("net") < 0)
+    balance = F.struct(F.lit(BALANCE_LINE).cast("long").alias("line_no"), F.get(F.array(*map(F.lit, BALANCES)), F.col("own").cast("int")).alias("subj"), F.when(on_debit, -F.col("net")).otherwise(zero).cast(money).alias("debit"), F.when(on_debit, zero).otherwise(F.col("net")).cast(money).alias("credit"))
+    every = F.concat("lines", F.when(F.col("net") != 0, F.array(balance)).otherwise(F.array().cast("array<struct<line_no:bigint,subj:string,debit:decimal(18,2),credit:decimal(18,2)>>")))
+    return balanced.select("k", "dt", F.explode(every).alias("l")).select("k", "dt", "l.*")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
