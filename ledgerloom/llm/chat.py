@@ -1,27 +1,47 @@
 """Multi-party perspective rotation of chats, with built-in Spark functions only.
 
 For every participant (a role other than system) a dialogue is rendered with that speaker as the assistant and the
-other speakers as named users; the loss mask covers the assistant's messages and their end markers.
+other speakers as named users; the loss mask covers the assistant's messages and their end markers. Where messages stand
+in the text is a running sum over the dialogue, so the work grows with its length only.
 
-A dialogue comes in parts of TURNS_PER_PART consecutive turn numbers, so no group grows with one long conversation;
-the parts in order, joined, are the dialogue. Ordinary conversations have one part.
+A dialogue is rendered whole, as part 0. One of more than MOST_TURNS messages, which no single row should hold, comes in
+consecutive parts of that many messages, which joined are the dialogue; masks count from the start of their part. Such
+dialogues are numbered by a sort by ranges, so no task gets all of a conversation, however long it is.
 
-Defined cases: a null or blank role is the speaker "unknown"; a null text is empty; null turns come first, in a part of
-their own; a null conv_id is one conversation; messages with equal turns are ordered by speaker and text; repeated rows
-are rendered each; a conversation with system messages only has no participant and gives no row; "<|" in a text or a
-name is written "<\\|", so contents cannot forge a marker. Other columns of the input are ignored.
+Defined cases: a null or blank role is the speaker "unknown"; a null text is empty; null turns come first; a null conv_id
+is one conversation; messages with equal turns are ordered by speaker and text; repeated rows are rendered each; a
+conversation with system messages only has no participant and gives no row; "<|" in a text or a name is written "<\\|", so
+contents cannot forge a marker. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS_PER_PART = 64
+from ledgerloom.llm.common import written
+from ledgerloom.shared import numbered
+
+MOST_TURNS = 10_000
 FIRST = -(2**62)
 
 
-def perspectives(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+def _in_parts(turns: DataFrame, most: int) -> DataFrame:
+    """turns with part: 0 but in conversations of more than `most` messages."""
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("size"))
+    long = written(sizes.where(F.col("size") > most).select(F.col("conv_id").alias("of")), "long_conversations")
+    if long.isEmpty():
+        return turns.withColumn("part", F.lit(0).cast("long"))
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    held = written(turns.join(long, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "long_turns")
+    placed = written(numbered(held, "number", F.col("conv_id"), F.col("turn"), F.col("speaker"), F.col("body"), F.col("row")), "numbered_turns")
+    first = placed.groupBy(F.col("conv_id").alias("of")).agg(F.min("number").alias("first"))
+    parts = placed.join(F.broadcast(first) if first.count() <= 100_000 else first, same)
+    part = F.floor((F.col("number") - F.col("first")) / most)
+    return turns.join(long, same, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(parts.select(*turns.columns, part.alias("part")))
+
+
+def perspectives(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
     """conv_id, part, participant, n_turns, n_target_chars, masks ("start:end" of code points in text, comma-joined), text."""
     speaker = F.when(F.trim("role") == "", None).otherwise(F.trim("role"))
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("<\\|"))
@@ -30,45 +50,44 @@ def perspectives(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART)
         F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"),
         safe(F.coalesce(speaker, F.lit("unknown"))).alias("speaker"),
         safe(F.coalesce("text", F.lit(""))).alias("body"),
-    ).withColumn("part", F.when(F.col("turn") == FIRST, F.lit(None).cast("long")).otherwise(F.floor(F.col("turn") / turns_per_part)))
-    parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("messages"))
-    people = turns.where("speaker <> 'system'").select(F.col("conv_id").alias("of"), F.col("speaker").alias("participant")).distinct()
-
-    own = lambda m: m["speaker"] == F.col("participant")
-    head = lambda m: F.when(m["speaker"] == "system", F.lit("<|im_start|>system\n")).when(own(m), F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), m["speaker"], F.lit("\n")))
-    pieces = F.transform("messages", lambda m: F.struct(head(m).alias("head"), F.concat(m["body"], F.lit("<|im_end|>")).alias("body"), own(m).alias("own")))
-    rendered = parts.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "part", "participant", pieces.alias("pieces"))
-    # where each message starts: a prefix sum over at most turns_per_part lengths
-    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + 1
-    before = lambda i: F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0), lambda acc, p: acc + size(p))
-    spans = F.filter(
-        F.transform("pieces", lambda p, i: F.when(p["own"], F.struct((before(i) + F.length(p["head"])).alias("start"), (before(i) + F.length(p["head"]) + F.length(p["body"])).alias("end")))),
-        lambda s: s.isNotNull(),
     )
-    return rendered.withColumn("spans", spans).select(
+    people = turns.where("speaker <> 'system'").groupBy(F.col("conv_id").alias("of")).agg(F.collect_set("speaker").alias("people"))
+    each = _in_parts(turns, most_turns).join(people, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("participant", F.explode("people")).drop("of", "people")
+
+    own = F.col("speaker") == F.col("participant")
+    head = F.when(F.col("speaker") == "system", F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), "speaker", F.lit("\n")))
+    said = each.select("conv_id", "part", "participant", "turn", "speaker", "body", own.alias("own"), head.alias("head"), (F.length("body") + F.length(F.lit("<|im_end|>"))).alias("size"))
+    dialogue = Window.partitionBy("conv_id", "part", "participant").orderBy("turn", "speaker", "body").rowsBetween(Window.unboundedPreceding, 0)
+    placed = said.withColumns({"n": F.count("*").over(dialogue), "end": F.sum(F.length("head") + F.col("size") + 1).over(dialogue) - 1})
+    mask = F.when(F.col("own"), F.concat_ws(":", (F.col("end") - F.col("size")).cast("string"), F.col("end").cast("string")))
+    line = F.concat("head", "body", F.lit("<|im_end|>\n"))
+    messages = F.array_sort(F.collect_list(F.struct("n", line.alias("line"), mask.alias("mask"))))
+    out = placed.groupBy("conv_id", "part", "participant").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.when(F.col("own"), F.col("size"))), F.lit(0)).cast("long").alias("n_target_chars"), messages.alias("messages"))
+    return out.select(
         "conv_id",
         "part",
         "participant",
-        F.size("pieces").cast("long").alias("n_turns"),
-        F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long").alias("n_target_chars"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("masks"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
+        "n_turns",
+        "n_target_chars",
+        F.array_join(F.transform("messages", lambda m: m["mask"]), ",").alias("masks"),
+        F.array_join(F.transform("messages", lambda m: m["line"]), "").alias("text"),
     )
 
 
-#: The same rows as DuckDB SQL, for turns_per_part 64.
-ORACLE_SQL = r"""
+def oracle(most_turns: int = MOST_TURNS) -> str:
+    """The same rows as DuckDB SQL."""
+    return rf"""
 WITH turns AS (
   SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn,
-    replace(coalesce(nullif(trim(role, ' '), ''), 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS body,
-    CASE WHEN turn IS NULL THEN NULL ELSE CAST(floor(turn / 64.0) AS BIGINT) END AS part
+    replace(coalesce(nullif(trim(role, ' '), ''), 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS body
   FROM conversations),
+parted AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, body) - 1) // {most_turns} AS part FROM turns),
 people AS (SELECT DISTINCT conv_id AS of, speaker AS participant FROM turns WHERE speaker <> 'system'),
 pieces AS (
   SELECT conv_id, part, participant, turn, speaker, body || '<|im_end|>' AS body, speaker = participant AS own,
     CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10)
       ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
-  FROM turns JOIN people ON conv_id IS NOT DISTINCT FROM of),
+  FROM parted JOIN people ON conv_id IS NOT DISTINCT FROM of),
 placed AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS start, row_number() OVER w AS n
   FROM pieces WINDOW w AS (PARTITION BY conv_id, part, participant ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -77,3 +96,6 @@ SELECT conv_id, part, participant, count(*) AS n_turns, CAST(coalesce(sum(CASE W
   string_agg(head || body || chr(10), '' ORDER BY n) AS text
 FROM placed GROUP BY conv_id, part, participant
 """
+
+
+ORACLE_SQL = oracle()
