@@ -3,8 +3,10 @@ shunting-yard parser evaluates the and/or/with expressions behind identifier tag
 
 A text is lower-cased (A-Z only) and its words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ are joined by single spaces, so a phrase
 matches across any punctuation or line break. Every licence has a permissiveness from 0 (all rights reserved) to 1
-(public domain). In an expression `or` takes the greater, `and` the smaller, and `with` lets an exception raise the
-licence by a fifth of its distance to 1. The score of a text is the smallest value it holds, 1.0 where it holds none.
+(public domain). A name is a family, perhaps a version (with or without v, behind a dash or not), and perhaps a + or
+-or-later, which allow later versions of the same family. In an expression `or` takes the greater, `and` the smaller, and
+`with` lets a known exception raise the licence before it by a share of its distance to 1; an unknown exception changes
+nothing. The score of a text is the smallest value it holds, 1.0 where it holds none.
 
 Defined cases: a null or empty text has no words, no labels and the score 1.0; an expression that cannot be parsed
 counts as its known names joined by `and`; unknown names get 0.5 and no label; repeated rows and ids are each judged;
@@ -43,12 +45,35 @@ NOTICE_PHRASES = {
     "cc by nc": "cc-by-nc",
     "cc by nd": "cc-by-nd",
     "public domain": "public-domain",
+    "artistic license": "artistic",
+    "boost software license": "boost",
+    "zlib license": "zlib",
+    "postgresql license": "postgresql",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "do what the fuck you want to public license": "wtfpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
 }
 TAG = "spdx license identifier"
 # How permissive each label is.
 PERMISSIVE = {
     "public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0, "mit": 0.9, "isc": 0.9, "bsd": 0.9, "apache": 0.85, "cc-by": 0.8, "cc-by-sa": 0.5,
     "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "reserved": 0.0,
+    "boost": 0.95, "zlib": 0.95, "postgresql": 0.9, "psf": 0.9, "wtfpl": 1.0, "artistic": 0.7, "ofl": 0.7, "cddl": 0.6, "eupl": 0.4, "sspl": 0.1, "busl": 0.1,
+    "cc-by-nc-sa": 0.1, "cc-by-nc-nd": 0.05,
+}
+# Names in identifiers that are not the label itself.
+NAMES = {"bsl": "boost", "python": "psf", "apache-license": "apache", "expat": "mit", "x11": "mit", "0bsd": "bsd", "mit-0": "mit", "cc-pddc": "public-domain", "cc0": "cc0", "clpartistic": "artistic", "ncsa": "mit"}
+# By which share of its distance to 1 an exception raises a licence: those that allow linking, and those that free what a tool puts out.
+EXCEPTIONS = {
+    "classpath-exception-2.0": 0.2, "linux-syscall-note": 0.2, "openvpn-openssl-exception": 0.2, "u-boot-exception-2.0": 0.2, "wxwindows-exception-3.1": 0.2, "fltk-exception": 0.2,
+    "ocaml-lgpl-linking-exception": 0.2, "qt-gpl-exception-1.0": 0.2, "universal-foss-exception-1.0": 0.2, "ecos-exception-2.0": 0.2, "llvm-exception": 0.2, "swift-exception": 0.2,
+    "gcc-exception-2.0": 0.5, "gcc-exception-3.1": 0.5, "bison-exception-2.2": 0.5, "autoconf-exception-2.0": 0.5, "autoconf-exception-3.0": 0.5, "font-exception-2.0": 0.5, "bootloader-exception": 0.5, "libtool-exception": 0.5,
 }
 UNKNOWN, NOTHING = 0.5, 1.0
 KEEPS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -68,10 +93,24 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
+#: What may follow a family: a version, its words, and what allows later versions.
+TAIL = re.compile(r"(?:-?v?(?P<version>\d+(?:\.\d+)*))?(?P<words>(?:-[a-z0-9.]+)*?)(?P<later>\+|-or-later)?")
+
+
+def parsed(name: str) -> tuple[str, str, bool] | None:
+    """(family, version, later versions too) of a licence name such as GPL-2.0-only, GPLv2+, MIT or CC-BY-SA-4.0; None for an unknown one."""
+    name = name.lower()
+    for known in sorted({*PERMISSIVE, *NAMES}, key=len, reverse=True):
+        if name.startswith(known) and (m := TAIL.fullmatch(name, len(known))):
+            return NAMES.get(known, known), m["version"] or "", bool(m["later"])
+    return None
+
+
+@lru_cache(10_000)
 def family(name: str) -> str | None:
-    """The label of a licence name such as GPL-2.0-only, MIT or CC-BY-SA-4.0."""
-    name = name.lower().rstrip("+")
-    return max((k for k in PERMISSIVE if name == k or name.startswith(f"{k}-")), key=len, default=None)
+    """The label of a licence name."""
+    found = parsed(name)
+    return found[0] if found else None
 
 
 def evaluate(expression: str) -> tuple[float, set[str], str]:
@@ -106,15 +145,16 @@ def evaluate(expression: str) -> tuple[float, set[str], str]:
     values = lambda t: PERMISSIVE.get(family(t) or "", UNKNOWN)
     out += reversed(waiting)
     if not sound:
+        names = [t for t in names if t.lower() not in EXCEPTIONS]
         return min(map(values, names), default=UNKNOWN), labels, " ".join([*names, *["and"] * (len(names) - 1)])
-    stack: list[float] = []
+    stack: list[tuple[float, str]] = []
     for token in out:
         if token not in rank:
-            stack.append(values(token))
+            stack.append((values(token), token.lower()))
             continue
-        right, left = stack.pop(), stack.pop()
-        stack.append(max(left, right) if token == "or" else min(left, right) if token == "and" else left + (1 - left) / 5)
-    return stack[0], labels, " ".join(out)
+        (right, name), (left, _) = stack.pop(), stack.pop()
+        stack.append((max(left, right) if token == "or" else min(left, right) if token == "and" else left + (1 - left) * EXCEPTIONS.get(name, 0.0), ""))
+    return stack[0][0], labels, " ".join(out)
 
 
 def scan_text(text: str | None) -> tuple:
