@@ -205,7 +205,7 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     drop_written(indexed)
     groups = written(components(pairs).withColumnRenamed("root", "group"), "groups")
     drop_written(pairs)
-    blocks = in_units(groups, ["group"], "node", unit=1_000).drop("group")
+    blocks = in_units(groups, ["group"], "node", unit=250).drop("group")
     payload = blocks.join(nodes.select("node", "label", "v", "copies"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,13 @@
 """Personal data: fixed patterns give seed entities, and contextual bootstrapping finds further identifiers.
 
 A seed is a whole fixed-pattern span. A candidate is a run of adjacent identifier-like tokens (each with a digit or an @)
-that touches no span: single tokens, and the parts of longer runs that start or end their run. Either stands in two
-lexical contexts, the word before it and the word after it, each together with its shape, and also with its outline (an
-@, or about how many digits), so that '(743) 555-3824' can stand where '+1 (743) 555-3824' does. Spark scores the graph
-of contexts and values in rounds: a context gets the mean score of its distinct values (smoothed), a value the noisy-or
-of its contexts. Contexts of high confidence and enough support mark every unseen candidate that stands in them.
+that touches no span: single tokens, and the parts of longer runs that start or end their run. Either stands in lexical
+contexts: the word before it, the word after it, two words before, two words after, and one on either side, each together
+with its shape, and also with its outline (an @, or about how many digits), so that '(743) 555-3824' can stand where
+'+1 (743) 555-3824' does. Spark scores the graph of contexts and values in rounds: a context gets the mean score of its
+distinct values (smoothed; those that nothing speaks for lower it), a value the noisy-or of its contexts. Contexts of
+high confidence and enough support mark every unseen candidate that stands in them. `find` and `redact` use contexts of
+several words only: 'the' before a number says little, and carries scores to every number.
 
 Defined cases: a null or empty text holds nothing; equal rows are each reported; without seeds nothing is discovered;
 a discovered identifier never overlaps a fixed-pattern span and takes the kind most of its context's seeds have (ties:
@@ -111,11 +113,25 @@ def bounded(value: str) -> str:
     return value if len(value) <= TOKEN[1] else value[: TOKEN[1] // 2] + xxhash.xxh3_128_hexdigest(value.encode("utf-8", "surrogatepass"))
 
 
-def contexts_of(value: str, before: str | None, after: str | None, wide: tuple[bool, bool] = (True, True)) -> list[str]:
-    """Contexts from the words beside a value (None: no context), with its shape and, on the sides that are wide, its outline."""
+#: What contexts of several words start with; no word holds it.
+SEVERAL = "\t"
+
+
+def contexts_of(value: str, before: str | None, after: str | None, wide: tuple[bool, bool] = (True, True), far: tuple[str, str] = ("", "")) -> list[str]:
+    """Contexts from the words beside a value (None: no context) and those beside them, with its shape and, on the sides that are wide, its outline."""
     form, rough = bounded(shape(value)), outline(value)
-    out = [] if before is None else [f"{bounded(before)} _{x}" for x in (form, f"~{rough}")[: 1 + (wide[0] and bool(rough))]]
-    return out if after is None else [*out, *(f"_{x} {bounded(after)}" for x in (form, f"~{rough}")[: 1 + (wide[1] and bool(rough))])]
+    forms = [[form, f"~{rough}"][: 1 + (side and bool(rough))] for side in wide]
+    left, right = before is not None, after is not None
+    out = [f"{bounded(before)} _{x}" for x in forms[0]] if left else []
+    out += [f"_{x} {bounded(after)}" for x in forms[1]] if right else []
+    # the edges of a text are no words
+    if left and not {"^", ""} & {before, far[0]}:
+        out += [f"{SEVERAL}{bounded(far[0])} {bounded(before)} _{x}" for x in forms[0]]
+    if right and not {"$", ""} & {after, far[1]}:
+        out += [f"{SEVERAL}_{x} {bounded(after)} {bounded(far[1])}" for x in forms[1]]
+    if left and right and before != "^" and after != "$":
+        out += [f"{SEVERAL}{bounded(before)} _{x} {bounded(after)}" for x in min(forms, key=len)]
+    return out
 
 
 def candidate_runs(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -147,14 +163,15 @@ def extract(text: str | None) -> tuple[list, list, list]:
         return counts, base, tokens
     words = [m.span() for m in _WORD.finditer(text)]
     begins = [b for b, _ in words]
-    before = lambda i: text[slice(*words[i - 1])].lower() if i else "^"
+    before = lambda i: text[slice(*words[i - 1])].lower() if i > 0 else "^"
     after = lambda i: text[slice(*words[i + 1])].lower() if i + 1 < len(words) else "$"
     for start, kind, end in base:
         first, last = bisect_right(begins, start) - 1, bisect_right(begins, end - 1) - 1
         # what is glued to a span, other than signs, is the word beside it
         left, right = text[words[first][0] : start].strip(_EDGES).lower(), text[end : words[last][1]].strip(_EDGES).lower()
         value = text[start:end]
-        tokens.append((start, end, kind, contexts_of(value, left or before(first), right or after(last)), bounded(value)))
+        far = before(first if left else first - 1), after(last if right else last + 1)
+        tokens.append((start, end, kind, contexts_of(value, left or before(first), right or after(last), far=far), bounded(value)))
     for run in candidate_runs(text, words, base):
         n = len(run)
         parts = {(i, i) for i in range(n)}
@@ -171,14 +188,21 @@ def extract(text: str | None) -> tuple[list, list, list]:
                 continue
             value, outer = text[start:end], (i == 0, j == n - 1)
             beside = before(run[i][0]) if outer[0] or i == j else None, after(run[j][0]) if outer[1] or i == j else None
-            tokens.append((start, end, -1, contexts_of(value, *beside, outer), bounded(value)))
+            tokens.append((start, end, -1, contexts_of(value, *beside, outer, (before(run[i][0] - 1), after(run[j][0] + 1))), bounded(value)))
     return counts, base, tokens
 
 
-def extracted(docs: DataFrame) -> DataFrame:
-    """A written table of what each text holds: doc_id, key (a hash of the text), counts, base, tokens."""
+def extract_several(text: str | None) -> tuple[list, list, list]:
+    """extract() with contexts of several words only."""
+    counts, base, tokens = extract(text)
+    return counts, base, [(a, b, k, [c for c in contexts if c.startswith(SEVERAL)], v) for a, b, k, contexts, v in tokens]
+
+
+def extracted(docs: DataFrame, several: bool = False) -> DataFrame:
+    """A written table of what each text holds: doc_id, key (a hash of the text), counts, base, tokens; with contexts of several words only, if wanted."""
     bounded_batches(docs.sparkSession)
-    return written(docs.select("doc_id", F.xxhash64("text").alias("key"), per_text(extract, EXTRACTED)("text").alias("x")).select("doc_id", "key", "x.*"), "personal")
+    held = per_text(extract_several if several else extract, EXTRACTED)("text")
+    return written(docs.select("doc_id", F.xxhash64("text").alias("key"), held.alias("x")).select("doc_id", "key", "x.*"), "personal")
 
 
 def confident_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -238,7 +262,7 @@ def _with_added(docs: DataFrame, added: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, the four base counts, base (text of the base spans) and spans (text of all)."""
-    found = extracted(docs)
+    found = extracted(docs, several=True)
     rows = _with_added(found.select("doc_id", "key", "counts", "base"), discovered(found, confident_contexts(found)))
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
     return rows.select("doc_id", *(F.col("counts")[n].alias(f"n_{k}") for n, k in enumerate(KINDS)), _joined(F.col("base")).alias("base"), _joined(every).alias("spans"))
@@ -260,7 +284,7 @@ def redacted(text: str | None, added: list | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; n_chars, if there, is counted anew."""
     bounded_batches(docs.sparkSession)
-    found = extracted(docs)
+    found = extracted(docs, several=True)
     added = written(discovered(found, confident_contexts(found)), "personal-added")
     replace = F.pandas_udf(lambda x, a: pd.Series([redacted(t, s) for t, s in zip(x, a)], dtype=object), "string")
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
