@@ -4,7 +4,9 @@ A document's ids (and the end id) are cut into pieces only where they exceed a s
 random over shards of about SHARD pieces, and every shard is packed on its own: the pieces fill bins in the order in which
 they come (about a fifth too many bins), and local search on the bins that are not full, from the emptiest, does the
 rest: one or two pieces move to another bin, or change places with a smaller one there, whenever that raises the sum of
-squared fills; a bin that runs empty is gone.
+squared fills; a bin that runs empty is gone. The bins that shards leave open are dealt again, bin by bin, over as many
+shards as they need, and searched on, until one shard holds them all; so the number of sequences hardly depends on the
+size of a shard. Where a turn gains next to nothing (lengths that fill no bin), it was the last.
 
 Defined cases: a null or empty text is the end id alone; every row of the input is packed, repeated rows too; the
 numbers of sequences are unique but not dense; other columns are ignored.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,8 @@ from ledgerloom.llm.common import bounded_batches, written
 from ledgerloom.llm.tokens import END_ID, WordEncoder, default_tokenizer
 
 LENGTH, SHARD = 4096, 8_000
+#: A turn over all shards has to bring this share of pieces to rest, or empty this share of bins, for another to follow.
+GAIN = 0.005
 PIECES = "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
@@ -120,15 +125,14 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     return bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each length its bin and its place in the bin."""
-    bins = local_search(lengths, next_fit(lengths, capacity), capacity)
+def offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The place of each piece in its bin."""
     order = np.lexsort((np.arange(len(bins)), bins))
     before = np.cumsum(lengths[order]) - lengths[order]
     first = np.r_[True, np.diff(bins[order]) != 0] if len(order) else np.zeros(0, dtype=bool)
-    offset = np.empty(len(bins), dtype=np.int64)
-    offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-    return bins, offset
+    out = np.empty(len(bins), dtype=np.int64)
+    out[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+    return out
 
 
 def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -145,18 +149,42 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     return written(pieces.select("doc_id", F.explode("x.pieces").alias("p")).select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")), "pieces")
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    pieces = tokenised(docs, path, length)
-    shards = max(1, -(-pieces.where(F.col("length") < length).count() // shard))
+def pack_pieces(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """The columns of pieces (with length, and a row of its own for each) but row, and sequence_id and offset; pieces shorter than a sequence."""
+    kept = [f.name for f in pieces.schema.fields if f.name != "row"]
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in pieces.schema.fields) + "sequence_id long, offset long, is_full boolean"
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row")
-        bins, offset = pack_lengths(group["length"].to_numpy(), length)
-        return group.assign(sequence_id=2 * (group["shard"].to_numpy() * 2**32 + bins), offset=offset).drop(columns=["row", "shard"])
+        lengths = group["length"].to_numpy()
+        before = group["sequence_id"].to_numpy()
+        start = next_fit(lengths, length) if (before < 0).any() else pd.factorize(before)[0]
+        bins = local_search(lengths, start, length)
+        fill = np.bincount(bins, weights=lengths)
+        numbers = 2 * (((group["turn"].to_numpy() << 28) + group["shard"].to_numpy() << 28) + bins)
+        return group.assign(sequence_id=numbers, offset=offsets(lengths, bins), is_full=fill[bins] == length).drop(columns=["shard", "turn"])
+
+    left, done = pieces.withColumn("sequence_id", F.lit(-1).cast("long")), []
+    n, bins = left.count(), float("inf")
+    for turn in range(64):
+        shards = max(1, -(-n // min(max(shard, SHARD), shard << turn)))  # smaller shards than usual grow from turn to turn
+        of = F.xxhash64("row" if not turn else "sequence_id")
+        dealt = left.withColumns({"shard": F.pmod(of, F.lit(shards)), "turn": F.lit(turn).cast("long")})
+        out = written(dealt.groupBy("shard").applyInPandas(place, schema), "packed")
+        some = out.where("not is_full")
+        after, still = some.agg(F.count("*"), F.countDistinct("sequence_id")).first() if shards > 1 else (0, 0)
+        # the bins that shards leave open meet others, as long as pieces come to rest or bins run empty
+        if shards == 1 or after > (1 - GAIN) * n and still > (1 - GAIN) * bins:
+            done.append(out)
+            break
+        done.append(out.where("is_full"))
+        left, n, bins = some.drop("offset", "is_full"), after, still
+    return reduce(DataFrame.unionByName, done).select(*kept, "sequence_id", "offset")
 
-    dealt = pieces.where(F.col("length") < length).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    schema = "doc_id {}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long".format(docs.schema["doc_id"].dataType.simpleString())
-    packed = dealt.groupBy("shard").applyInPandas(place, schema)
+
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+    pieces = tokenised(docs, path, length)
+    packed = pack_pieces(pieces.where(F.col("length") < length), length, shard)
     full = pieces.where(F.col("length") == length).select("doc_id", "piece", "start", "length", "ids_crc32", (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
