@@ -1,0 +1,141 @@
+"""Quality verdicts by plain Python, shares that mixing reaches, and the pipeline's first two stages without their operators."""
+
+import math
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import mixing, text_rules
+from ledgerloom.llm.common import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def facts(t):
+    """The counts of a text that features are made of."""
+    t = t or ""
+    w = words(t)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = Counter(windows)
+    repeated = {k for i, x in enumerate(windows) if often[x] > 1 for k in range(i, i + 5)}
+    lines, seen, dup = [x for x in t.split("\n") if words(x)], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    count = lambda pattern: len(re.findall(pattern, t))
+    return {
+        "n_words": len(w),
+        "word_chars": sum(map(len, w)),
+        "n_symbols": count(r"[#*$%&|<>]"),
+        "n_dup_lines": dup,
+        "n_repeat_words": len(repeated),
+        "n_lines": len(lines),
+        "n_capitals": count(r"[A-Z]"),
+        "n_digits": count(r"[0-9]"),
+        "n_marks": count(r"[!?;:=_{}\[\]()\\/+~^@]"),
+        "n_bytes": sum(len(x.encode()) for x in w),
+        "n_distinct": len(set(w)),
+    }
+
+
+def values(f):
+    """The features, from the counts."""
+    words_, chars, lines = max(f["n_words"], 1), max(f["word_chars"], 1), max(f["n_lines"], 1)
+    return {
+        "words": f["n_words"],
+        "symbols_per_word": f["n_symbols"] / words_,
+        "marks_per_word": f["n_marks"] / words_,
+        "capitals_per_char": f["n_capitals"] / chars,
+        "digits_per_char": f["n_digits"] / chars,
+        "bytes_per_char": f["n_bytes"] / chars,
+        "chars_per_word": f["word_chars"] / words_,
+        "repeated_word_share": f["n_repeat_words"] / words_,
+        "repeated_line_share": f["n_dup_lines"] / lines,
+        "distinct_word_share": f["n_distinct"] / words_,
+        "words_per_line": f["n_words"] / lines,
+    }
+
+
+def verdicts(texts, rules):
+    """doc_id, base_failed, number of the first rule that holds, kept."""
+    out = []
+    for i, t in texts:
+        f = facts(t)
+        x = values(f)
+        assert set(x) == set(text_rules.FEATURES)
+        failed = f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"]
+        holds = lambda rule: all(x[k] <= at if op == "<=" else x[k] > at for k, op, at in rule.tests)
+        first = next((n for n, rule in enumerate(rules) if holds(rule)), None)
+        out.append((i, failed, first, not failed and first is None))
+    return out
+
+
+def test_verdicts_by_plain_python(spark, docs, labels, texts):
+    whole = table(spark, SF, "documents")
+    rules = text_rules.fit(whole, table(spark, SF, "labels"))
+    assert rules
+    own = [(r.doc_id, r.text) for r in whole.collect()]
+    for df, rows in ((whole, own), (docs, texts)):
+        got = Counter((r.doc_id, r.base_failed, r.rule, r.kept) for r in text_rules.judge(df, rules).collect())
+        expected = Counter(verdicts(rows, rules))
+        assert got == expected and sum(not k[3] for k in expected) > 3 and any(k[2] is not None for k in expected)
+
+
+def test_mixing_reaches_every_share(spark):
+    rows = mixing.mix(table(spark, SF, "documents"), mixing.domains(table(spark, SF, "labels")))
+    total = rows.agg(F.sum("tokens")).first()[0]
+    for name, target in mixing.TARGETS.items():
+        share = rows.agg(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{name}"))).first()[0] / total
+        assert abs(share - target) <= 0.002, (name, share)
+    taken = rows.agg(*(F.sum(F.col("copies") * F.col("tokens") * F.col(f"p_{name}")).alias(name) for name in mixing.TARGETS)).first()
+    for name, target in mixing.TARGETS.items():  # whole copies instead of rates
+        assert abs(taken[name] / total - target) <= 0.02
+
+
+def test_first_stages_without_their_operators(spark, docs, labels, texts, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rules = text_rules.fit(docs, labels)
+    stay = Counter((i, t) for (i, t), v in zip(texts, verdicts(texts, rules)) if v[3])
+    first = stages["quality_rules"](spark, docs, folder)
+    assert Counter((r.doc_id, r.text) for r in first.collect()) == stay
+
+    held = list(stay.elements())
+    seen = Counter(w for _, t in held for w in set(words(t)))
+
+    def vector(t):
+        w, out = words(t), Counter()
+        idf = [1 + math.log((1 + len(held)) / (1 + seen[x])) for x in w]
+        for i in range(len(w) - 4):
+            out[tuple(w[i : i + 5])] += sum(idf[i : i + 5]) / 5
+        return out
+
+    vectors = [vector(t) for _, t in held]
+    sums = [sum(v.values()) for v in vectors]
+    root = list(range(len(held)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(held)):
+        for b in range(a):
+            both = sum(min(x, vectors[b][s]) for s, x in vectors[a].items() if s in vectors[b])
+            if both >= 0.8 * (sums[a] + sums[b] - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = defaultdict(list)
+    for n, row in enumerate(held):
+        groups[find(n)].append(row)
+    kept = Counter((r.doc_id, r.text) for r in stages["near_duplicates"](spark, first, folder).collect())
+    assert sum(kept.values()) == len(groups) < len(held) and not kept - stay
+    for rows in groups.values():  # one of each group stays
+        assert sum(min(kept[r], 1) for r in set(rows)) == 1
