@@ -31,17 +31,27 @@ def matrix_frame(distances: DataFrame) -> DataFrame:
     return distances.groupBy("g1").pivot("g2").agg(F.first("distance")).fillna(0.0)
 
 
-def voucher_connections(c: DataFrame) -> DataFrame:
-    """voucher, primary_group, src, dst: from each paid subject to each subject on its other side, once per voucher."""
+def kinds(c: DataFrame) -> DataFrame:
+    """primary_group, feature, kind, n, pairs: vouchers with the same subjects on the same sides are one kind, n of them, with the distinct connections (src, dst) that each has."""
+    between = lambda src, dst: F.flatten(F.transform(src, lambda x: F.transform(F.array_remove(dst, x), lambda y: F.struct(F.trim(x).alias("src"), y.alias("dst")))))
     # a line with both sides counts as a debit line, so its subject looks at the credit side
-    sides = F.array(F.struct(F.col("credit_subjects").alias("src"), F.col("debit_subjects").alias("dst")), F.struct(F.col("both_subjects").alias("src"), F.col("credit_subjects").alias("dst")))
-    paid = c.select("voucher", "primary_group", F.explode(sides).alias("s")).select("voucher", "primary_group", F.explode("s.src").alias("src"), "s.dst")
-    dst = paid.select("voucher", "primary_group", F.trim("src").alias("src"), F.explode(F.array_remove("dst", F.col("src"))).alias("dst"))
-    return dst.distinct()
+    pairs = F.array_distinct(F.concat(between(F.col("credit_subjects"), F.col("debit_subjects")), between(F.col("both_subjects"), F.col("credit_subjects"))))
+    sides = ["debit_subjects", "credit_subjects", "both_subjects"]
+    found = c.groupBy("primary_group", "feature", kind_of().alias("kind")).agg(F.count("*").alias("n"), *(F.any_value(s).alias(s) for s in sides))
+    return found.withColumn("pairs", pairs).drop(*sides)
+
+
+def kind_of():
+    """What the subjects of a voucher say by side, as text."""
+    return F.to_json(F.struct("debit_subjects", "credit_subjects", "both_subjects"))
 
 
 def connections(c: DataFrame) -> DataFrame:
-    return voucher_connections(c).groupBy("primary_group", "src", "dst").agg(F.count("*").alias("n"))
+    return _counted(kinds(c))
+
+
+def _counted(k: DataFrame) -> DataFrame:
+    return k.select("primary_group", "n", F.explode("pairs").alias("p")).groupBy("primary_group", "p.src", "p.dst").agg(F.sum("n").alias("n"))
 
 
 def concentration(conn: DataFrame) -> DataFrame:
@@ -56,18 +66,21 @@ def feature_frequency(c: DataFrame) -> DataFrame:
 
 
 def inner_scores(c: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """voucher, inner_score: the rarest connection of the voucher; without connections the rarity of its feature, if rare; plus a penalty in the group of others."""
-    conn = connections(c)
+    """voucher, inner_score: the rarest connection of the voucher; without connections the rarity of its feature, if rare; plus a penalty in the group of others. Each kind of voucher is scored once."""
+    k = kinds(c)
+    conn = _counted(k)
     hhi = concentration(conn)
     rated = conn.join(F.broadcast(hhi), "primary_group").withColumn("score", F.least(F.lit(s.top_score), S.rarity(F.col("n") / F.col("total"), F.col("hhi"))))
-    best = voucher_connections(c).join(rated.select("primary_group", "src", "dst", "score"), ["primary_group", "src", "dst"]).groupBy("voucher").agg(F.max("score").alias("best"))
+    each = k.select("primary_group", "feature", "kind", F.explode("pairs").alias("p")).select("primary_group", "feature", "kind", "p.*")
+    best = each.join(rated.select("primary_group", "src", "dst", "score"), ["primary_group", "src", "dst"]).groupBy("primary_group", "feature", "kind").agg(F.max("score").alias("best"))
     freq = feature_frequency(c).select("primary_group", "feature", (F.col("n") / F.col("total")).alias("share"))
-    base = c.select("voucher", "primary_group", "feature").join(best, "voucher", "left").join(F.broadcast(hhi.select("primary_group", "hhi")), "primary_group", "left").join(freq, ["primary_group", "feature"])
+    base = k.select("primary_group", "feature", "kind").join(best, ["primary_group", "feature", "kind"], "left").join(F.broadcast(hhi.select("primary_group", "hhi")), "primary_group", "left").join(freq, ["primary_group", "feature"])
     h = F.coalesce("hhi", F.lit(0.0))
     rare = S.rarity(F.col("share"), h)
     without = F.when(F.col("share") < s.rare_share, F.when(h >= 0.9999, rare).otherwise(F.least(F.lit(s.top_score), rare))).otherwise(0.0)
     penalty = F.when(F.col("primary_group") == OTHER, s.other_penalty).otherwise(0.0)
-    return base.select("voucher", S.round2(F.coalesce("best", without) + penalty).alias("inner_score"))
+    scored = base.select("primary_group", "feature", "kind", S.round2(F.coalesce("best", without) + penalty).alias("inner_score"))
+    return c.select("voucher", "primary_group", "feature", kind_of().alias("kind")).join(scored, ["primary_group", "feature", "kind"]).select("voucher", "inner_score")
 
 
 def cross_scores(c: DataFrame, distances: DataFrame) -> DataFrame:

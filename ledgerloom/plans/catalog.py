@@ -13,6 +13,7 @@ from ledgerloom.operators import graph as G
 from ledgerloom.operators import scoring as Z
 from ledgerloom.operators import vouchers as V
 from ledgerloom.plans.oracle import CATEGORY, GROUPED, LINES, R2, R6, SCORED
+from ledgerloom.shared import written
 from ledgerloom.sources import journal as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,8 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Classified vouchers feed five branches, so they are computed once and kept (they spill to disk)."""
-    return Z.score(classified(spark, d).persist())
+    """Classified vouchers feed five branches, so they are computed once and written."""
+    return Z.score(written(classified(spark, d), "classified"))
 
 
 SAMPLES = "SELECT * FROM (VALUES ('  原材料 '), ('应交税费-销项税'), ('应付账款_暂估'), ('银行存款——工行'), ('管理费用—差旅'), (' 应收\t账款'), ('主营 业务收入'), (NULL), ('')) AS t(name)"

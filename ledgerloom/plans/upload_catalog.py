@@ -13,7 +13,7 @@ from ledgerloom.operators import scoring as Z
 from ledgerloom.operators import vouchers as V
 from ledgerloom.plans.catalog import lines, register
 from ledgerloom.plans.oracle import CONTRA, LINES, SCORED
-from ledgerloom.shared import shared_folder
+from ledgerloom.shared import shared_folder, written
 from ledgerloom.sources import journal as J
 
 
@@ -41,7 +41,7 @@ def uploaded_lines(spark, d):
 def uploaded_anomalies(spark, d):
     """Scores on every line of the uploaded journal, behind its own columns."""
     j = J.uploaded_lines(uploaded(spark, d))
-    out = report.scored_lines(j, Z.score(C.classify(V.business_vouchers(j)).persist()))
+    out = report.scored_lines(j, Z.score(written(C.classify(V.business_vouchers(j)), "classified")))
     return out.withColumn("α系数", F.rint(F.col("α系数") * 1e6) / 1e6)
 
 
