@@ -48,20 +48,30 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return Z.score(written(classified(spark, d), "classified"))
 
 
-SAMPLES = "SELECT * FROM (VALUES ('  原材料 '), ('应交税费-销项税'), ('应付账款_暂估'), ('银行存款——工行'), ('管理费用—差旅'), (' 应收\t账款'), ('主营 业务收入'), (NULL), ('')) AS t(name)"
+#: Subjects of the journal as people write them: with spaces, tabs, details behind all kinds of dashes, or missing. The same text for Spark and DuckDB.
+WRITTEN_NAME = """CASE line_no % 9 WHEN 0 THEN '  ' || subject || ' ' WHEN 1 THEN subject || '-明细' || CAST(line_no AS STRING) WHEN 2 THEN subject || '_暂估' WHEN 3 THEN subject || '——工行'
+  WHEN 4 THEN subject || '—差旅' WHEN 5 THEN ' ' || left(subject, 2) || chr(9) || substr(subject, 3) WHEN 6 THEN left(subject, 2) || ' ' || substr(subject, 3) || '　' WHEN 7 THEN NULL ELSE '' END"""
+NORMAL = "coalesce(replace(replace(regexp_replace(name, '^[\\s　]+|[\\s　]+$', '', 'g'), ' ', ''), chr(9), ''), '')"
 
 
-@register("SELECT name, coalesce(replace(replace(regexp_replace(name, '^[\\s　]+|[\\s　]+$', '', 'g'), ' ', ''), chr(9), ''), '') AS subject FROM (" + SAMPLES + ")")
+def _written_names(spark, d) -> DataFrame:
+    return lines(spark, d).select("voucher", "line_no", F.expr(WRITTEN_NAME).alias("name"))
+
+
+@register(f"SELECT voucher, line_no, name, {NORMAL} AS subject FROM (SELECT *, {WRITTEN_NAME} AS name FROM lines)", LINES)
 def normalize_subject(spark, d):
-    return spark.sql(SAMPLES).select("name", S.normalize_subject(F.col("name")).alias("subject"))
+    """Every line's subject, from the ways in which people write it."""
+    return _written_names(spark, d).withColumn("subject", S.normalize_subject(F.col("name")))
 
 
 @register(
-    "SELECT name, CASE WHEN contains(s, '-') THEN split_part(s, '-', 1) WHEN contains(s, '_') THEN split_part(s, '_', 1) WHEN contains(s, '——') THEN split_part(s, '——', 1) WHEN contains(s, '—') THEN split_part(s, '—', 1) ELSE s END AS subject "
-    "FROM (SELECT name, coalesce(replace(replace(regexp_replace(name, '^\\s+|\\s+$', '', 'g'), ' ', ''), chr(9), ''), '') AS s FROM (" + SAMPLES + "))"
+    "SELECT voucher, line_no, name, CASE WHEN contains(s, '-') THEN split_part(s, '-', 1) WHEN contains(s, '_') THEN split_part(s, '_', 1) WHEN contains(s, '——') THEN split_part(s, '——', 1) WHEN contains(s, '—') THEN split_part(s, '—', 1) ELSE s END AS subject "
+    f"FROM (SELECT *, {NORMAL} AS s FROM (SELECT *, {WRITTEN_NAME} AS name FROM lines))",
+    LINES,
 )
 def first_level_subject(spark, d):
-    return spark.sql(SAMPLES).select("name", S.first_level_subject(F.col("name")).alias("subject"))
+    """Every line's first-level subject, from the ways in which people write it."""
+    return _written_names(spark, d).withColumn("subject", S.first_level_subject(F.col("name")))
 
 
 @register("SELECT voucher, line_no, coalesce(replace(replace(regexp_replace(subject, '^[\\s　]+|[\\s　]+$', '', 'g'), ' ', ''), chr(9), ''), '') AS subject FROM lines", LINES)
@@ -116,19 +126,6 @@ def subject_category(spark, d):
     return lines(spark, d).groupBy("subject", S.subject_category(F.col("subject")).alias("category")).agg(F.count("*").alias("n"))
 
 
-COLUMNS = ["制单日期", "凭证编号", "摘要", "科目编码", "一级科目", "科目明细", "借方金额", "贷方金额", "备注"]
-
-
-@register("SELECT * FROM (VALUES ('date','制单日期','high'),('voucher_no','凭证编号','high'),('summary','摘要','high'),('subject_code','科目编码','high'),('first_level_subject','一级科目','high'),('subject_name','科目编码','medium'),('debit','借方金额','high'),('credit','贷方金额','high')) AS t(name, col, confidence)")
-def detect_columns(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in J.detect_columns(COLUMNS).items()], "name string, col string, confidence string")
-
-
-@register("SELECT * FROM (VALUES ('date','制单日期'),('voucher_id','凭证编号'),('subject','一级科目'),('detail_subject','科目明细'),('debit','借方金额'),('credit','贷方金额'),('summary','摘要')) AS t(name, col)")
-def smart_detect(spark, d):
-    return spark.createDataFrame(list(J.smart_detect(COLUMNS).items()), "name string, col string")
-
-
 @register("SELECT voucher, feature FROM v", LINES)
 def voucher_features(spark, d):
     return V.vouchers(lines(spark, d)).select("voucher", "feature")

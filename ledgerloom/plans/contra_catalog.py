@@ -171,10 +171,7 @@ UNION ALL SELECT pattern, option, mark, NULL, NULL, NULL, ds, cs, cents / 100.0:
 )
 def plan_table_small(spark, d):
     """plan_table of the patterns whose sample voucher has at most three accounts a side, without the places of rows."""
-    vl = _ledgers(spark, d)
-    patterns = contra.pattern_counts(vl)
-    samples = _small(vl.join(patterns.select(F.col("sample").alias("voucher")), "voucher", "left_semi"))
-    return solver.plan_table(vl, solver.ranked(solver.solutions(samples)), patterns).drop("row")
+    return plan_table(spark, d, small=True).drop("row")
 
 
 @register(
@@ -213,32 +210,34 @@ def contra_conservation(spark, d):
     return both.agg(F.count_if(F.abs(F.coalesce("cents", F.lit(0)) - F.coalesce("given", F.lit(0))) > 1).alias("violations"))
 
 
-FIXED = "SELECT * FROM (VALUES (1,'原材料','Pos','应付账款','Pos',8000),(1,'原材料','Pos','银行存款','Pos',2000),(1,'应交税费','Pos','银行存款','Pos',1300),(2,'应交税费','Pos','应付账款','Pos',1000),(2,'应交税费','Pos','银行存款','Pos',300),(2,'原材料','Pos','应付账款','Pos',7000),(2,'原材料','Pos','银行存款','Pos',3000),(3,'管理费用','Pos','应付职工薪酬','Pos',100),(3,'销售费用','Pos','应付职工薪酬','Pos',100),(3,'研发费用','Pos','应付职工薪酬','Pos',100)) AS t(sol, ds, dg, cs, cg, cents)"
-
-
-@register(
-    f"WITH f AS ({FIXED}), d AS (SELECT sol, ds, dg, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT sol, cs, cg, count(*) AS n FROM f GROUP BY ALL), "
-    "dd AS (SELECT sol, count(*) AS k, sum((n - 1) * CASE WHEN contains(ds, '应交税费') THEN 2.0 ELSE 1.0 END) AS p FROM d GROUP BY sol), cc AS (SELECT sol, count(*) AS k, sum((n - 1) * CASE WHEN contains(cs, '应交税费') THEN 2.0 ELSE 1.0 END) AS p FROM c GROUP BY sol) "
-    "SELECT sol, CAST(100 - (SELECT count(*) FROM f WHERE f.sol = dd.sol) - dd.p * CASE WHEN dd.k >= cc.k THEN 5 ELSE 1 END - cc.p * CASE WHEN dd.k >= cc.k THEN 1 ELSE 5 END AS DOUBLE) AS score FROM dd JOIN cc USING (sol)"
-)
+@register("SELECT voucher, n, score FROM ordered", SEARCH)
 def occam_score(spark, d):
-    link = F.struct(F.col("ds").alias("d_subject"), F.col("dg").alias("d_sign"), F.col("cs").alias("c_subject"), F.col("cg").alias("c_sign"), F.col("cents").cast("long").alias("cents"))
-    return solver.occam_scores(spark.sql(FIXED).groupBy("sol").agg(F.collect_list(link).alias("links"))).select("sol", "score")
+    """The scores of all solutions of the small ledgers, by voucher."""
+    vl = _small(_ledgers(spark, d))
+    scored = solver.occam_scores(solver.solutions(vl).where("n is not null"))
+    return vl.select("voucher", "ledger_key").join(scored, "ledger_key").select("voucher", "n", "score")
 
 
 @register()
-def plan_table(spark, d):
-    """Plans need the sample voucher of each pattern only."""
+def plan_table(spark, d, small: bool = False):
+    """Plans need the sample voucher of each pattern only; small: of the patterns whose sample SQL can list."""
     vl = _ledgers(spark, d)
     patterns = contra.pattern_counts(vl)
     samples = vl.join(patterns.select(F.col("sample").alias("voucher")), "voucher", "left_semi")
+    samples = _small(samples) if small else samples
     return solver.plan_table(vl, solver.ranked(solver.solutions(samples)), patterns)
 
 
-@register("SELECT * FROM (VALUES ('甲', 2), ('乙', 1)) AS t(pattern, choice)")
+@register(
+    """, counted AS (SELECT pattern, min(voucher) AS voucher FROM pat GROUP BY pattern)
+SELECT pattern, CAST(least(max(rank), 3) AS INTEGER) AS choice FROM counted JOIN ordered USING (voucher) GROUP BY pattern""",
+    SEARCH,
+)
 def plan_selection(spark, d):
-    plan = spark.createDataFrame([("甲", "1-1", "", 0), ("甲", "1-2", " X ", 0), ("乙", "2-1", "x", 0), ("乙", "2-2", "o", 0)], "pattern string, option string, mark string, row int")
-    return solver.plan_selection(plan)
+    """What people choose who mark up to the third plan of each pattern (small ledgers), where the last mark counts."""
+    plan = plan_table(spark, d, small=True)
+    number = F.split_part("option", F.lit("-"), F.lit(2)).cast("int")
+    return solver.plan_selection(plan.withColumn("mark", F.when(number == 1, "x").when(number <= 3, " X ").otherwise("o")))
 
 
 @register()
@@ -264,6 +263,18 @@ def contra_report(spark, d):
     return contra.report(lines(spark, d), _chosen(_ledgers(spark, d)))
 
 
+EMPTY_SQL = ROW.format(d="debit", c="credit", x="'无效分录'", v="false", t="lines", s="empty")
+
+
+@register(", chosen AS (SELECT voucher, 1 AS rank FROM small)" + SMALL_ROWS + "".join(f" UNION ALL {x}" for x in (EMPTY_SQL, CLOSING_SQL, FX_SQL, ONE_SQL, MANY_SQL)), SEARCH)
+def contra_report_small(spark, d):
+    """contra_report but for vouchers with more than three accounts a side in a search."""
+    journal = lines(spark, d)
+    every = contra.voucher_ledgers(contra.ledgers(_routed(spark, d)))
+    large = every.join(_small(every).select("voucher"), "voucher", "left_anti").select("voucher")
+    return contra.report(journal.join(large, "voucher", "left_anti"), _chosen(_small(every)))
+
+
 @register("SELECT date, number, subject, CAST(sum(debit) AS DOUBLE) AS debit, 0.0::DOUBLE AS credit FROM lines GROUP BY 1, 2, 3 HAVING sum(debit) <> 0 UNION ALL SELECT date, number, subject, 0.0::DOUBLE, CAST(sum(credit) AS DOUBLE) FROM lines GROUP BY 1, 2, 3 HAVING sum(credit) <> 0", LINES)
 def compress_simple(spark, d):
     out = compress.simple(lines(spark, d), ["date", "number", "subject"])

@@ -26,6 +26,31 @@ def uploaded(spark, d) -> DataFrame:
     return J.read_csv(spark, path, as_text=True)
 
 
+def _filled(df: DataFrame, found: list[tuple], names: str) -> DataFrame:
+    """What was detected, with the number of values that each column holds."""
+    counts = df.agg(*(F.count(f"`{c}`").alias(c) for c in df.columns))
+    held = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"`{c}`").alias("n_values")) for c in df.columns))).alias("h")).select("h.*")
+    detected = df.sparkSession.createDataFrame(found, names)
+    return detected.join(held, F.col("col") == F.col("of")).drop("of")
+
+
+DETECTED = "SELECT t.*, (SELECT count(*) FROM lines) AS n_values FROM (VALUES {rows}) AS t({names})"
+
+
+@register(DETECTED.format(names="name, col, confidence", rows="('date','制单日期','high'),('voucher_no','凭证编号','high'),('summary','摘要','high'),('first_level_subject','一级科目','high'),('subject_name','一级科目','medium'),('debit','借方金额','high'),('credit','贷方金额','high')"), LINES)
+def detect_columns(spark, d):
+    """The columns of the uploaded journal by the names of the anomaly analysis."""
+    df = uploaded(spark, d)
+    return _filled(df, [(k, *v) for k, v in J.detect_columns(df.columns).items()], "name string, col string, confidence string")
+
+
+@register(DETECTED.format(names="name, col", rows="('date','制单日期'),('voucher_id','凭证编号'),('subject','一级科目'),('debit','借方金额'),('credit','贷方金额'),('summary','摘要')"), LINES)
+def smart_detect(spark, d):
+    """The columns of the uploaded journal by the names of the contra analysis."""
+    df = uploaded(spark, d)
+    return _filled(df, list(J.smart_detect(df.columns).items()), "name string, col string")
+
+
 @register("SELECT voucher, number, date, line_no, '摘要' || subject AS summary, subject, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM lines", LINES)
 def uploaded_lines(spark, d):
     amount = lambda c: F.col(c).cast("double").alias(c)
