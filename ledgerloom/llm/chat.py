@@ -28,17 +28,16 @@ FIRST = -(2**62)
 
 def _in_parts(turns: DataFrame, most: int) -> DataFrame:
     """turns with part: 0 but in conversations of more than `most` messages."""
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("size"))
-    long = written(sizes.where(F.col("size") > most).select(F.col("conv_id").alias("of")), "long_conversations")
+    sizes = turns.groupBy("key").agg(F.count("*").alias("size"))
+    long = written(sizes.where(F.col("size") > most).select("key"), "long_conversations")
     if long.isEmpty():
         return turns.withColumn("part", F.lit(0).cast("long"))
-    same = F.col("conv_id").eqNullSafe(F.col("of"))
-    held = written(turns.join(long, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "long_turns")
-    placed = written(numbered(held, "number", F.col("conv_id"), F.col("turn"), F.col("speaker"), F.col("body"), F.col("row")), "numbered_turns")
-    first = placed.groupBy(F.col("conv_id").alias("of")).agg(F.min("number").alias("first"))
-    parts = placed.join(F.broadcast(first) if first.count() <= 100_000 else first, same)
+    held = written(turns.join(long, "key", "left_semi").withColumn("row", F.monotonically_increasing_id()), "long_turns")
+    placed = written(numbered(held, "number", F.col("key"), F.col("turn"), F.col("speaker"), F.col("body"), F.col("row")), "numbered_turns")
+    first = placed.groupBy("key").agg(F.min("number").alias("first"))
+    parts = placed.join(F.broadcast(first) if first.count() <= 100_000 else first, "key")
     part = F.floor((F.col("number") - F.col("first")) / most)
-    return turns.join(long, same, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(parts.select(*turns.columns, part.alias("part")))
+    return turns.join(long, "key", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(parts.select(*turns.columns, part.alias("part")))
 
 
 def perspectives(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
@@ -47,22 +46,24 @@ def perspectives(conversations: DataFrame, most_turns: int = MOST_TURNS) -> Data
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("<\\|"))
     turns = conversations.select(
         "conv_id",
+        # null is a conversation too; texts as keys let one shuffle by them serve the join, the running sums and the rendering
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
         F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"),
         safe(F.coalesce(speaker, F.lit("unknown"))).alias("speaker"),
         safe(F.coalesce("text", F.lit(""))).alias("body"),
     )
-    people = turns.where("speaker <> 'system'").groupBy(F.col("conv_id").alias("of")).agg(F.collect_set("speaker").alias("people"))
-    each = _in_parts(turns, most_turns).join(people, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("participant", F.explode("people")).drop("of", "people")
+    people = turns.where("speaker <> 'system'").groupBy("key").agg(F.collect_set("speaker").alias("people"))
+    each = _in_parts(turns, most_turns).join(people, "key").withColumn("participant", F.explode("people")).drop("people")
 
     own = F.col("speaker") == F.col("participant")
     head = F.when(F.col("speaker") == "system", F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), "speaker", F.lit("\n")))
-    said = each.select("conv_id", "part", "participant", "turn", "speaker", "body", own.alias("own"), head.alias("head"), (F.length("body") + F.length(F.lit("<|im_end|>"))).alias("size"))
-    dialogue = Window.partitionBy("conv_id", "part", "participant").orderBy("turn", "speaker", "body").rowsBetween(Window.unboundedPreceding, 0)
+    said = each.select("key", "conv_id", "part", "participant", "turn", "speaker", "body", own.alias("own"), head.alias("head"), (F.length("body") + F.length(F.lit("<|im_end|>"))).alias("size"))
+    dialogue = Window.partitionBy("key", "part", "participant").orderBy("turn", "speaker", "body").rowsBetween(Window.unboundedPreceding, 0)
     placed = said.withColumns({"n": F.count("*").over(dialogue), "end": F.sum(F.length("head") + F.col("size") + 1).over(dialogue) - 1})
     mask = F.when(F.col("own"), F.concat_ws(":", (F.col("end") - F.col("size")).cast("string"), F.col("end").cast("string")))
     line = F.concat("head", "body", F.lit("<|im_end|>\n"))
     messages = F.array_sort(F.collect_list(F.struct("n", line.alias("line"), mask.alias("mask"))))
-    out = placed.groupBy("conv_id", "part", "participant").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.when(F.col("own"), F.col("size"))), F.lit(0)).cast("long").alias("n_target_chars"), messages.alias("messages"))
+    out = placed.groupBy("key", "conv_id", "part", "participant").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.when(F.col("own"), F.col("size"))), F.lit(0)).cast("long").alias("n_target_chars"), messages.alias("messages"))
     return out.select(
         "conv_id",
         "part",
