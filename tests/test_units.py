@@ -467,3 +467,11 @@ def test_feature_clusters(spark):
     left = {k for f, k in runs[0].items() if "应付账款" in f}
     assert not left & {k for f, k in runs[0].items() if "短期借款" in f}
     assert ml.feature_clusters(c.where("voucher = ''")).count() == 0
+
+
+def test_subject_strip_and_curve(spark):
+    """Subjects of the contra analysis lose white space at their ends only; an edge's curve starts and ends at its nodes, level there."""
+    df = spark.createDataFrame([(" 原材料 甲\t",), ("　应付账款　",), (None,), ("",)], "x string").select(S.strip(F.col("x")).alias("s"))
+    assert [r.s for r in df.collect()] == [x if x is None else x.strip() for x in (" 原材料 甲\t", "　应付账款　", None, "")]
+    points = spark.range(1).select(S.bezier(F.lit(0.0), F.lit(1.0), F.lit(4.0), F.lit(3.0), 5).alias("p")).first().p
+    assert [(round(p.x, 6), round(p.y, 6)) for p in points] == [(0, 1), (1.1875, 1.3125), (2, 2), (2.8125, 2.6875), (4, 3)]
