@@ -14,7 +14,8 @@ document falls into segments of consecutive windows with one anchor:
 4. The matches go back to the places of the segments, and each document loses the words they cover.
 
 An automaton would have to see every document, and automata grow with the corpus; dealing both by anchor shows each
-segment only the automaton that may know it. Hashes of 128 bits decide which segments are equal; windows are compared as
+segment only the automaton that may know it. By then counting has already said which windows recur, so what the automata
+add is word-by-word confirmation and the places. Hashes of 128 bits decide which segments are equal; windows are compared as
 words. Keys with many rows are joined by a broadcast of a bounded number of rows (links.join_counted).
 
 Defined cases: a null or empty text has no words and keeps an empty text; a document of fewer words than a window keeps
