@@ -142,15 +142,16 @@ def contra_solutions_small(spark, d):
 
 
 #: Many-to-many rows of small ledgers; chosen(voucher, rank) says which solution.
-SMALL_ROWS = """, lines_of AS (SELECT cl.voucher, line_no, subject, debit, credit, o.id FROM cl JOIN chosen USING (voucher) LEFT JOIN ordered o ON o.voucher = cl.voucher AND o.rank = chosen.rank),
-whole AS (SELECT id, 'd' AS side, ds AS subject, dg AS sign, sum(cents) AS cents FROM link GROUP BY ALL UNION ALL SELECT id, 'c', cs, cg, sum(cents) FROM link GROUP BY ALL)
-SELECT voucher, line_no, l.subject, CAST(debit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)) AS debit, 0.0::DOUBLE AS credit, k.cs AS contra, false AS virtual
+SMALL_PARTS = """, lines_of AS (SELECT cl.voucher, line_no, subject, debit, credit, o.id FROM cl JOIN chosen USING (voucher) LEFT JOIN ordered o ON o.voucher = cl.voucher AND o.rank = chosen.rank),
+whole AS (SELECT id, 'd' AS side, ds AS subject, dg AS sign, sum(cents) AS cents FROM link GROUP BY ALL UNION ALL SELECT id, 'c', cs, cg, sum(cents) FROM link GROUP BY ALL)"""
+SMALL_SELECT = """SELECT voucher, line_no, l.subject, CAST(debit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)) AS debit, 0.0::DOUBLE AS credit, k.cs AS contra, false AS virtual
   FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'd' AND w.subject = l.subject AND w.sign = k.dg WHERE k.ds = l.subject AND k.dg = CASE WHEN debit >= 0 THEN 'Pos' ELSE 'Neg' END AND debit <> 0 AND w.cents <> 0
 UNION ALL
 SELECT voucher, line_no, l.subject, 0.0::DOUBLE, CAST(credit AS DOUBLE) * (CAST(k.cents AS DOUBLE) / CAST(w.cents AS DOUBLE)), k.ds, false
   FROM lines_of l JOIN link k USING (voucher, id) JOIN whole w ON w.id = l.id AND w.side = 'c' AND w.subject = l.subject AND w.sign = k.cg WHERE k.cs = l.subject AND k.cg = CASE WHEN credit >= 0 THEN 'Pos' ELSE 'Neg' END AND credit <> 0 AND w.cents <> 0
 UNION ALL
 SELECT voucher, line_no, subject, CAST(debit AS DOUBLE), CAST(credit AS DOUBLE), '需人工分析(无解)', false FROM lines_of WHERE id IS NULL"""
+SMALL_ROWS = f"{SMALL_PARTS}\n{SMALL_SELECT}"
 
 
 @register(", chosen AS (SELECT voucher, 1 AS rank FROM small)" + SMALL_ROWS, SEARCH)
@@ -266,13 +267,22 @@ def contra_report(spark, d):
 EMPTY_SQL = ROW.format(d="debit", c="credit", x="'无效分录'", v="false", t="lines", s="empty")
 
 
-@register(", chosen AS (SELECT voucher, 1 AS rank FROM small)" + SMALL_ROWS + "".join(f" UNION ALL {x}" for x in (EMPTY_SQL, CLOSING_SQL, FX_SQL, ONE_SQL, MANY_SQL)), SEARCH)
+REPORT_PARTS = ", chosen AS (SELECT voucher, 1 AS rank FROM small)" + SMALL_PARTS
+REPORT_SELECT = " UNION ALL ".join([SMALL_SELECT, EMPTY_SQL, CLOSING_SQL, FX_SQL, ONE_SQL, MANY_SQL])
+
+
+@register(f"{REPORT_PARTS}\n{REPORT_SELECT}", SEARCH)
 def contra_report_small(spark, d):
     """contra_report but for vouchers with more than three accounts a side in a search."""
-    journal = lines(spark, d)
-    every = contra.voucher_ledgers(contra.ledgers(_routed(spark, d)))
+    journal, chosen = without_large(lines(spark, d))
+    return contra.report(journal, chosen)
+
+
+def without_large(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of all vouchers but those with a ledger that SQL cannot list, and what the search chose for them."""
+    every = contra.voucher_ledgers(contra.ledgers(contra.routed(journal)))
     large = every.join(_small(every).select("voucher"), "voucher", "left_anti").select("voucher")
-    return contra.report(journal.join(large, "voucher", "left_anti"), _chosen(_small(every)))
+    return journal.join(large, "voucher", "left_anti"), _chosen(_small(every))
 
 
 @register("SELECT date, number, subject, CAST(sum(debit) AS DOUBLE) AS debit, 0.0::DOUBLE AS credit FROM lines GROUP BY 1, 2, 3 HAVING sum(debit) <> 0 UNION ALL SELECT date, number, subject, 0.0::DOUBLE, CAST(sum(credit) AS DOUBLE) FROM lines GROUP BY 1, 2, 3 HAVING sum(credit) <> 0", LINES)

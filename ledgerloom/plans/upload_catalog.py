@@ -12,7 +12,9 @@ from ledgerloom.operators import contra, report, solver
 from ledgerloom.operators import scoring as Z
 from ledgerloom.operators import vouchers as V
 from ledgerloom.plans.catalog import lines, register
+from ledgerloom.plans.contra_catalog import REPORT_PARTS, REPORT_SELECT, without_large
 from ledgerloom.plans.oracle import CONTRA, LINES, SCORED
+from ledgerloom.plans.search_oracle import SEARCH
 from ledgerloom.shared import shared_folder, written
 from ledgerloom.sources import journal as J
 
@@ -84,6 +86,22 @@ def uploaded_report(spark, d):
     return report.final_report(j, _chosen(j), J.smart_detect(raw.columns))
 
 
+@register(
+    f"""{REPORT_PARTS}, rep AS ({REPORT_SELECT}),
+seen AS (SELECT voucher, '摘要' || subject AS s, min(line_no) AS f FROM lines GROUP BY 1, 2),
+meta AS (SELECT voucher, string_agg(s, ' | ' ORDER BY f) AS summary FROM seen GROUP BY 1)
+SELECT l.date AS 制单日期, l.number AS 凭证编号, CASE WHEN virtual THEN '' ELSE CAST(line_no AS VARCHAR) END AS 行号, CASE WHEN virtual THEN summary ELSE '摘要' || l.subject END AS 摘要,
+  rep.subject AS 一级科目, rep.debit AS 借方金额, rep.credit AS 贷方金额, contra AS 对方科目, CASE WHEN virtual THEN '' ELSE 'n' END AS 备注
+FROM rep JOIN lines l USING (voucher, line_no) JOIN meta USING (voucher)""",
+    SEARCH,
+)
+def uploaded_report_small(spark, d):
+    """uploaded_report but for vouchers with more than three accounts a side in a search."""
+    raw = uploaded(spark, d)
+    journal, chosen = without_large(J.contra_lines(raw))
+    return report.final_report(journal, chosen, J.smart_detect(raw.columns))
+
+
 # What the report must add up to: raw amounts in vouchers that are not settled, the many side twice where the other is one account.
 @register(
     ", part AS (SELECT l.number, structure, sum(l.debit) AS rd, sum(l.credit) AS rc, sum(cl.debit) AS d, sum(cl.credit) AS c, sum(CASE WHEN cl.debit = 0 THEN cl.credit ELSE 0 END) AS c1 "
