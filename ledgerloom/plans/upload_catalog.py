@@ -19,13 +19,13 @@ from ledgerloom.shared import shared_folder, written
 from ledgerloom.sources import journal as J
 
 
-def uploaded(spark, d) -> DataFrame:
-    """The whole journal as somebody would upload it, all text."""
+def uploaded(spark, d, as_text: bool = True) -> DataFrame:
+    """The whole journal as somebody would upload it, all text or with inferred types."""
     path = f"{shared_folder(spark)}/tables/journal-{uuid.uuid4().hex}.csv"
     names = {"date": "制单日期", "number": "凭证编号", "line_no": "行号", "summary": "摘要", "subject": "一级科目", "debit": "借方金额", "credit": "贷方金额", "note": "备注"}
     out = lines(spark, d).withColumns({"summary": F.concat(F.lit("摘要"), "subject"), "note": F.lit("n")})
     out.select(*(F.col(k).alias(v) for k, v in names.items())).write.csv(path, header=True)
-    return J.read_csv(spark, path, as_text=True)
+    return J.read_csv(spark, path, as_text=as_text)
 
 
 def _filled(df: DataFrame, found: list[tuple], names: str) -> DataFrame:
@@ -53,10 +53,19 @@ def smart_detect(spark, d):
     return _filled(df, list(J.smart_detect(df.columns).items()), "name string, col string")
 
 
-@register("SELECT voucher, number, date, line_no, '摘要' || subject AS summary, subject, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM lines", LINES)
-def uploaded_lines(spark, d):
+UPLOADED = "SELECT voucher, number, date, line_no, '摘要' || subject AS summary, subject, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM lines"
+
+
+@register(UPLOADED, LINES)
+def uploaded_inferred_lines(spark, d):
+    """uploaded_lines from a journal whose columns have inferred types: dates, whole numbers, amounts."""
+    return uploaded_lines(spark, d, as_text=False)
+
+
+@register(UPLOADED, LINES)
+def uploaded_lines(spark, d, as_text: bool = True):
     amount = lambda c: F.col(c).cast("double").alias(c)
-    return J.uploaded_lines(uploaded(spark, d)).select("voucher", "number", "date", F.col("source.`行号`").cast("long").alias("line_no"), "summary", "subject", amount("debit"), amount("credit"))
+    return J.uploaded_lines(uploaded(spark, d, as_text)).select("voucher", "number", "date", F.col("source.`行号`").cast("long").alias("line_no"), "summary", "subject", amount("debit"), amount("credit"))
 
 
 @register(
