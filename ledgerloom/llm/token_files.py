@@ -195,10 +195,11 @@ def write_files(docs: DataFrame, folder: str | None = None, path: str | None = N
     spark = docs.sparkSession
     bounded_batches(spark)
     folder, path = folder or f"{shared_folder(spark)}/token_ids/{uuid.uuid4().hex}", path or default_tokenizer()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    # the last column parts rows that are equal, of which there may be many
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), min(2 * spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,12 @@ def test_token_files_of_the_table(spark):
 def test_no_documents(empty):
     files = tf.write_files(empty)
     assert files.count() == 0 and tf.read_files(files).count() == 0 and tf.read_ids(files).count() == 0
+
+
+def test_equal_rows_are_many_files(spark):
+    """Rows that are all equal are dealt over files too."""
+    df = spark.createDataFrame([(7, "some words here " * 20)] * 600, "doc_id long, text string").repartition(4)
+    files = tf.write_files(df, file_bytes=20_000)
+    assert files.count() > 4 and files.agg({"n_docs": "max"}).first()[0] < 300
+    rows = tf.read_files(files).collect()
+    assert len(rows) == 600 and len({r.ids_crc32 for r in rows}) == 1 and sorted(r.start for r in rows) == [rows[0].n_tokens * n for n in range(600)]
