@@ -79,19 +79,28 @@ class Classifier:
         return self.posteriors_of([text])[1][0].tolist()
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Multinomial logistic regression by Newton's method."""
+def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 100, ridge: float = 1e-2) -> np.ndarray:
+    """Multinomial logistic regression by Newton's method; a step is halved until the loss falls enough, so it converges for domains without rows and for separable ones too."""
     d, w = x.shape[1], np.zeros((x.shape[1], k))
     onehot = np.eye(k)[y]
-    for _ in range(rounds):
+
+    def state(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = x @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e.sum(axis=1, keepdims=True)
+        return float((np.log(total[:, 0]) - (z * onehot).sum(axis=1)).sum() + ridge / 2 * (w * w).sum()), e / total
+
+    loss, p = state(w)
+    for _ in range(rounds):
         grad = x.T @ (p - onehot) + ridge * w
         blocks = np.einsum("ni,nj,na,nab->iajb", x, x, p, np.eye(k)[None] - p[:, None, :], optimize=True)
         step = np.linalg.solve(blocks.reshape(d * k, d * k) + ridge * np.eye(d * k), grad.ravel()).reshape(d, k)
-        w -= np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-7:
+        share, slope = 1.0, float((grad * step).sum())
+        while (after := state(w - share * step))[0] > loss - 1e-4 * share * slope and share > 1e-9:
+            share /= 2
+        w, (loss, p) = w - share * step, after
+        if np.abs(share * step).max() < 1e-7:
             break
     return w
 

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, text_rules
@@ -139,3 +140,17 @@ def test_first_stages_without_their_operators(spark, docs, labels, texts, tmp_pa
     assert sum(kept.values()) == len(groups) < len(held) and not kept - stay
     for rows in groups.values():  # one of each group stays
         assert sum(min(kept[r], 1) for r in set(rows)) == 1
+
+
+def test_softmax_converges():
+    """With a domain that has no rows, domains that are apart, and constant columns: the loss's slope is 0 at the end."""
+    rng = np.random.default_rng(0)
+    y = (rng.random(4000) < 0.12).astype(int)
+    x = np.c_[rng.normal(0.06 - 0.2 * y, 0.3), -rng.normal(0.06 - 0.2 * y, 0.3), rng.normal(2.02, 0.27, 4000), 1.4 - 0.2 * y, np.where(y == 1, rng.normal(5.1, 2.1, 4000), rng.normal(0.9, 0.5, 4000)), np.full(4000, 3.54), np.ones(4000)]
+    for labels_, k in ((y, 3), (y * 2, 3), (np.zeros(4000, dtype=int), 2), (y, 2)):
+        w = mixing.fit_softmax(x, labels_, k)
+        z = x @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        assert np.abs(x.T @ (p - np.eye(k)[labels_]) + 1e-2 * w).max() < 1e-3
+        assert (p.argmax(axis=1) == labels_).mean() > 0.95
