@@ -75,17 +75,22 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, with a little ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton's method, with a little ridge; a step is halved until the loss falls enough, so it converges however far the classes are apart."""
     if not len(x):
         return 0.0, 0.0
     scale = float(np.std(x)) or 1.0
     a, w = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
+    loss = lambda w: float((np.logaddexp(0, a @ w) - y * (a @ w)).sum() + ridge / 2 * w @ w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        rise = a.T @ (y - p) - ridge * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), rise)
+        share, before, gain = 1.0, loss(w), float(rise @ step)
+        while loss(w + share * step) > before - 1e-4 * share * gain and share > 1e-9:
+            share /= 2
+        w = w + share * step
+        if np.abs(share * step).max() < 1e-9:
             break
     return float(w[0] / scale), float(w[1])
 

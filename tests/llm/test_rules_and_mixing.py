@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, text_rules
+from ledgerloom.llm import compression, mixing, text_rules
 from ledgerloom.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -154,3 +154,15 @@ def test_softmax_converges():
         p /= p.sum(axis=1, keepdims=True)
         assert np.abs(x.T @ (p - np.eye(k)[labels_]) + 1e-2 * w).max() < 1e-3
         assert (p.argmax(axis=1) == labels_).mean() > 0.95
+
+
+def test_curve_converges():
+    """The loss's slope is 0 at the end, also where one class is rare, or the classes are far apart."""
+    rng = np.random.default_rng(1)
+    for n, share, apart in ((3000, 0.5, 1.0), (3000, 0.02, 3.0), (500, 0.9, 40.0), (40, 0.5, 0.0)):
+        y = (rng.random(n) < share).astype(float)
+        x = rng.normal(y * apart, 1) * 0.01
+        slope, offset = compression.fit_curve(x, y)
+        p, scale = 1 / (1 + np.exp(-(slope * x + offset))), x.std()
+        assert abs((x / scale) @ (y - p) - 1e-2 * slope * scale) < 1e-4 and abs((y - p).sum() - 1e-2 * offset) < 1e-4
+    assert compression.fit_curve(np.zeros(0), np.zeros(0)) == (0.0, 0.0) and compression.fit_curve(np.zeros(5), np.ones(5))[1] > 0
