@@ -124,12 +124,13 @@ def contexts_of(value: str, before: str | None, after: str | None, wide: tuple[b
     left, right = before is not None, after is not None
     out = [f"{bounded(before)} _{x}" for x in forms[0]] if left else []
     out += [f"_{x} {bounded(after)}" for x in forms[1]] if right else []
-    # the edges of a text are no words
-    if left and not {"^", ""} & {before, far[0]}:
+    # neither the edges of a text nor signs such as the bars of a table are words
+    says = lambda *words: all(any(map(str.isalnum, w)) for w in words)
+    if left and says(before, far[0]):
         out += [f"{SEVERAL}{bounded(far[0])} {bounded(before)} _{x}" for x in forms[0]]
-    if right and not {"$", ""} & {after, far[1]}:
+    if right and says(after, far[1]):
         out += [f"{SEVERAL}_{x} {bounded(after)} {bounded(far[1])}" for x in forms[1]]
-    if left and right and before != "^" and after != "$":
+    if left and right and says(before, after):
         out += [f"{SEVERAL}{bounded(before)} _{x} {bounded(after)}" for x in min(forms, key=len)]
     return out
 

@@ -126,4 +126,5 @@ def test_one_word_is_no_reason():
     """A word like 'the' before numbers carries scores, but only contexts of several words may mark."""
     contexts = personal.contexts_of("4111111111111112", "the", "was", far=("of", "in"))
     assert [c for c in contexts if not c.startswith("\t")] == ["the _d16", "the _~#14", "_d16 was", "_~#14 was"]
+    assert not any(c.startswith("\t") for w in ("|", "^", "--") for c in personal.contexts_of("4111111111111112", w, w, far=(w, w)))
     assert [re.sub("_.d16|_d16", "_", c[1:]) for c in contexts if c.startswith("\t") and "~" not in c] == ["of the _", "_ was in", "the _ was"]
