@@ -17,11 +17,14 @@ their names, are kept by `resample`; a very long text is one row of its own size
 
 from __future__ import annotations
 
+import ctypes
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,13 @@ MAX_RATE, ROUNDS, ENOUGH, RIDGE = 8.0, 40, 1e-4, 0.01
 LOG = logging.getLogger(__name__)
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed, in this task and in earlier ones, to the machine: workers wait for further tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def domains(labels: DataFrame) -> DataFrame:
     """doc_id, domain: the number of its name in TARGETS; junk is quality 0, toxic is toxic 1 of the others."""
     toxic = label_votes(labels, "toxic").withColumnRenamed("label", "toxic")
@@ -146,9 +156,13 @@ def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.posteriors_of(portion) for portion in in_portions(texts)]
-        return pd.DataFrame({"tokens": [n for words, _ in found for n in words.tolist()], "p": [p for _, ps in found for p in ps.tolist()]})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                found = [shared.value.posteriors_of(portion) for portion in in_portions(texts)]
+                yield pd.DataFrame({"tokens": [n for words, _ in found for n in words.tolist()], "p": [p for _, ps in found for p in ps.tolist()]})
+        finally:
+            give_back()
 
     # not deterministic as far as the optimiser knows, so a filter on what it gives doesn't compute it a second time
     both = F.pandas_udf(score, "tokens long, p array<double>").asNondeterministic()
@@ -218,5 +232,5 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
     model = fit(docs, labelled, k=len(targets))
     found = written(with_posterior(docs, model), "posteriors")
     steps = fit_rates(found, list(targets.values()), keep=keep)
-    taken = found.withColumn("n", copies(steps, "row.doc_id", "row.text", keep=keep)).where("n > 0")
-    return taken.select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")
+    taken = found.select("row", copies(steps, "row.doc_id", "row.text", keep=keep).alias("n")).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
