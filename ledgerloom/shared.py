@@ -80,7 +80,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, split
     each part. Null keys are a group. n_rows does not stay.
     """
     parts = F.ceil(F.col("n_rows") / split).cast("int")
-    large = groups.orderBy(F.desc("n_rows"), key).limit(PARTED).where(F.col("n_rows") > split)
+    # the order looks at every column, so that this reads the shuffle which the join reads, not a narrower one of its own
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in groups.columns))
+    large = groups.orderBy(F.desc("n_rows"), key, every).limit(PARTED).where(F.col("n_rows") > split)
     large = F.broadcast(large.select(F.col(key).alias("_large"), parts.alias("_parts")))
     count = F.coalesce(F.col("_parts"), F.lit(1))
     dealt = rows.join(large, F.col(key).eqNullSafe(F.col("_large")), "left").withColumn("_part", F.pmod(F.xxhash64(spread), count)).drop("_large", "_parts")
