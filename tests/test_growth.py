@@ -2,6 +2,7 @@
 
 import duckdb
 
+from ledgerloom.operators import contra
 from ledgerloom.plans import catalog
 from ledgerloom.sources import journal as J
 
@@ -23,3 +24,24 @@ def test_journal_is_numbered_and_balanced_without_collecting_orders(spark, tmp_p
     due = con.execute(J.JOURNAL_CTE + " select k, line_no, subj, debit, credit from journal").fetchall()
     got = [tuple(r) for r in J.order_journal(spark, str(tmp_path)).select("k", "line_no", "subj", "debit", "credit").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, due))
+
+
+def test_ledgers_come_from_sums_without_a_join(spark):
+    """line_ledgers() gives what routing every line and summing it gives, red-letter lines and one-sided vouchers too."""
+    rows = [
+        ("a", 1, "x", 5, 0), ("a", 2, "y", -2, 0), ("a", 3, "z", 4, 0), ("a", 4, "y", -7, 0),
+        ("b", 1, "x", 0, -5), ("b", 2, "y", 0, 3), ("b", 3, "z", 0, 2), ("b", 4, "x", 0, -1), ("b", 5, "w", 0, -2),
+        ("c", 1, "x", 5, 0), ("c", 2, "x", -1, 0), ("c", 3, "y", 1, 1), ("c", 4, "z", 0, 4),
+        ("d", 1, "本年利润", 1, 0), ("d", 2, "y", 1, 0), ("d", 3, "z", 0, 1), ("d", 4, "w", 0, 1),
+        ("e", 1, "财务费用", 1, 0), ("e", 2, "应收账款", 1, 0), ("e", 3, "应付账款", 0, 1), ("e", 4, "预付账款", 0, 1),
+        ("f", 1, None, 1, 0), ("f", 2, "x", 1, 0), ("f", 3, "y", 1, 0), ("f", 4, "z", 0, 1), ("f", 5, "w", 0, 2),
+        ("g", 1, "x", 0, 0), ("h", 1, "x", 1, 0), ("h", 2, "y", 0, 1), ("i", 1, "x", 2, None), ("i", 2, "y", -1, None), ("i", 3, "z", -1, None), ("i", 4, "v", 1, None),
+        (None, 1, "x", 1, 0), (None, 2, "y", 1, 0), (None, 3, "z", 0, 1), (None, 4, "w", 0, 1),
+    ]
+    lines = spark.createDataFrame(rows, "voucher string, line_no long, subject string, debit int, credit int")
+    lines = lines.withColumns({c: lines[c].cast("decimal(18,2)") for c in ("debit", "credit")})
+    got = contra.line_ledgers(lines)
+    assert "Join" not in _plan(got)
+    due = contra.voucher_ledgers(contra.ledgers(contra.routed(lines)))
+    assert got.dtypes == due.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, due.collect())) != []
