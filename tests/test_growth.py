@@ -45,3 +45,8 @@ def test_ledgers_come_from_sums_without_a_join(spark):
     due = contra.voucher_ledgers(contra.ledgers(contra.routed(lines)))
     assert got.dtypes == due.dtypes
     assert sorted(map(repr, got.collect())) == sorted(map(repr, due.collect())) != []
+
+
+def test_classified_vouchers_are_read_not_computed_again(spark):
+    for name in ("inner_score", "materiality", "alpha", "distance_pairs", "materiality_preview", "graph_edges", "graph_nodes", "graph_summary", "contra_report_small"):
+        assert "l_orderkey" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
