@@ -50,3 +50,23 @@ def test_ledgers_come_from_sums_without_a_join(spark):
 def test_classified_vouchers_are_read_not_computed_again(spark):
     for name in ("inner_score", "materiality", "alpha", "distance_pairs", "materiality_preview", "graph_edges", "graph_nodes", "graph_summary", "contra_report_small"):
         assert "l_orderkey" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_vouchers_are_routes_and_ledgers(spark):
+    """One aggregation gives what voucher_routes() gives, also where a voucher's sums are beyond whole numbers of cents."""
+    big = 9_000_000_000_000_000
+    rows = [("a", 1, "x", 5, 0), ("a", 2, "y", -2, 0), ("a", 3, "x", -1, 0), ("b", 1, "x", 0, -5), ("b", 2, "y", 0, 3), ("c", 1, None, 1, 0), ("c", 2, "x", 1, 0), ("c", 3, "y", 0, 2), ("d", 1, "本年利润", 0, 0), ("d", 2, "x", None, 1),
+            ("e", 1, "财务费用", 1, 0), ("e", 2, "应收账款", 1, 0), ("e", 3, "应付账款", 0, 1), ("e", 4, "预付账款", 0, 1), ("f", 1, "x", None, None), (None, 1, "x", 1, 0), (None, 2, "y", 0, 1)]
+    rows += [("z", n, "x", big, 0) for n in range(12)] + [("z", n, "y", 0, big) for n in range(12, 24)]
+    lines = spark.createDataFrame(rows, "voucher string, line_no long, subject string, debit long, credit long")
+    lines = lines.withColumns({c: lines[c].cast("decimal(18,2)") for c in ("debit", "credit")})
+    columns = ["voucher", "n_rows", "ds", "cs", "structure"]
+    got, due = (of(lines).select(columns).collect() for of in (contra.whole_vouchers, contra.voucher_routes))
+    assert sorted(map(repr, got)) == sorted(map(repr, due)) != []
+
+
+def test_reports_read_routes_that_were_written(spark):
+    """Nothing is aggregated by voucher again where the lines meet their routes."""
+    for name in ("contra_report_small", "contra_mvn_small"):
+        plan = _plan(catalog.queries()[name](spark, SF))
+        assert "collect_set" not in plan and "collect_list" not in plan
