@@ -70,3 +70,8 @@ def test_reports_read_routes_that_were_written(spark):
     for name in ("contra_report_small", "contra_mvn_small"):
         plan = _plan(catalog.queries()[name](spark, SF))
         assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_rows_of_one_structure_read_lines_that_were_written(spark):
+    for name in ("contra_closing", "contra_fx"):
+        assert "l_orderkey" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
