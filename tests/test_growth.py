@@ -75,3 +75,24 @@ def test_reports_read_routes_that_were_written(spark):
 def test_rows_of_one_structure_read_lines_that_were_written(spark):
     for name in ("contra_closing", "contra_fx"):
         assert "l_orderkey" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def _sorted_by_line(df) -> bool:
+    return "l_shipdate" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_by_voucher_do_not_number_the_lines(spark):
+    """Ledgers and vouchers come from lines in no order, with the amounts of lines in order."""
+    assert not _sorted_by_line(catalog.amounts(spark, SF)) and _sorted_by_line(catalog.lines(spark, SF))
+    columns = ["voucher", "subject", "debit", "credit"]
+    got, due = (sorted(map(repr, of(spark, SF).select(columns).collect())) for of in (catalog.amounts, catalog.lines))
+    assert got == due != []
+    assert not _sorted_by_line(catalog.business(spark, SF))
+
+
+def test_groups_words_are_looked_for_once(spark):
+    """Classification goes in steps; as one expression it looked for the words of a group wherever it asked for them."""
+    from ledgerloom.operators import classify
+
+    v = spark.createDataFrame([("应收账款、银行存款",)], "feature string")
+    assert _plan(classify.classify(v)).count("array_intersect") <= 20
