@@ -99,6 +99,12 @@ def test_structure_is_known_without_the_arrays_of_a_voucher(spark):
     assert all(line.count("sort_array") <= 3 for line in conditions)
 
 
+def test_a_report_joins_the_lines_once(spark):
+    """What a voucher says as a whole reaches its lines with their route, by one join."""
+    plan = _plan(catalog.queries()["uploaded_report_small"](spark, SF))
+    assert sum("_part#" in line for line in plan.splitlines() if "Join" in line) == 1
+
+
 def test_groups_words_are_looked_for_once(spark):
     """Classification goes in steps; as one expression it looked for the words of a group wherever it asked for them."""
     from ledgerloom.operators import classify
