@@ -1,9 +1,10 @@
 """The steps that larger journals need: what is computed once, and that results stay those of the plainer way."""
 
 import duckdb
+from pyspark.sql import DataFrameWriter
 
 from ledgerloom.operators import contra
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, contra_catalog
 from ledgerloom.sources import journal as J
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,14 @@ def test_groups_words_are_looked_for_once(spark):
 
     v = spark.createDataFrame([("应收账款、银行存款",)], "feature string")
     assert _plan(classify.classify(v)).count("array_intersect") <= 20
+
+
+def test_ledgers_are_collected_after_one_sort(spark, monkeypatch):
+    """Arrays of very many vouchers are not hashed first, which sorts them before and after merging; the session's setting comes back."""
+    plans, parquet, name = [], DataFrameWriter.parquet, "spark.sql.execution.useObjectHashAggregateExec"
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), parquet(self, path))[1])
+    before = spark.conf.get(name)
+    ledgers = contra_catalog._ledgers(spark, SF)
+    assert "collect_list" in plans[-1] and "ObjectHashAggregate" not in plans[-1] and spark.conf.get(name) == before
+    due = contra.line_ledgers(catalog.amounts(spark, SF))
+    assert sorted(map(repr, ledgers.collect())) == sorted(map(repr, due.collect())) != []
