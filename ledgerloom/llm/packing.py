@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -66,14 +66,27 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def group_sums(own: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sums of one and of two of these lengths, ascending, and for each the places of its lengths (the second -1 for one)."""
+    """The sums of one and then of two of these lengths, and for each room up to the capacity the greatest of them that fits (0: none)."""
     n = len(own)
-    i, j = np.triu_indices(n, 1)
-    sums = np.r_[own, own[i] + own[j]]
-    places = np.r_[np.c_[np.arange(n), np.full(n, -1)], np.c_[i, j]]
-    sums, first = np.unique(sums, return_index=True)
-    return sums[sums <= capacity], places[first][sums <= capacity]
+    i, j = _pairs(n) if n <= 256 else np.triu_indices(n, 1)
+    sums, fitting = np.concatenate([own, own[i] + own[j]]), np.zeros(capacity + 1, dtype=own.dtype)
+    small = sums[sums <= capacity]
+    fitting[small] = small
+    return sums, np.maximum.accumulate(fitting)
+
+
+def places_of(at: int, n: int) -> list[int]:
+    """Which of n lengths make the sum at this place of group_sums()."""
+    if at < n:
+        return [at]
+    i, j = _pairs(n) if n <= 256 else np.triu_indices(n, 1)
+    return [int(i[at - n]), int(j[at - n])]
 
 
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
@@ -90,38 +103,43 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     while improved and not settled():
         improved, given = False, set()
         while not settled():
-            open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
+            is_open = (fill > 0) & (fill < capacity)
+            open_bins = np.flatnonzero(is_open)
             left = [k for k in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist() if k not in given]
             if not left:
                 break
             donor = left[0]
             given.add(donor)
-            inside = np.zeros(len(fill), dtype=bool)
-            inside[open_bins] = True
-            inside[donor] = False
+            # pieces of open bins, their lengths and bins; who has no room takes nothing, so the giver counts as full
+            items = np.flatnonzero(is_open[bins])
+            size, of = lengths[items].astype(np.int64), bins[items]
+            room = np.where(is_open, capacity - fill, 0).astype(np.int64)
+            room[donor] = 0
             while fill[donor]:
-                own = np.flatnonzero(bins == donor)
-                sums, places = group_sums(lengths[own], capacity)
-                others, items = np.flatnonzero(inside), np.flatnonzero(inside[bins])
+                own = np.flatnonzero(of == donor)
+                sums, fitting = group_sums(size[own], capacity)
                 # what is taken in return: nothing, or one piece
-                to = np.r_[others, bins[items]]
-                back = np.r_[np.zeros(len(others), dtype=np.int64), lengths[items]]
-                room = capacity - fill[to]
-                at = np.searchsorted(sums, back + room, side="right") - 1
-                gain = np.where(at >= 0, sums[np.maximum(at, 0)] - back, 0)
-                fits = (gain > 0) & (fill[to] + gain > fill[donor])
-                if not fits.any():
+                needed, there, best = capacity - fill[donor], room.take(of), (capacity + 1, None, 0, 0)
+                for back, free in ((0, room), (size, there)):
+                    gain = fitting.take(free + back) - back
+                    worth = np.where((gain > 0) & (free - gain < needed), free - 2 * gain, capacity + 1)
+                    at = int(np.argmin(worth))
+                    if worth[at] < best[0]:
+                        best = int(worth[at]), back is size, at, int(gain[at])
+                _, exchanged, at, gain = best
+                if not gain:
                     break
-                best = int(np.argmin(np.where(fits, room - 2 * gain, capacity + 1)))
-                for k in places[at[best]]:
-                    if k >= 0:
-                        bins[own[k]] = to[best]
-                if best >= len(others):
-                    bins[items[best - len(others)]] = donor
-                fill[to[best]] += gain[best]
-                fill[donor] -= gain[best]
-                inside[to[best]] = fill[to[best]] < capacity
+                to = int(of[at]) if exchanged else at
+                given_sum = gain + (int(size[at]) if exchanged else 0)
+                for k in places_of(int(np.argmax(sums == given_sum)), len(own)):
+                    of[own[k]] = to
+                if exchanged:
+                    of[at] = donor
+                fill[to] += gain
+                fill[donor] -= gain
+                room[to] -= gain
                 improved = True
+            bins[items] = of
     return bins
 
 
