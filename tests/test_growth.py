@@ -123,3 +123,34 @@ def test_ledgers_are_collected_after_one_sort(spark, monkeypatch):
     assert "collect_list" in plans[-1] and "ObjectHashAggregate" not in plans[-1] and spark.conf.get(name) == before
     due = contra.line_ledgers(catalog.amounts(spark, SF))
     assert sorted(map(repr, ledgers.collect())) == sorted(map(repr, due.collect())) != []
+
+
+def test_search_is_not_made_twice_and_is_dealt(spark):
+    """Without equal amounts there is nothing to start from a second time; unbalanced ledgers need no search; small ledgers are dealt over all tasks of a shuffle."""
+    from ledgerloom.operators import solver
+
+    d, c = {("a", "Pos"): 5, ("b", "Pos"): 9}, {("x", "Pos"): 4, ("y", "Pos"): 10}
+    assert len(solver.tracks(d, c)[1]) == 1 and len(solver.tracks(d, c | {("z", "Pos"): 9})[1]) == 2
+    sides = lambda n, c: [("D", f"d{k}", "Pos", 1_000_003 * (k + 1) + k * k) for k in range(n)] + [("C", f"c{k}", "Pos", 999_983 * (k + 2) + k) for k in range(c)]
+    rows = [(f"k{n}", sides(20, n)) for n in range(12, 20)]
+    vl = spark.createDataFrame(rows, "ledger_key string, ledger array<struct<side:string,subject:string,sign:string,cents:long>>")
+    out = solver.solutions(vl)
+    assert {r.status for r in out.collect()} == {"no_solution"}
+    assert len(out.inputFiles()) >= 2
+
+
+def test_what_the_last_driver_can_take_is_known_without_listing():
+    """_count_last() counts what listing every way of the last driver counts."""
+    import random
+
+    from ledgerloom.operators import solver
+
+    rng = random.Random(3)
+    for _ in range(300):
+        sign = rng.choice([-1, 1])
+        left = [((rng.choice(["银行存款", "原材料"]) + str(k), "Pos"), sign * rng.randint(2, 9)) for k in range(rng.randint(1, 5))]
+        key, target = (rng.choice(["银行存款", "管理费用"]), "Pos"), sum(x for _, x in left)
+        assert solver._count_last(target, left) == solver.count_covers(key, target, left, solver.Budget(0))
+        ways = list(solver.covers(key, target, left, solver.Budget(0)))
+        assert solver._count_last(target, left)[1] == len(ways)
+    assert solver._count_last(3, [(("a", "Pos"), 5), (("b", "Pos"), -2)]) is None
