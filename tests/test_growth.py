@@ -154,3 +154,21 @@ def test_what_the_last_driver_can_take_is_known_without_listing():
         ways = list(solver.covers(key, target, left, solver.Budget(0)))
         assert solver._count_last(target, left)[1] == len(ways)
     assert solver._count_last(3, [(("a", "Pos"), 5), (("b", "Pos"), -2)]) is None
+
+
+def test_conservation_is_counted_by_ledger_without_rows_of_links(spark):
+    """Wrong amounts, missing and foreign accounts are counted for every solution; links are not exploded, a cent is let pass."""
+    from ledgerloom.operators import solver
+
+    ledger = [("C", "x", "Pos", 9), ("C", "y", "Pos", 1000), ("D", "a", "Pos", 1009)]
+    vl = spark.createDataFrame([("v1", "k", ledger), ("v2", "k", ledger)], "voucher string, ledger_key string, ledger array<struct<side:string,subject:string,sign:string,cents:long>>")
+    link = lambda c, cents, d="a": (d, "Pos", c, "Pos", cents)
+    right, cent = [link("x", 9), link("y", 1000)], [link("x", 10), link("y", 1000)]
+    short, foreign = [link("y", 1000)], [link("x", 9), link("y", 1000), link("z", 7)]
+    of = lambda *found: spark.createDataFrame([("k", n, x) for n, x in enumerate(found)], f"ledger_key string, n long, links {solver.LINKS}")
+    count = lambda *found: solver.violations(vl, of(*found)).first().violations
+    assert count(right, cent, right) == 0 == count()
+    assert count(short) == 2 and count(short, short, right) == 4  # a, x
+    assert count(foreign) == 2  # a, z
+    assert "Generate" not in _plan(solver.violations(vl, of(right)))
+    assert [tuple(r) for r in catalog.queries()["contra_conservation"](spark, SF).collect()] == [(0,)]
