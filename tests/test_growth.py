@@ -172,3 +172,17 @@ def test_conservation_is_counted_by_ledger_without_rows_of_links(spark):
     assert count(foreign) == 2  # a, z
     assert "Generate" not in _plan(solver.violations(vl, of(right)))
     assert [tuple(r) for r in catalog.queries()["contra_conservation"](spark, SF).collect()] == [(0,)]
+
+
+def test_a_voucher_meets_only_the_solution_it_takes(spark):
+    """A choice is looked up by ledger and rank; invalid or missing ones mean the first."""
+    from ledgerloom.operators import solver
+
+    vl = spark.createDataFrame([("a", "k", "p"), ("b", "k", "q"), ("c", "k", "r"), ("d", "k", "s"), ("e", "none", "p")], "voucher string, ledger_key string, pattern string")
+    links = lambda n: [("x", "Pos", "y", "Pos", 10 * n + k) for k in range(n)]
+    s = spark.createDataFrame([("k", "solved", n, links(n + 1)) for n in range(3)] + [("none", "no_solution", None, [])], f"ledger_key string, status string, n long, links {solver.LINKS}")
+    selection = spark.createDataFrame([("p", 3), ("q", 4), ("r", 0)], "pattern string, choice int")
+    out = solver.choose(vl, solver.ranked(s), selection, s)
+    assert {r.voucher: r.links and len(r.links) for r in out.collect()} == {"a": 3, "b": 1, "c": 1, "d": 1, "e": None}
+    joins = [line for line in _plan(out).splitlines() if "Join" in line]
+    assert any("rank" in line for line in joins) and not any("Filter" in line and "choice" in line for line in _plan(out).splitlines())
