@@ -186,3 +186,31 @@ def test_a_voucher_meets_only_the_solution_it_takes(spark):
     assert {r.voucher: r.links and len(r.links) for r in out.collect()} == {"a": 3, "b": 1, "c": 1, "d": 1, "e": None}
     joins = [line for line in _plan(out).splitlines() if "Join" in line]
     assert any("rank" in line for line in joins) and not any("Filter" in line and "choice" in line for line in _plan(out).splitlines())
+
+
+def test_plan_sheet_is_searched_to_the_end(spark, monkeypatch):
+    """Where budgets are spent at once, sample vouchers of the sheet still have all their plans."""
+    from ledgerloom.operators import solver
+
+    solutions, rows = solver.solutions, lambda: sorted(map(repr, catalog.queries()["plan_sheet"](spark, SF).collect()))
+    due = rows()
+    monkeypatch.setattr(solver, "solutions", lambda vl, **k: solutions(vl, nodes=3, branches=1, **k))
+    assert rows() == due != []
+
+
+def test_sets_of_many_numbers_are_listed_with_small_tables(monkeypatch):
+    """Beyond WIDE numbers, sets and counts are those of trying every set, in the order of combinations."""
+    import itertools
+    import random
+
+    from ledgerloom.operators import subsets
+
+    monkeypatch.setattr(subsets, "FEW", 1)
+    monkeypatch.setattr(subsets, "WIDE", 4)
+    rng = random.Random(7)
+    for n in [*range(5, 12)] * 4:
+        values, lo = [rng.randint(-9, 20) for _ in range(n)], rng.randint(-20, 40)
+        for hi, least in ((lo, 1), (lo + 4, 0), (lo + 60, 1)):
+            due = [c for size in range(least, n + 1) for c in itertools.combinations(range(n), size) if lo <= sum(values[k] for k in c) <= hi]
+            assert list(subsets.summing_to(values, lo, hi, least, lambda k: None)) == due
+            assert subsets.count_summing(values, [(lo, hi), (1, 0)], lambda k: None) == [len(due) + (least == 1 and lo <= 0 <= hi), 0]
