@@ -214,3 +214,19 @@ def test_sets_of_many_numbers_are_listed_with_small_tables(monkeypatch):
             due = [c for size in range(least, n + 1) for c in itertools.combinations(range(n), size) if lo <= sum(values[k] for k in c) <= hi]
             assert list(subsets.summing_to(values, lo, hi, least, lambda k: None)) == due
             assert subsets.count_summing(values, [(lo, hi), (1, 0)], lambda k: None) == [len(due) + (least == 1 and lo <= 0 <= hi), 0]
+
+
+def test_what_virtual_lines_say_is_hashed_not_sorted(spark):
+    """First lines and summaries of vouchers come without sorting the lines, also where a voucher's text hides two dates and numbers."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import report
+
+    plan = catalog.queries()["uploaded_report_small"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    rows = [("a_b", "c", "t", "x", "3", "0"), ("a", "b_c", "s", "y", "0", "1"), ("a_b", "c", "s", "z", "0", "2"), ("a", "b_c", " ", "x", "0", "0"), ("a", "b_c", "t", "x", "0", "0")]
+    raw = spark.createDataFrame(rows, ["日期", "凭证号", "摘要", "一级科目", "借方金额", "贷方金额"]).coalesce(1)
+    lines = J.contra_lines(raw)
+    chosen = lines.where("false").select("voucher", F.lit(None).cast("array<struct<d_subject:string,d_sign:string,c_subject:string,c_sign:string,cents:bigint>>").alias("links"), F.lit("solved").alias("status"))
+    out = report.final_report(lines, chosen, J.smart_detect(raw.columns)).where("`借方金额` > 0").select("日期", "凭证号", "摘要", "一级科目", "借方金额", "对方科目").collect()
+    assert sorted(map(tuple, out)) == [("a_b", "c", "t | s", "x", 1.0, "y"), ("a_b", "c", "t | s", "x", 2.0, "z")]
